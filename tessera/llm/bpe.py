@@ -305,15 +305,17 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def token_batches(batches: Iterator[pa.RecordBatch], path: str, text: int) -> Iterator[pa.RecordBatch]:
+def token_batches(batches: Iterator[pa.RecordBatch], path: str, text: int, offsets: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
     lengths = np.array([len(vocab.bytes_of.get(i, b"")) for i in range(len(vocab.names))], np.int64)
     for batch in batches:
         for lo, hi, _, _ in tk.parts(batch.column(text), 4 * tk.PART_BYTES):
             part = batch.slice(lo, hi - lo)
             ids = [np.array([i for x in own for i in x[0]], np.int32) for own in encoded(part.column(text), vocab)]
-            offsets = [np.cumsum(lengths[x]) - lengths[x] for x in ids]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int64()))], [*batch.schema.names, "token_ids", "token_offsets"])
+            out = {"token_ids": pa.array(ids, pa.list_(pa.int32()))}
+            if offsets:
+                out["token_offsets"] = pa.array([np.cumsum(lengths[x]) - lengths[x] for x in ids], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, *out.values()], [*batch.schema.names, *out])
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], path: str, column: int) -> Iterator[pa.RecordBatch]:
@@ -327,11 +329,12 @@ def _typed(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` with ``token_ids`` and ``token_offsets`` (first byte of each token in the text)."""
+def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -> DataFrame:
+    """``df`` with ``token_ids`` and, if asked for, ``token_offsets`` (each token's first byte in the text)."""
     df = df.drop("token_ids", "token_offsets")
     at = df.columns.index(text)
-    return df.mapInArrow(lambda b: token_batches(b, path, at), f"{_typed(df)}, token_ids array<int>, token_offsets array<bigint>")
+    more = ", token_offsets array<bigint>" if offsets else ""
+    return df.mapInArrow(lambda b: token_batches(b, path, at, offsets), f"{_typed(df)}, token_ids array<int>{more}")
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:

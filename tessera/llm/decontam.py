@@ -148,3 +148,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = docs.select("doc_id", "text").mapInArrow(lambda b, s=shared: overlap_batches(b, s.value), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
+
+
+def keep_batches(batches: Iterator[pa.RecordBatch], block: Block, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(at)], ["doc_id", "text"])
+        clean = np.ones(len(batch), bool)
+        clean[next(overlap_batches(iter([rows]), block)).column(0).to_numpy()] = False
+        yield batch.filter(pa.array(clean))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they were."""
+    at = docs.columns.index("text")
+    for block in blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(lambda b, s=shared: keep_batches(b, s.value, at), docs.schema)
+    return docs

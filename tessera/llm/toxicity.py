@@ -232,5 +232,18 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda b: score_batches(b, shared.value, spans), "doc_id bigint, score double" + more)
 
 
+def keep_batches(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pair = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at)], ["doc_id", "text"])
+        scores = next(score_batches(iter([pair]), model)).column(1).to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(scores < CUTOFF))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below CUTOFF, all columns as they were."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    return docs.mapInArrow(lambda b: keep_batches(b, shared.value, at), docs.schema)
+
+
 def held_out(column: str = "doc_id") -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
