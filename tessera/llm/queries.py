@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, fixity, license_templates, minhash_join, pii, sharding, topk, toxicity
+from tessera.llm import bpe, decontam, fixity, license_templates, minhash_join, pii, sharding, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
@@ -62,7 +66,7 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op3_toxicity, op4_topk, op5_license_templates, op6_pii, op7_bpe, op8_minhash_join, op9_decontamination, op10_fixity]
+    found = [op1_sharding, op2_suffix_dedup, op3_toxicity, op4_topk, op5_license_templates, op6_pii, op7_bpe, op8_minhash_join, op9_decontamination, op10_fixity]
     return {f.__name__: f for f in found}
 
 
