@@ -16,3 +16,8 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from tessera.plans import learning, relational, textual  # noqa: F401
