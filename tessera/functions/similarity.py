@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Fixed value: size of the link graph's universe.
 UNIVERSE = 6_274_625
@@ -45,12 +46,12 @@ def _winkler(a: str, b: str) -> float:
     return score + same * 0.1 * (1 - score)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _jaro_parts(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro similarity, raised by up to four common first letters where it is above 0.7."""
     return pd.Series([None if x is None or y is None else _winkler(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and constants that results depend on.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -31,7 +32,7 @@ def fix_upper_case(phrase: Column) -> Column:
     return F.when(phrase == F.upper(phrase), F.array_join(capital, " ")).otherwise(phrase)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.encode("latin-1", "backslashreplace").decode("unicode-escape"))
 

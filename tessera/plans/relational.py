@@ -90,12 +90,12 @@ def argmax_per_query(spark, d):
     return rk.argmax(candidates(spark, d), "query_id", "score", "pos", "entity").select("query_id", "entity")
 
 
-@query(f"""SELECT query_id, round(max(CASE WHEN r = 1 THEN score END), 6) AS top, round(exp(max(CASE WHEN r = 2 THEN score END) - max(CASE WHEN r = 1 THEN score END)), 6) AS gap1,
+@query(f"""SELECT query_id, round(max(CASE WHEN r = 1 THEN score END), 9) AS top, round(exp(max(CASE WHEN r = 2 THEN score END) - max(CASE WHEN r = 1 THEN score END)), 6) AS gap1,
     round(exp(max(CASE WHEN r = 3 THEN score END) - max(CASE WHEN r = 1 THEN score END)), 6) AS gap2, round(exp(max(CASE WHEN r = 4 THEN score END) - max(CASE WHEN r = 1 THEN score END)), 6) AS gap3
     FROM (SELECT query_id, score / 1000 AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM {CANDIDATES}) GROUP BY query_id""")
 def score_gap_softmax(spark, d):
     out = rk.score_gaps(candidates(spark, d).withColumn("score", F.col("score") / 1000), "query_id", "score", "pos")
-    return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("top", "gap1", "gap2", "gap3")))
+    return out.select("query_id", F.round("top", 9).alias("top"), *(F.round(c, 6).alias(c) for c in ("gap1", "gap2", "gap3")))
 
 
 @query(f"SELECT query_id, pos, coalesce(round((prior - min(prior) OVER w) / nullif(max(prior) OVER w - min(prior) OVER w, 0), 6), 0) AS scaled FROM {CANDIDATES} WINDOW w AS (PARTITION BY query_id)")

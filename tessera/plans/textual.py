@@ -94,8 +94,8 @@ def context_window(spark, d):
     return near.groupBy("doc_id", "target", "centre").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_tokens"))
 
 
-@query("""WITH s AS (SELECT p_brand AS doc_id, p_name AS surface, p_size AS at, p_partkey AS seq FROM part), m AS (SELECT p_partkey AS query_id, p_brand AS doc_id, split_part(p_name, ' ', 2) AS mention, p_size AS o FROM part),
-    r AS (SELECT query_id, surface, row_number() OVER (PARTITION BY query_id ORDER BY (o <> at)::INTEGER, (o < at)::INTEGER, abs(o - at), seq) AS k FROM m JOIN s USING (doc_id)
+@query("""WITH s AS (SELECT p_brand AS doc_id, p_name AS surface, p_size AS place, p_partkey AS seq FROM part), m AS (SELECT p_partkey AS query_id, p_brand AS doc_id, split_part(p_name, ' ', 2) AS mention, p_size AS o FROM part),
+    r AS (SELECT query_id, surface, row_number() OVER (PARTITION BY query_id ORDER BY (o <> place)::INTEGER, (o < place)::INTEGER, abs(o - place), seq) AS k FROM m JOIN s USING (doc_id)
     WHERE length(surface) > length(mention) AND (starts_with(lower(surface), lower(mention)) OR suffix(lower(surface), lower(mention))))
     SELECT query_id, coalesce(surface, mention) AS surface FROM m LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (query_id)""")
 def nearest_mention(spark, d):
@@ -141,11 +141,11 @@ def scored(spark, d):
     return co.scored_pairs(co.document_pairs(m, m), edges(spark, d), sim.UNIVERSE)
 
 
-@query(f"""SELECT doc_id, query_id, entity, round(max(pmi), 6) AS max_pmi, round(max(ngd), 6) AS max_ngd, round(sum(pmi) / count(*), 6) AS avg_pmi, round(sum(ngd) / count(*), 6) AS avg_ngd
+@query(f"""SELECT doc_id, query_id, entity, round(max(pmi), 6) AS max_pmi, round(max(ngd), 6) AS max_ngd, round(sum(pmi) / count(*), 12) AS avg_pmi, round(sum(ngd) / count(*), 12) AS avg_ngd
     FROM (SELECT doc_id, query_id, entity, other, max(pmi) AS pmi, max(ngd) AS ngd FROM {SCORED} GROUP BY ALL) GROUP BY ALL""")
 def coherence_max_avg(spark, d):
     out = co.max_and_mean(scored(spark, d), ["pmi", "ngd"])
-    return out.select("doc_id", "query_id", "entity", *(F.round(c, 6).alias(c) for c in out.columns[3:]))
+    return out.select("doc_id", "query_id", "entity", *(F.round(c, 6 if c.startswith("max") else 12).alias(c) for c in out.columns[3:]))
 
 
 @query(f"""SELECT doc_id, query_id, entity, round(max(hi), 6) AS max_max, round(avg(hi), 6) AS avg_max, round(max(mid), 6) AS max_avg, round(avg(mid), 6) AS avg_avg
