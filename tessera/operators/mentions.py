@@ -37,7 +37,7 @@ def representative(tokens: DataFrame, chains: DataFrame) -> DataFrame:
     first = chains.groupBy("doc_id", "sentence", "start").agg(F.min("chain").alias("chain"))
     rep = chains.where("is_representative").groupBy("doc_id", "chain").agg(F.min("text").alias("text"))
     found = tokens.join(first, ["doc_id", "sentence", "start"], "left").join(rep, ["doc_id", "chain"], "left")
-    return found.select("doc_id", "sentence", "start", F.coalesce("chain", F.lit(-1)).alias("chain"), F.coalesce("text", "word").alias("text"))
+    return found.select("doc_id", "sentence", "start", "word", F.coalesce("chain", F.lit(-1)).alias("chain"), F.coalesce("text", "word").alias("text"))
 
 
 def same_spans(coref: DataFrame, ner: DataFrame) -> DataFrame:

@@ -220,3 +220,55 @@ def reflow_text(spark, d):
 def entity_prefix(spark, d):
     long_id = tx.add_prefix(F.col("page_id").cast("string"))
     return parquet(spark, d, "pages").select("page_id", long_id.alias("long_id"), tx.strip_prefix(long_id).alias("short_id"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS doc, l_suppkey AS phrase, l_partkey AS token, l_linenumber AS pos, l_quantity AS w FROM lineitem WHERE l_returnflag = 'A'), m AS (SELECT l_orderkey AS doc, l_suppkey AS phrase, l_partkey AS token, l_linenumber AS pos FROM lineitem WHERE l_returnflag = 'R'),
+    ek AS (SELECT doc % 50 AS doc, phrase, token % 200 AS token, w FROM e), mk AS (SELECT doc % 50 AS doc, phrase, token % 200 AS token, pos FROM m),
+    t AS (SELECT doc, phrase, sum(w) AS total FROM ek GROUP BY ALL), p AS (SELECT ek.doc, ek.phrase AS ep, mk.phrase AS mp, count(DISTINCT ek.token) AS matches, max(pos) - min(pos) + 1 AS cover, sum(w) AS matched FROM ek JOIN mk ON ek.doc = mk.doc AND ek.token = mk.token GROUP BY ALL),
+    b AS (SELECT p.doc, ep, max(total * matches / cover * power(matched / total, 2)) AS best, count(*) AS n FROM p JOIN t ON t.doc = p.doc AND t.phrase = ep GROUP BY ALL)
+    SELECT doc, round(sum(best), 3) AS similarity, sum(n)::BIGINT AS n_matches FROM b GROUP BY doc""")
+def phrase_similarity(spark, d):
+    lines = parquet(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("doc"), F.col("l_suppkey").alias("phrase"), (F.col("l_partkey") % 200).alias("token"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("weight"), "l_returnflag")
+    out = co.phrase_similarity(lines.where("l_returnflag = 'A'").drop("pos", "l_returnflag").withColumn("pos", F.lit(0)), lines.where("l_returnflag = 'R'").drop("weight", "l_returnflag"), ["doc"])
+    return out.select("doc", F.round("similarity", 3).alias("similarity"), "n_matches")
+
+
+@query("SELECT p_partkey, round(CASE WHEN length(p_name) = length(p_type) THEN 1 - hamming(p_name, p_type) / length(p_name) END, 6) AS hamming FROM part WHERE length(p_name) = length(p_type)")
+def hamming_sim(spark, d):
+    part = parquet(spark, d, "part").where(F.length("p_name") == F.length("p_type"))
+    return part.select("p_partkey", F.round(sim.hamming_similarity(F.col("p_name"), F.col("p_type")), 6).alias("hamming"))
+
+
+@query("SELECT d.doc_id, substr(coalesce(nullif(b.text, ''), nullif(d.text, '')), 1, 1000000) AS article FROM documents d LEFT JOIN benchmark b ON item_id = doc_id")
+def first_article(spark, d):
+    other = parquet(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("other"))
+    return parquet(spark, d, "documents").select("doc_id", "text").join(other, "doc_id", "left").select("doc_id", tx.first_article(F.col("other"), F.col("text")).alias("article"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS sentence, l_partkey % 10 AS start, l_suppkey % 5 AS chain, l_shipdate::DATE::VARCHAR AS text, l_quantity > 25 AS r FROM lineitem WHERE l_returnflag = 'R'),
+    f AS (SELECT doc_id, sentence, start, min(chain) AS chain FROM c GROUP BY ALL), p AS (SELECT doc_id, chain, min(text) AS text FROM c WHERE r GROUP BY ALL),
+    t AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS sentence, l_partkey % 10 AS start, l_linestatus AS word FROM lineitem)
+    SELECT t.doc_id, t.sentence, t.start, word, coalesce(chain, -1) AS chain, coalesce(text, word) AS text FROM t LEFT JOIN f USING (doc_id, sentence, start) LEFT JOIN p USING (doc_id, chain)""")
+def representative_mention(spark, d):
+    lines = parquet(spark, d, "lineitem")
+    base = [F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sentence"), (F.col("l_partkey") % 10).alias("start")]
+    chains = lines.where("l_returnflag = 'R'").select(*base, (F.col("l_suppkey") % 5).alias("chain"), F.to_date("l_shipdate").cast("string").alias("text"), (F.col("l_quantity") > 25).alias("is_representative"))
+    tokens = lines.select(*base, F.col("l_linestatus").alias("word")).distinct()
+    return mn.representative(tokens, chains)
+
+
+@query("SELECT event_id, regexp_extract_all(props, '([.0-9]+)', 1)[1] AS first_number FROM events")
+def log_numbers(spark, d):
+    return parquet(spark, d, "events").select("event_id", F.try_element_at(tx.log_numbers(F.col("props")), F.lit(1)).alias("first_number"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '={2,}[^=]*={2,}', '', 'g'), '/[^/\s]+/', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM pages")
+def strip_markup(spark, d):
+    return parquet(spark, d, "pages").select("page_id", tx.strip_markup(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, md5(string_agg(cell, '|' ORDER BY token)) AS line FROM (SELECT doc_id, token, token || ':' || n AS cell FROM (SELECT doc_id, token, count(*) AS n FROM " + PLACED + " GROUP BY doc_id, token)) GROUP BY doc_id")
+def token_line(spark, d):
+    n = tk.exploded(docs(spark, d), "doc_id").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("token", "n"))), lambda x: F.concat_ws(":", x["token"], x["n"]))
+    return n.groupBy("doc_id").agg(F.md5(F.array_join(cells, "|").cast("binary")).alias("line"))
