@@ -6,15 +6,17 @@ may split where a key is hot; no vertex's neighbours are ever gathered in one pl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import cut
 
 
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges, written, and their number and digest, observed on the way."""
+    seen = Observation()
+    out = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+    return out, (seen.get["n"], seen.get["x"] or 0)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,8 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars by turns (Kiveris et al., 2014): edges always point from a vertex to a
     lesser one and in the end from every vertex to the least of its component.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = _digest(now)
+    now, seen = _stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while seen[0]:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -32,8 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(below.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
-        if (then := _digest(now)) == seen:
+        before = seen
+        now, seen = _stored(small)
+        if seen == before:
             break
-        seen = then
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 from tessera.llm.components import components
-from tessera.llm.scratch import cut
+from tessera.llm.scratch import bounded_batches, cut
 
 COORDS, MATCHES = 32, 13
 PREFIX = COORDS - MATCHES + 1
@@ -174,7 +174,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text)."""
     schema = "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, sig binary, sk1 bigint, sk2 bigint, packed binary"
-    signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: signature_batches(x, k), schema))
+    signed = cut(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: signature_batches(x, k), schema))
     known = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["sum1", "sum2", "n_shingles"]
     classes = known.groupBy(*same).agg(F.min("doc_id").alias("id"))
@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     top = table.orderBy(F.desc("n"), "value").limit(COMMON_VALUES).toPandas().sort_values("value")
     common = (top["value"].to_numpy(np.int64), top["n"].clip(upper=(1 << 23)).to_numpy(np.int64))
     posted = of_class.select(F.col("doc_id").alias("id"), "sig", "sk1", "sk2").mapInArrow(lambda x: posting_batches(x, common), "value bigint, id bigint, sk1 bigint, sk2 bigint")
-    pivots = posted.groupBy("value").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("value", "pivot")
+    # Written first: a join beside an exchange of its own can be split where a value is hot.
+    pivots = cut(posted.groupBy("value").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("value", "pivot"))
     lists = cut(posted.join(pivots, "value"))
     pivot_rows = lists.where("id = pivot").select("value", F.col("sk1").alias("p_sk1"), F.col("sk2").alias("p_sk2")).dropDuplicates(["value"])
     texts = known.select(F.col("doc_id").alias("id"), "packed")
@@ -201,7 +202,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     rest = labelled.select("value", F.col("id").alias("a"), "g", "pg", "sk1", "sk2").join(out, "value").where("g <> b_g and (g = pg or a < b)")
     second = rest.where(agreeing("", "b_") >= MATCHES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(confirmed(second, texts, k, threshold))
-    final = components(edges.union(more).union(links.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
+    first_groups = groups.select(F.col("id").alias("a"), F.col("g").alias("b"))
+    final = components(first_groups.union(more).union(links.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     return (
         signed.select("doc_id", "n_shingles")
         .join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
