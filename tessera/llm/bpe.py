@@ -14,6 +14,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import heapq
@@ -26,9 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from tessera.llm import textkit as tk
+from tessera.llm.scratch import bounded_batches
 
 BLOCK = 256
-CACHE_PIECES = 120_000
+CACHE_PIECES = 60_000
 LONG_PIECE = 192
 
 # Classes of code points; a first character of a text has FIRST added.
@@ -41,10 +43,11 @@ ENDED, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_BLANK, IN_BLANKS, ONE_LEFT, TWO_L
 def code_points() -> np.ndarray:
     """LETTER, NUMBER, BLANK or OTHER for each code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    everything = "".join(map(chr, range(0x110000)))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\p{White_Space}+")):
-        for run in regex.finditer(pattern, everything):
-            table[run.start() : run.end()] = kind
+    for plane in range(0, 0x110000, 0x10000):
+        everything = "".join(map(chr, range(plane, plane + 0x10000)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\p{White_Space}+")):
+            for run in regex.finditer(pattern, everything):
+                table[plane + run.start() : plane + run.end()] = kind
     return table
 
 
@@ -132,18 +135,20 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bytes_of = {b: a for a, b in self.ranks.items()}
+        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = token
+        self.names = [str(i) for i in range(len(self.bytes_of))]
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        found = array.array("q")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[a << 20 | b] = rank
-        self.pairs = pairs
-        self.size = 1 << max(8, (4 * len(pairs)).bit_length())
-        self.keys, self.merged = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int64)
-        keys, ranks = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+                    found.extend((a << 20 | b, rank))
+        keys, ranks = np.frombuffer(found, np.int64).reshape(-1, 2).T
+        self.size = 1 << max(8, (2 * len(keys)).bit_length())
+        self.keys, self.merged = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32)
         at = self._slot(keys)
         while len(keys):
             free = np.flatnonzero(self.keys[at] < 0)
@@ -153,9 +158,8 @@ class Vocabulary:
             left = np.ones(len(keys), bool)
             left[put] = False
             keys, ranks, at = keys[left], ranks[left], (at[left] + 1) % self.size
-        self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
-        self.young: dict[bytes, tuple[list[int], str, bytes]] = {}
-        self.old: dict[bytes, tuple[list[int], str, bytes]] = {}
+        self.young: dict[bytes, tuple[str, bytes]] = {}
+        self.old: dict[bytes, tuple[str, bytes]] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(tk.U64) * tk.U64(tk.BASE)) >> tk.U64(64 - (self.size.bit_length() - 1))).astype(np.int64)
@@ -172,16 +176,21 @@ class Vocabulary:
             todo, at = todo[more], (at[more] + 1) % self.size
         return out
 
+    def pair_rank(self, a: int, b: int) -> int | None:
+        rank = int(self.pair_ranks(np.array([a], np.int64), np.array([b], np.int64))[0])
+        return rank if rank < 1 << 40 else None
+
     def merge_long(self, piece: bytes) -> list[int]:
         """One long piece: a heap of pairs and a linked list."""
         ids = [int(x) for x in self.single[np.frombuffer(piece, np.uint8)]]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, k) for k in range(len(ids) - 1) if (r := self.pairs.get(ids[k] << 20 | ids[k + 1])) is not None]
+        whole = np.array(ids, np.int64)
+        heap = [(r, k) for k, r in enumerate(self.pair_ranks(whole[:-1], whole[1:]).tolist()) if r < 1 << 40]
         heapq.heapify(heap)
         while heap:
             rank, k = heapq.heappop(heap)
             j = after[k]
-            if ids[k] < 0 or j >= len(ids) or self.pairs.get(ids[k] << 20 | ids[j]) != rank:
+            if ids[k] < 0 or j >= len(ids) or self.pair_rank(ids[k], ids[j]) != rank:
                 continue
             ids[k], ids[j] = rank, -1
             after[k] = after[j]
@@ -189,7 +198,7 @@ class Vocabulary:
                 before[after[k]] = k
             for left in (before[k], k):
                 right = after[left] if left >= 0 else len(ids)
-                if left >= 0 and right < len(ids) and (r := self.pairs.get(ids[left] << 20 | ids[right])) is not None:
+                if left >= 0 and right < len(ids) and (r := self.pair_rank(ids[left], ids[right])) is not None:
                     heapq.heappush(heap, (r, left))
         return [x for x in ids if x >= 0]
 
@@ -231,11 +240,13 @@ class Vocabulary:
         return out
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Put the pieces' ids, their text and the bytes they decode to into the cache."""
+        """Put the pieces' ids, as text, and the bytes they decode to into the cache."""
         young, old, short = self.young, self.old, []
 
         def put(piece: bytes, ids: list[int]) -> None:
-            young[piece] = (ids, " ".join([self.names[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]))
+            back = b"".join([self.bytes_of[i] for i in ids])
+            # One object for both where the round trip is exact, as it always should be.
+            young[piece] = (" ".join([self.names[i] for i in ids]), piece if back == piece else back)
 
         for p in pieces:
             if (known := old.get(p)) is not None:
@@ -251,7 +262,7 @@ class Vocabulary:
             for p, ids in zip(some, self.merge_many(some)):
                 put(p, ids)
 
-    def lookup(self, pieces: list[bytes]) -> list[tuple[list[int], str, bytes]]:
+    def lookup(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
         """Each piece's cache entry.  The cache has two generations: what is met again stays."""
         found = list(map(self.young.get, pieces))
         missing = [k for k, x in enumerate(found) if x is None]
@@ -281,8 +292,8 @@ def pieces_of(buf: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], list[in
     return [raw[a:b] for a, b in zip(cuts, cuts[1:])], np.searchsorted(starts, bounds).tolist()
 
 
-def encoded(column: pa.Array, vocab: Vocabulary) -> Iterator[list[tuple[list[int], str, bytes]]]:
-    """For each text the cache entries of its pieces: ids, ids as text, bytes."""
+def encoded(column: pa.Array, vocab: Vocabulary) -> Iterator[list[tuple[str, bytes]]]:
+    """For each text the cache entries of its pieces: ids as text, bytes."""
     for lo, hi, buf, bounds in tk.parts(column):
         if not len(buf):
             yield from ([] for _ in range(lo, hi))
@@ -298,20 +309,20 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
     for batch in batches:
         counts, ids, back = [], [], []
         for own in encoded(batch.column(1), vocab):
-            line = " ".join([x[1] for x in own])
+            line = " ".join([x[0] for x in own])
             counts.append(line.count(" ") + 1 if line else 0)
             ids.append(hashlib.sha256(line.encode("ascii")).hexdigest())
-            back.append(hashlib.sha256(b"".join([x[2] for x in own])).hexdigest())
+            back.append(hashlib.sha256(b"".join([x[1] for x in own])).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def token_batches(batches: Iterator[pa.RecordBatch], path: str, text: int, offsets: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
-    lengths = np.array([len(vocab.bytes_of.get(i, b"")) for i in range(len(vocab.names))], np.int64)
+    lengths = np.array([len(b) for b in vocab.bytes_of], np.int64)
     for batch in batches:
-        for lo, hi, _, _ in tk.parts(batch.column(text), 4 * tk.PART_BYTES):
+        for lo, hi, _, _ in tk.parts(batch.column(text), 2 * tk.PART_BYTES):
             part = batch.slice(lo, hi - lo)
-            ids = [np.array([i for x in own for i in x[0]], np.int32) for own in encoded(part.column(text), vocab)]
+            ids = [np.array(" ".join([x[0] for x in own]).split(), np.int32) for own in encoded(part.column(text), vocab)]
             out = {"token_ids": pa.array(ids, pa.list_(pa.int32()))}
             if offsets:
                 out["token_offsets"] = pa.array([np.cumsum(lengths[x]) - lengths[x] for x in ids], pa.list_(pa.int64()))
@@ -334,16 +345,16 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
     df = df.drop("token_ids", "token_offsets")
     at = df.columns.index(text)
     more = ", token_offsets array<bigint>" if offsets else ""
-    return df.mapInArrow(lambda b: token_batches(b, path, at, offsets), f"{_typed(df)}, token_ids array<int>{more}")
+    return bounded_batches(df).mapInArrow(lambda b: token_batches(b, path, at, offsets), f"{_typed(df)}, token_ids array<int>{more}")
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """``df`` with ``decoded``, the text of the ids."""
     df = df.drop("decoded")
     at = df.columns.index(ids)
-    return df.mapInArrow(lambda b: text_batches(b, path, at), f"{_typed(df)}, decoded string")
+    return bounded_batches(df).mapInArrow(lambda b: text_batches(b, path, at), f"{_typed(df)}, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Number of tokens, SHA-256 of the ids and of the bytes they decode to, for each row."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: digest_batches(b, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(lambda b: digest_batches(b, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

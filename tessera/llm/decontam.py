@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
+from tessera.llm.scratch import bounded_batches
 
 #: Each mask keeps SEED_WORDS places.
 MASKS = ("111111", "1101011001", "11001010011")
@@ -141,7 +142,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it holds: where (words, from 0), agreeing words, the item's words."""
-    spark, out = docs.sparkSession, None
+    spark, out = bounded_batches(docs).sparkSession, None
     schema = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, n_match bigint, item_words bigint"
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
@@ -160,7 +161,7 @@ def keep_batches(batches: Iterator[pa.RecordBatch], block: Block, at: int) -> It
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they were."""
-    at = docs.columns.index("text")
+    at = bounded_batches(docs).columns.index("text")
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         docs = docs.mapInArrow(lambda b, s=shared: keep_batches(b, s.value, at), docs.schema)

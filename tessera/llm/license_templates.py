@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import textkit as tk
+from tessera.llm.scratch import bounded_batches
 
 # The phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -204,9 +205,9 @@ def match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def labels(docs: DataFrame) -> DataFrame:
     """Words, base places and labels of each row; ``score`` is 1 with a template, 0.5 with a base phrase only."""
-    return docs.select("doc_id", "text").mapInArrow(label_batches, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(label_batches, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
 
 
 def matches(docs: DataFrame) -> DataFrame:
     """One row for each place where a template is accepted."""
-    return docs.select("doc_id", "text").mapInArrow(match_batches, "doc_id bigint, first_word bigint, end_word bigint, license string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(match_batches, "doc_id bigint, first_word bigint, end_word bigint, license string")

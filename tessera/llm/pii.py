@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import bounded_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "iban", "ssn", "local_phone")
 PRECISION = 0.98
@@ -274,10 +276,10 @@ def redact_batches(batches: Iterator[pa.RecordBatch], model: Selector, at: int)
 def digests(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, and all spans, for each row."""
     model = selector()
-    return docs.select("doc_id", F.col("text")).mapInArrow(lambda b: digest_batches(b, model), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return bounded_batches(docs).select("doc_id", F.col("text")).mapInArrow(lambda b: digest_batches(b, model), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every selected span of ``text`` replaced by its kind in brackets."""
     model, at = selector(), df.columns.index(text)
-    return df.mapInArrow(lambda b: redact_batches(b, model, at), df.schema)
+    return bounded_batches(df).mapInArrow(lambda b: redact_batches(b, model, at), df.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
-from tessera.llm.scratch import cut
+from tessera.llm.scratch import bounded_batches, cut
 from tessera.llm.suffix_arrays import permuted_prefixes, suffix_array
 
 WINDOW, GRAM = 400, 32
@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
 
     A kept text drops bytes of characters that a removed run cuts through.
     """
-    source = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
+    source = bounded_batches(docs).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     anchors = cut(source.select("id", "tk", F.col("text").cast("binary")).mapInArrow(anchor_batches, ANCHOR_SCHEMA))
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     anchors = cut(anchors.join(shared, "anchor", "left_semi"))

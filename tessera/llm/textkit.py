@@ -1,6 +1,6 @@
 """NumPy kernels over the bytes of many texts at once.
 
-Texts arrive as Arrow string columns.  Kernels work on parts of about a megabyte, cut
+Texts arrive as Arrow string columns.  Kernels work on parts of about half a megabyte, cut
 between texts, so that temporaries stay small whatever the batch size is.  Null texts
 count as empty ones.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

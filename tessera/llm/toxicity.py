@@ -9,7 +9,7 @@ whose tail under clean text is an extreme-value law; those above zero add up, an
 turns the sum into a probability.  Scores for the curve come from the other half of the sample.
 
 The fit reads at most SAMPLE_ROWS labelled rows, those with the least hash of their id; scoring
-reads all rows.  Tables have a fixed size (SLOTS), so what is broadcast does not grow.
+reads all rows.  Features met once in the sample carry no score.  Tables have a fixed size (SLOTS), so what is broadcast does not grow.
 
 Edge cases: a null or empty text has no segment and gets the curve's base value; without labelled
 rows of both kinds every score is 0; of several labels of one id the greatest counts; null labels
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
+from tessera.llm.scratch import bounded_batches
 
 SLOTS = 1 << 20
 SAMPLE_ROWS = 20_000
@@ -178,14 +179,16 @@ def probability(rows: list[list[float]], model: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, training: F.Column | None = None) -> Model:
     """A model from ``labels`` (doc_id, toxic) and the texts of ``docs``; ``training``: which labels may be read."""
+    bounded_batches(docs)
     rows = labels.where("doc_id is not null and toxic is not null")
     rows = rows.where(training) if training is not None else rows
     rows = rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "half", "toxic")
-    table = sample.mapInArrow(count_batches, "slot bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("slot").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).toPandas()
-    counts = np.zeros((4, SLOTS))
-    counts[:, table["slot"].to_numpy(np.int64)] = table[["n0", "n1", "n2", "n3"]].to_numpy().T
+    table = sample.mapInArrow(count_batches, "slot bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("slot").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
+    table = table.where("n0 + n1 + n2 + n3 > 1").toPandas()
+    counts = np.zeros((4, SLOTS), np.float32)
+    counts[:, table["slot"].to_numpy(np.int64)] = table[["n0", "n1", "n2", "n3"]].to_numpy(np.float32).T
     halves = [log_odds(counts[1], counts[0]), log_odds(counts[3], counts[2])]
     model = Model(log_odds(counts[1] + counts[3], counts[0] + counts[2]), 1.0, 0.0, np.array([-500.0, 0, 0, 0]))
     if not model.table.any():
@@ -227,7 +230,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Model, spans: bool =
 
 def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """(doc_id, score) for each row; with ``spans`` the significant passages too (UTF-8 byte offsets)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
     more = ", passages array<struct<start:bigint,end:bigint,score:double>>" if spans else ""
     return docs.select("doc_id", "text").mapInArrow(lambda b: score_batches(b, shared.value, spans), "doc_id bigint, score double" + more)
 
@@ -241,7 +244,7 @@ def keep_batches(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> It
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that score below CUTOFF, all columns as they were."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared, at = bounded_batches(docs).sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     return docs.mapInArrow(lambda b: keep_batches(b, shared.value, at), docs.schema)
 
 
