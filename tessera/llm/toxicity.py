@@ -32,7 +32,8 @@ from tessera.llm.scratch import bounded_batches
 SLOTS = 1 << 20
 SAMPLE_ROWS = 20_000
 BEGINNINGS = (4, 5, 6)
-PRIOR = 50.0
+#: The prior weighs as much as this share of the toxic class.
+PRIOR_SHARE = 0.5
 SHRINK = 1.5
 DRIFT = 1.0
 TOP = 6.0
@@ -109,7 +110,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     total = pooled.sum()
     if not toxic.sum() or not clean.sum():
         return np.zeros(len(toxic), np.float32)
-    prior = PRIOR * pooled / total * 1000 + 0.01
+    prior = PRIOR_SHARE * toxic.sum() * pooled / total + 0.01
     a0 = prior.sum()
     a, b = toxic + prior, clean + prior
     delta = np.log(a / (toxic.sum() + a0 - a)) - np.log(b / (clean.sum() + a0 - b))
