@@ -95,12 +95,15 @@ class Block:
         lo, hi = max(0, -first), min(len(words), len(own) - first)
         agree = words[lo:hi] == own[first + lo : first + hi]
         total = int(agree.sum())
-        sums = np.r_[0, np.cumsum(np.where(agree, 1, -4))]
-        gain = sums - np.minimum.accumulate(sums)
-        end = int(gain.argmax())
-        start = int(np.flatnonzero(sums[: end + 1] == sums[: end + 1].min())[0])
-        if end - start >= min(MIN_RUN, len(words)):
-            return first + lo + start, first + lo + end, int(agree[start:end].sum())
+        sums, least = np.r_[0, np.cumsum(np.where(agree, 1, -4))], min(MIN_RUN, len(words))
+        if 0 < least <= len(agree):
+            # The best stretch of at least that many words: a score above 0 is over four words of five.
+            low = np.minimum.accumulate(sums[: len(sums) - least])
+            gain = sums[least:] - low
+            end = int(gain.argmax()) + least
+            if sums[end] > low[end - least]:
+                start = int(sums[: end - least + 1].argmin())
+                return first + lo + start, first + lo + end, int(agree[start:end].sum())
         if total >= WHOLE_SHARE * len(words):
             where = np.flatnonzero(agree)
             return first + lo + int(where[0]), first + lo + int(where[-1]) + 1, total
