@@ -1,17 +1,19 @@
-"""Benchmark passages in documents, found by spaced seeds.
-
-A mask keeps six places of a window of words and ignores the others, so a hit survives words
-that were replaced.  Benchmark and documents meet on the hashes of the masked windows; around
-each hit the document is laid beside the item word by word and judged by the words that agree.
+"""Benchmark passages in documents, found by seeds that no accepted passage can lack.
 
 A document holds an item if, on one diagonal, a stretch of at least 13 words (the item's length
 if that is less) agrees in over four words of five, or if seven tenths of the item's words agree.
 
+Seeds are words in a row that agree.  A stretch with d words replaced has over 4 * d equal ones in
+d + 1 runs, at least 11 for d = 2, so one run has STRETCH_WORDS: every window of that size in items
+of 13 words and more is a seed.  Seven tenths leave at most 3 words of 10 replaced, d of the item's:
+of its d + 1 pieces, cut as evenly as can be, one is whole, so every piece is a seed.  Around each
+hit the document is laid beside the item word by word and judged by the words that agree.
+
 The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one pass over the
 documents for each block, so what is broadcast is bounded whatever the benchmark's size.
 
-Edge cases: null, empty and short items (under SEED_WORDS words) are never found; null texts hold
-nothing; rows with the same id and text give the same rows; several items with one id are told
+Edge cases: null items and items without a word are never found, an item of one to three words
+only word for word; null texts hold nothing; rows with the same id and text give the same rows; several items with one id are told
 apart by their words only, and the best row of an (doc_id, item_id) stays.
 """
 
@@ -27,25 +29,40 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 from tessera.llm.scratch import bounded_batches
 
-#: Each mask keeps SEED_WORDS places.
-MASKS = ("111111", "1101011001", "11001010011")
-SEED_WORDS = 6
 MIN_RUN = 13
-WHOLE_SHARE = 0.7
+STRETCH_WORDS = 4
 BLOCK_WORDS = 1 << 18
 FILTER_BITS = 22
+#: So many hits, and so many words of overlaps, are laid out at once.
+LAID_OUT = 1 << 18
+
+
+def whole_words(n: int) -> int:
+    """The least count of agreeing words that is seven tenths of ``n``."""
+    return -(-7 * n // 10)
+
 
+def seed_hashes(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each size of seed with the hash of each window of so many words."""
+    g = np.zeros(len(hashes) + 1, tk.U64)
+    for size in range(1, min(max(sizes, default=0), len(hashes)) + 1):
+        g = (g[:-1] + hashes[size - 1 :]) * tk.U64(tk.BASE)
+        if size in sizes:
+            yield size, tk.mix(g + tk.U64(size))
 
-def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of each window of words under a mask."""
-    n = len(hashes) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, tk.U64)
-    g = np.full(n, len(mask), tk.U64)
-    for j, keep in enumerate(mask):
-        if keep == "1":
-            g = (g + hashes[j : j + n]) * tk.U64(tk.BASE)
-    return tk.mix(g)
+
+def laid_out(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to LAID_OUT at most (one larger row is a range of its own)."""
+    sums, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + LAID_OUT, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2... for each row, as many as its size says."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Block:
@@ -57,38 +74,68 @@ class Block:
         low = tk.LOWER[buf]
         starts, ends, self.ranges = tk.words(low, bounds, tk.ALNUM_LOWER)
         self.ids, self.words = np.array(ids, np.int64), tk.word_hashes(low, starts, ends)
-        seeds, places = [], []
-        item = np.repeat(np.arange(len(ids)), np.diff(self.ranges))
-        for mask in MASKS:
-            g = seed_hashes(self.words, mask)
-            at = np.flatnonzero(item[: len(g)] == item[len(mask) - 1 : len(mask) - 1 + len(g)]) if len(g) else np.zeros(0, np.int64)
-            seeds.append(g[at])
-            places.append(at)
-        seeds, places = np.concatenate(seeds), np.concatenate(places)
+        sizes = np.diff(self.ranges)
+        item = np.repeat(np.arange(len(ids)), sizes)
+        long = np.flatnonzero(sizes >= MIN_RUN)
+        inner = sizes[long] - STRETCH_WORDS + 1
+        places = [np.repeat(self.ranges[long], inner) + within(inner)]
+        widths = [np.full(len(places[0]), STRETCH_WORDS)]
+        pieces = np.where(sizes > 0, sizes - -(-7 * sizes // 10) + 1, 0)
+        k, of, n = within(pieces), np.repeat(pieces, pieces), np.repeat(sizes, pieces)
+        places.append(np.repeat(self.ranges[:-1], pieces) + k * n // np.maximum(of, 1))
+        widths.append((k + 1) * n // np.maximum(of, 1) - k * n // np.maximum(of, 1))
+        both = np.unique(np.c_[np.concatenate(places), np.concatenate(widths)], axis=0)
+        self.sizes = np.unique(both[:, 1]).tolist()
+        seeds = np.zeros(len(both), tk.U64)
+        for size, g in seed_hashes(self.words, self.sizes):
+            own = both[:, 1] == size
+            seeds[own] = g[both[own, 0]]
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.places, self.item = seeds[order], places[order], item
+        self.seeds, self.places, self.item = seeds[order], both[order, 0], item
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.seeds >> tk.U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def diagonals(self, hashes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, place of the item's first word) of all hits."""
+        """Distinct (text, item, place of the item's first word) of all hits that may count."""
         found = []
         doc = np.repeat(np.arange(len(ranges) - 1), np.diff(ranges))
-        for mask in MASKS:
-            g = seed_hashes(hashes, mask)
+        for size, g in seed_hashes(hashes, self.sizes):
             at = np.flatnonzero(self.filter[(g >> tk.U64(64 - FILTER_BITS)).astype(np.int64)])
-            at = at[doc[at] == doc[at + len(mask) - 1]] if len(at) else at
+            at = at[doc[at] == doc[at + size - 1]]
             lo, hi = np.searchsorted(self.seeds, g[at], "left"), np.searchsorted(self.seeds, g[at], "right")
-            times = hi - lo
-            if not times.any():
-                continue
-            rows = np.repeat(at, times)
-            seed = np.arange(times.sum()) + np.repeat(lo - np.r_[0, np.cumsum(times)[:-1]], times)
-            place = self.places[seed]
-            item = self.item[place]
-            found.append(np.c_[doc[rows], item, rows - ranges[doc[rows]] - (place - self.ranges[item])])
+            at, lo, times = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            for a, b in laid_out(times):
+                rows = np.repeat(at[a:b], times[a:b])
+                place = self.places[np.repeat(lo[a:b], times[a:b]) + within(times[a:b])]
+                item = self.item[place]
+                hits = np.unique(np.c_[doc[rows], item, rows - ranges[doc[rows]] - (place - self.ranges[item])], axis=0)
+                found.append(hits[self.may_count(hits, hashes, ranges)])
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def may_count(self, hits: np.ndarray, hashes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+        """Which diagonals the rule of ``judge`` accepts, all at once."""
+        doc, item, first = hits.T
+        size = self.ranges[item + 1] - self.ranges[item]
+        lo = np.maximum(0, -first)
+        n = np.minimum(size, ranges[doc + 1] - ranges[doc] - first) - lo
+        out = np.zeros(len(hits), bool)
+        for a, b in laid_out(n + 1):
+            row, k = np.repeat(np.arange(b - a), n[a:b] + 1), within(n[a:b] + 1)
+            begin = np.flatnonzero(k == 0)
+            at = (self.ranges[item] + lo)[a:b][row] + k - 1
+            own = (ranges[doc] + first + lo)[a:b][row] + k - 1
+            agree = (self.words[at] == hashes[own]) & (k > 0)
+            total = np.add.reduceat(agree.astype(np.int64), begin)
+            out[a:b] = 10 * total >= 7 * size[a:b]
+            # Sums of each overlap lie below all sums of those before it, so minima do not cross.
+            sums = np.cumsum(np.where(k == 0, 0, np.where(agree, 1, -4)))
+            sums -= sums[begin][row] + row * np.int64(10 * (int(n[a:b].max()) + 1))
+            least = np.minimum(MIN_RUN, size[a:b])[row]
+            end = np.flatnonzero(k >= least)
+            good = sums[end] > np.minimum.accumulate(sums)[end - least[end]]
+            out[a:b][row[end[good]]] = True
+        return out
+
     def judge(self, own: np.ndarray, item: int, first: int) -> tuple[int, int, int] | None:
         """(first word, last word + 1, agreeing words) of the overlap on a diagonal, if it counts."""
         words = self.words[self.ranges[item] : self.ranges[item + 1]]
@@ -104,7 +151,7 @@ class Block:
             if sums[end] > low[end - least]:
                 start = int(sums[: end - least + 1].argmin())
                 return first + lo + start, first + lo + end, int(agree[start:end].sum())
-        if total >= WHOLE_SHARE * len(words):
+        if total >= whole_words(len(words)):
             where = np.flatnonzero(agree)
             return first + lo + int(where[0]), first + lo + int(where[-1]) + 1, total
         return None

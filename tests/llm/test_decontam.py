@@ -43,3 +43,42 @@ def test_rule_at_random():
         first = (len(own) - n) if rng.random() < 0.2 else -cut if own and own[0] in words and own[0] == words[cut] else 0
         block = decontam.Block([1], [" ".join(words)])
         assert (verdict(block, words, own, first) is not None) == accepted(words, own, first)
+
+
+def held(texts, items):
+    """(text, item) by the rule on every diagonal."""
+    return {(d, i) for d, own in enumerate(texts) for i, words in enumerate(items) if any(accepted(words, own, f) for f in range(1 - len(words), len(own)))}
+
+
+def found(texts, items):
+    import pyarrow as pa
+
+    block = decontam.Block(list(range(len(items))), [" ".join(x) for x in items])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([" ".join(x) for x in texts])], ["doc_id", "text"])
+    got = next(decontam.overlap_batches(iter([batch]), block))
+    return set(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+
+
+def test_every_accepted_alignment_has_a_seed(monkeypatch):
+    rng = random.Random(13)
+    items = [[f"w{n}x{k}" for k in range(n)] for n in (*range(0, 31), 38, 50)]
+    for limit in (1 << 18, 40):
+        monkeypatch.setattr(decontam, "LAID_OUT", limit)
+        texts = []
+        for words in items:
+            for _ in range(8):
+                lost = rng.sample(range(len(words)), rng.randint(0, len(words) * 3 // 10 + 1) if words else 0)
+                own = ["x" if k in lost else w for k, w in enumerate(words)]
+                texts.append(["y"] * rng.randrange(4) + own[: rng.choice((len(own), 16))] + ["z"] * rng.randrange(4))
+            # The sparsest accepted one: words replaced at even distances.
+            d = len(words) * 3 // 10
+            texts.append(["x" if any(k == (j + 1) * len(words) // (d + 1) for j in range(d)) else w for k, w in enumerate(words)])
+        want = held(texts, items)
+        assert found(texts, items) == want and len(want) > 200
+
+
+def test_same_words_in_many_places():
+    rng = random.Random(4)
+    items = [[rng.choice("abc") for _ in range(n)] for n in (1, 2, 3, 4, 6, 9, 14, 20, 33)]
+    texts = [[rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(60)]
+    assert found(texts, items) == held(texts, items)
