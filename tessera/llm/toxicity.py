@@ -3,10 +3,12 @@
 Fitting counts hashed features (a word and its beginnings of 4, 5 and 6 bytes) in toxic and in
 clean training texts.  Log-odds have a Dirichlet prior in proportion to the pooled counts and are
 shrunk by their standard error; a word scores its best feature minus DRIFT, so clean text drifts
-downwards; words count once a text, and a repeated word gains less each time.  A linear scan (Ruzzo and Tompa, 1999) finds all maximal segments.  A segment of score
+downwards, and a word scores the same wherever it stands; only the counts take a word once a text.
+A linear scan (Ruzzo and Tompa, 1999) finds all maximal segments.  A segment of score
 S in a text of n words has the normalised score lambda * S - ln(K * n) (Karlin and Altschul, 1990),
 whose tail under clean text is an extreme-value law; those above zero add up, and a logistic curve
-turns the sum into a probability.  Scores for the curve come from the other half of the sample.
+turns the sum into a probability.  The curve learns from all segments of the sample, each half
+scored by the other half's table.
 
 The fit reads at most SAMPLE_ROWS labelled rows, those with the least hash of their id; scoring
 reads all rows.  Features met once in the sample carry no score.  Tables have a fixed size (SLOTS), so what is broadcast does not grow.
@@ -72,16 +74,12 @@ def again(slots: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_scores(slots: list[np.ndarray], ranges: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Each word's best feature minus DRIFT; a gain shrinks with the square of earlier occurrences."""
+def word_scores(slots: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """Each word's best feature minus DRIFT."""
     best = table[slots[0]]
     for s in slots[1:]:
         best = np.maximum(best, table[s])
-    best = best - np.float32(DRIFT)
-    up = np.flatnonzero(best > 0)
-    times = again(slots[0][up], np.searchsorted(ranges, up, "right"))
-    best[up] = np.where(times > 0, best[up] / (1 + times) ** 2 - DRIFT * (times > 0), best[up])
-    return best
+    return best - np.float32(DRIFT)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -139,20 +137,32 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c[used].astype(np.int64)) for c in counts)], ["slot", "n0", "n1", "n2", "n3"])
 
 
-def best_batches(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Segment scores of sample texts by the other half's table, and a histogram of word scores."""
+def halves_scored(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(label, word scores by the other half's table) of sample texts (columns text, half, toxic)."""
     for batch in batches:
         half, toxic = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-        scores, sizes, bins = [], [], []
+        rows = []
         for lo, hi, buf, bounds in tk.parts(batch.column(0)):
             slots, _, _, ranges = word_slots(buf, bounds)
-            both = [word_scores(slots, ranges, t) for t in tables]
-            for d in range(hi - lo):
-                own = both[1 - half[lo + d]][ranges[d] : ranges[d + 1]]
-                scores.append([x[2] for x in segments(own)[:50]])
-                sizes.append(len(own))
-                bins.append(np.histogram(own, BINS, (-1 - DRIFT, TOP))[0] if not toxic[lo + d] else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(toxic.astype(np.int64)), pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array([b.tolist() for b in bins], pa.list_(pa.int64()))], ["toxic", "words", "scores", "bins"])
+            both = [word_scores(slots, t) for t in tables]
+            rows += [(int(toxic[lo + d]), both[1 - half[lo + d]][ranges[d] : ranges[d + 1]]) for d in range(hi - lo)]
+        yield rows
+
+
+def best_batches(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Best segment scores of clean sample texts, and a histogram of word scores."""
+    for rows in halves_scored(batches, tables):
+        clean = [own for toxic, own in rows if not toxic]
+        best = [next((x[2] for x in segments(own)), 0.0) for own in clean]
+        bins = [np.histogram(own, BINS, (-1 - DRIFT, TOP))[0].tolist() for own in clean]
+        yield pa.RecordBatch.from_arrays([pa.array(map(len, clean), pa.int64()), pa.array(best, pa.float64()), pa.array(bins, pa.list_(pa.int64()))], ["words", "best", "bins"])
+
+
+def evidence_batches(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray], model: Model) -> Iterator[pa.RecordBatch]:
+    """Labels and evidence, from all segments, of sample texts."""
+    for rows in halves_scored(batches, tables):
+        found = [evidence([x[2] for x in segments(own)], len(own), model) for _, own in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["toxic", "evidence"])
 
 
 def decay(bins: np.ndarray) -> float:
@@ -195,12 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: F.Column | None = None) ->
     if not model.table.any():
         return model
     shared = docs.sparkSession.sparkContext.broadcast(halves)
-    seen = sample.mapInArrow(lambda b: best_batches(b, shared.value), "toxic bigint, words bigint, scores array<double>, bins array<bigint>").toPandas()
-    model.scale = decay(sum((np.array(b) for b in seen["bins"] if len(b)), np.zeros(BINS)))
-    clean = seen[seen["toxic"] == 0]
-    tops = [model.scale * (s[0] if len(s) else 0.0) - np.log(max(1, n)) for s, n in zip(clean["scores"], clean["words"])]
+    seen = sample.mapInArrow(lambda b: best_batches(b, shared.value), "words bigint, best double, bins array<bigint>").toPandas()
+    model.scale = decay(sum((np.array(b) for b in seen["bins"]), np.zeros(BINS)))
+    tops = [model.scale * s - np.log(max(1, n)) for s, n in zip(seen["best"], seen["words"])]
     model.log_k = float(np.mean(tops) - np.euler_gamma) if tops else 0.0
-    design = np.array([evidence(s, n, model) for s, n in zip(seen["scores"], seen["words"])])
+    law = Model(np.zeros(0, np.float32), model.scale, model.log_k, model.curve)
+    seen = sample.mapInArrow(lambda b: evidence_batches(b, shared.value, law), "toxic bigint, evidence array<double>").toPandas()
+    design = np.array(seen["evidence"].tolist(), float).reshape(-1, 4)
     y, w, ridge = seen["toxic"].to_numpy(float), np.zeros(4), np.array([1e-3, 1e-2, 1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-design @ w))
@@ -215,7 +226,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Model, spans: bool =
         sums, passages = [], []
         for lo, hi, buf, bounds in tk.parts(batch.column(1)):
             slots, starts, ends, ranges = word_slots(buf, bounds)
-            scores = word_scores(slots, ranges, model.table)
+            scores = word_scores(slots, model.table)
             for d in range(hi - lo):
                 found = segments(scores[ranges[d] : ranges[d + 1]])
                 n = int(ranges[d + 1] - ranges[d])
