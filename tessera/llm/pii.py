@@ -33,6 +33,7 @@ PRECISION = 0.98
 ROUNDS, DEPTH, RATE = 30, 3, 0.3
 
 _ANY = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9]")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A match can only begin where its run of digits begins; the look-behind keeps the scan linear.
@@ -41,7 +42,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 GENERATORS = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ssn", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9A-Za-z-])")),
     ("local_phone", re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9A-Za-z-])")),
@@ -96,8 +97,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def proposals(text: str) -> list[tuple[int, int, int]]:
-    """Spans of the generators that hold a digit; they may overlap."""
-    return [(m.start(), m.end(), len(BASE_KINDS) + k) for k, (_, pattern) in enumerate(GENERATORS) for m in pattern.finditer(text) if any("0" <= c <= "9" for c in m[0])]
+    """Spans of the generators, of which all but the secrets' need a digit; they may overlap."""
+    usable = GENERATORS if _DIGIT.search(text) else GENERATORS[:1]
+    return [(m.start(), m.end(), len(BASE_KINDS) + k) for k, (_, pattern) in enumerate(usable) for m in pattern.finditer(text)]
 
 
 def features(text: str, start: int, end: int, kind: int) -> list[float]:
@@ -128,10 +130,13 @@ def examples(n: int = 2500, seed: int = 6) -> tuple[np.ndarray, np.ndarray, np.n
         check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
         return f"DE{check:02d}{body}"
 
-    def one() -> tuple[str, str, bool]:
-        what = int(rng.integers(9))
+    assigned = ('token = "', "secret: ", "api_key=", 'password = "', "Authorization: Bearer ", 'key = "')
+    syllables = "tion en ber schlich keit ver heit ein in ung tor ment able er the an que lle ci ón re das ow con pro ly".split()
+    word = lambda k: "".join(pick(syllables) for _ in range(k))
+
+    def one(what: int) -> tuple[str, str, bool]:
         if what == 0:
-            return pick(('token = "', "secret: ", "api_key=", 'password = "', "Authorization: Bearer ", 'key = "')), chars(pick(("0123456789abcdef", mixed)), int(rng.integers(24, 48))), True
+            return pick(assigned), chars(pick(("0123456789abcdef", mixed)), int(rng.integers(24, 48))), True
         if what == 1:
             return pick((*neutral, "commit ", "sha ", "md5: ", "digest ", "item ")), pick((chars("0123456789abcdef", 40), chars("abcdefghijklmnopqrstuvwxyz-", 24) + number(2), "/".join(chars(mixed, 6) for _ in range(4)), number(24))), False
         if what == 2:
@@ -144,13 +149,24 @@ def examples(n: int = 2500, seed: int = 6) -> tuple[np.ndarray, np.ndarray, np.n
             return pick((*neutral, "order ", "part no. ", "invoice ")), f"{number(3)}-{number(2)}-{number(4)}", False
         if what == 6:
             return pick(("phone ", "tel: ", "call ", "mobile ", "contact ")), pick((f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)} {number(4)} {number(4)}")), True
+        if what == 9:
+            return pick(assigned), chars(pick((mixed[:52], mixed[:26], upper)), int(rng.integers(20, 64))), True
+        if what == 10:
+            plain = pick((word(9), word(12).capitalize(), "-".join(word(2) for _ in range(5)), "_".join(word(2) for _ in range(5)), "/".join(word(3) for _ in range(5)), "".join(word(2).capitalize() for _ in range(6)), pick("-_/+") * int(rng.integers(20, 80))))
+            return pick((*neutral, "the key ", "a secret ", "keys: ", "token ")), plain, False
+        if what == 11:
+            return pick((*assigned, "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN RSA PRIVATE ", f"Bearer eyJ{chars(mixed, 33)}.", *neutral)), chars(mixed + pick(("+/", "_-")), int(rng.integers(100, 1200))), True
+        if what == 12:
+            k = int(rng.integers(20, 150))
+            return pick((*neutral, "the key ")), pick((word(3 * k)[:1200], pick("-_/+aX0") * 8 * k, "-".join(word(2) for _ in range(k)), "/".join(word(2) for _ in range(k)), (word(1) + number(1)) * k, number(8 * k))), False
         if what == 7:
             return pick((*neutral, "date ", "version ")), f"{rng.integers(1900, 2100)}-{number(3)}-{number(3)}", False
         return pick((*neutral, "page ", "isbn ", "order ")), pick((f"{number(3)}-{number(3)}-{number(4)}", f"{number(4)} {number(4)} {number(4)}", f"{number(3)}/{number(3)}.{number(3)}")), False
 
     xs, ys, kinds = [], [], []
-    while len(xs) < n:
-        before, span, truth = one()
+    # After n examples of the first nine makes come as many of each of the other four: words, letters only, long runs.
+    while len(xs) < n + n * 4 // 9:
+        before, span, truth = one(int(rng.integers(9)) if len(xs) < n else 9 + int(rng.integers(4)))
         text = f"lorem ipsum {before}{span} dolor"
         for a, b, kind in proposals(text):
             xs.append(features(text, a, b, kind))
@@ -226,16 +242,15 @@ def find(text: str, model: Selector) -> tuple[list[tuple[int, int, int]], list[t
     """(base spans, all spans), each by start, then kind."""
     base = base_spans(text)
     added: list[tuple[int, int, int]] = []
-    if base or _ANY.search(text):
-        scored = []
-        for a, b, kind in proposals(text):
-            if all(b <= s or a >= e for s, e, _ in base):
-                chance = model.chance(features(text, a, b, kind))
-                if chance >= model.thresholds[kind - len(BASE_KINDS)]:
-                    scored.append((-chance, a, b, kind))
-        for _, a, b, kind in sorted(scored):
-            if all(b <= s or a >= e for s, e, _ in added):
-                added.append((a, b, kind))
+    scored = []
+    for a, b, kind in proposals(text):
+        if all(b <= s or a >= e for s, e, _ in base):
+            chance = model.chance(features(text, a, b, kind))
+            if chance >= model.thresholds[kind - len(BASE_KINDS)]:
+                scored.append((-chance, a, b, kind))
+    for _, a, b, kind in sorted(scored):
+        if all(b <= s or a >= e for s, e, _ in added):
+            added.append((a, b, kind))
     return base, sorted(base + added, key=lambda x: (x[0], x[2]))
 
 
