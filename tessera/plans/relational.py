@@ -199,6 +199,20 @@ def candidate_cascade(spark, d):
     return cd.cascade(mentions, dictionary, fallback).groupBy("query_id", "way").agg(F.count("*").alias("n"), F.round(F.sum("prior"), 4).alias("total"))
 
 
+@query()
+def candidate_cascade_whole(spark, d):
+    """``candidate_cascade`` over all mentions; what a mention finds depends on its form only, so each form is looked up once."""
+    part = parquet(spark, d, "part")
+    rows = part.select(F.col("p_type").alias("mention"), F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("prior"))
+    dictionary = rows.union(part.where("p_size > 25").select(F.lower("p_type"), "p_partkey", "p_retailprice"))
+    fallback = part.select(F.upper("p_brand").alias("mention"), F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("prior"))
+    form = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise(F.lower("p_type"))
+    mentions = part.select(F.col("p_partkey").alias("query_id"), form.alias("mention"))
+    forms = mentions.select(F.col("mention").alias("query_id"), "mention").distinct()
+    found = cd.cascade(forms, dictionary, fallback).groupBy("query_id", "way").agg(F.count("*").alias("n"), F.round(F.sum("prior"), 4).alias("total"))
+    return mentions.join(found.withColumnRenamed("query_id", "mention"), "mention").select("query_id", "way", "n", "total")
+
+
 @query("SELECT l_partkey AS entity, 'A' AS block FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, 'R' FROM lineitem WHERE l_returnflag = 'R'")
 def union_blocks(spark, d):
     part = lambda f: parquet(spark, d, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("entity"), F.lit(f).alias("block"))
