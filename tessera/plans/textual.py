@@ -136,6 +136,20 @@ def mutual_link(spark, d):
     return co.linked(pairs, e)
 
 
+@query()
+def mutual_link_whole(spark, d):
+    """Links of all lines with whole ids: parts have even ones, suppliers odd ones.
+
+    A returned line links its supplier to its part, any other line its part to its supplier.  Besides
+    linked pairs, each part is asked with the supplier of the next line of its order.
+    """
+    lines = parquet(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("back"), (F.col("l_partkey") * 2).alias("part"), (F.col("l_suppkey") * 2 + 1).alias("supplier"))
+    e = lines.select(F.when(F.col("back"), F.col("supplier")).otherwise(F.col("part")).alias("src"), F.when(F.col("back"), F.col("part")).otherwise(F.col("supplier")).alias("dst")).distinct()
+    later = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("supplier").alias("other"))
+    asked = e.union(lines.join(later, ["l_orderkey", "l_linenumber"]).select("part", "other"))
+    return co.linked(asked.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), e)
+
+
 def scored(spark, d):
     m = paired(spark, d)
     return co.scored_pairs(co.document_pairs(m, m), edges(spark, d), sim.UNIVERSE)

@@ -33,3 +33,13 @@ def test_candidate_cascade_whole(spark, duck):
     assert sql.count(" FROM part WHERE p_partkey < 200)") == 1
     got = same(registry.QUERIES["candidate_cascade_whole"](spark, SF), duck.execute(sql.replace(" FROM part WHERE p_partkey < 200)", " FROM part)")))
     assert len(got) == len(duck.execute("select p_partkey from part").fetchall()) > 200
+
+
+def test_mutual_link_whole(spark, duck):
+    sql = """WITH l AS (SELECT *, l_partkey * 2 AS p, l_suppkey * 2 + 1 AS s FROM lineitem), e AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN s ELSE p END AS src, CASE WHEN l_returnflag = 'R' THEN p ELSE s END AS dst FROM l),
+        q AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e UNION SELECT least(x.p, y.s), greatest(x.p, y.s) FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)
+        SELECT a, b, f.src IS NOT NULL OR g.src IS NOT NULL AS is_linked, f.src IS NOT NULL AND g.src IS NOT NULL AS is_mutual
+        FROM q LEFT JOIN e f ON f.src = a AND f.dst = b LEFT JOIN e g ON g.src = b AND g.dst = a"""
+    got = same(registry.QUERIES["mutual_link_whole"](spark, SF), duck.execute(sql))
+    links = len(duck.execute("select distinct l_partkey, l_suppkey from lineitem").fetchall())
+    assert sum(r[2] == "True" for r in got) == links and {r[2:] for r in got} == {("True", "True"), ("True", "False"), ("False", "False")}
