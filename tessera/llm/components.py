@@ -22,7 +22,7 @@ def _stored(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (columns a, b: long), component = least id reached.
 
-    Large and small stars by turns (Kiveris et al., 2014): edges always point from a vertex to a
+    Edges with a null end are left out.  Large and small stars by turns (Kiveris et al., 2014): edges always point from a vertex to a
     lesser one and in the end from every vertex to the least of its component.
     """
     now, seen = _stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())

@@ -2,19 +2,25 @@
 
 Each distinct shingle set gets a MinHash signature.  A document is posted under the values of
 its PREFIX rarest coordinates: two signatures that agree in at least MATCHES of COORDS
-coordinates share one of those.  In a posting list four bits of every coordinate, carried
-along, count collisions; pairs below MATCHES drop out, pairs already in one group are skipped.
-What is left is confirmed on the full shingle sets.
+coordinates share one of those.  In a posting list four bits of every coordinate, carried along,
+bound the collisions from above; the collisions of what is left are counted on whole signatures,
+and pairs of at least MATCHES are confirmed on the full shingle sets.  Pairs already in one group
+are skipped.
 
 Chance: documents of similarity 0.8 agree in 25.6 of 32 coordinates on average; fewer than 13
-have a probability of 2e-7, the chance to miss a link that stands just at the threshold.
+have a probability of 2e-7, the chance to miss a link that stands just at the threshold.  Shingles
+are told apart by 64-bit hashes.
 
-No list is expanded into all its pairs.  First every member is held against the list's pivot
-(its least id); then only members outside the pivot's group are held against the rest.
+No list is expanded into all its pairs.  Every member is held against the list's pivot, and what
+links is one group from then on.  A document of which too few shingles stand in any other group
+is settled.  The rest gets other pivots as long as those join much.  What then is left meets in
+cells of bounded size, planned by the distances to the pivot (the triangle inequality rules the
+others out): their number grows with the square of the members of one star that similar texts
+neither link to a pivot nor set apart, and with nothing else.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; rows that share
-an id are one vertex; a null id comes back with a null component and is kept; repeated rows
-come back as often as they came; other columns are not read.
+an id are one vertex, which links where any of their texts does; a null id comes back with a null
+component and is kept; repeated rows come back as often as they came; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +35,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 from tessera.llm.components import components
-from tessera.llm.scratch import bounded_batches, cut
+from tessera.llm.scratch import bounded_batches, cut, drop
 
 COORDS, MATCHES = 32, 13
 PREFIX = COORDS - MATCHES + 1
 THRESHOLD = 80
+#: Documents with equal sums and size have equal sets, as far as a hash can tell.
+SAME = ["sum1", "sum2", "n_shingles"]
+#: Members of a star that one task holds against each other, and their shingles, at most.
+BLOCK, BLOCK_SHINGLES, BANDS = 512, 1 << 21, 20
+#: Shingles of pivots that a worker keeps between rows.
+CACHED_SHINGLES = 1 << 20
+#: A further pivot is tried while the last ones linked at least one in so many open documents.
+SETTLING = 8
 #: Coordinate values posted most often, put last in every prefix; any number gives right results.
 COMMON_VALUES = 1 << 16
 COMMON_LOCAL = 8
@@ -91,10 +105,14 @@ def signature_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.
             )
 
 
+def coordinates(sig: pa.Array) -> np.ndarray:
+    """(rows, COORDS) values."""
+    return np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, COORDS)
+
+
 def values_of(sig: pa.Array) -> np.ndarray:
     """(rows, COORDS) longs: the coordinate above, its value below."""
-    raw = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, COORDS)
-    return (np.arange(COORDS, dtype=np.int64) << 32) | raw
+    return (np.arange(COORDS, dtype=np.int64) << 32) | coordinates(sig)
 
 
 def common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,27 +150,101 @@ def posting_batches(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(chosen), *(batch.column(c).take(rows) for c in (0, 2, 3))], ["value", "id", "sk1", "sk2"])
 
 
-def confirm_batches(batches: Iterator[pa.RecordBatch], k: int, threshold: int) -> Iterator[pa.RecordBatch]:
+def set_rows(opener: zstandard.ZstdDecompressor, packed: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of packed texts: all hashes, and each text's range among them."""
+    texts = [opener.decompress(x.as_py()) for x in packed]
+    values, at = [np.zeros(0, tk.U64)], [np.zeros(1, np.int64)]
+    for _, _, buf, bounds in tk.parts(pa.array(texts, pa.binary())):
+        some, ranges = sets_of(buf, bounds, k)
+        values.append(some)
+        at.append(ranges[1:] + at[-1][-1])
+    return np.concatenate(values), np.concatenate(at)
+
+
+def one_set(opener: zstandard.ZstdDecompressor, packed: bytes, k: int) -> np.ndarray:
+    buf = np.frombuffer(opener.decompress(packed), np.uint8)
+    return sets_of(buf, np.array([0, len(buf)], np.int64), k)[0]
+
+
+def copy_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, id, sums, size, left, right): the rows whose full sets are equal."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
-        keep = []
-        kept_for, last = None, None
-        for a, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-            if a != kept_for:
-                kept_for, last = a, one_set(opener, left, k)
-            other = one_set(opener, right, k)
-            both = len(np.intersect1d(last, other, assume_unique=True))
-            keep.append(100 * both >= threshold * (len(last) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def one_set(opener: zstandard.ZstdDecompressor, packed: pa.Scalar, k: int) -> np.ndarray:
-    buf = np.frombuffer(opener.decompress(packed.as_py()), np.uint8)
-    return sets_of(buf, np.array([0, len(buf)], np.int64), k)[0]
+        keep = [a.as_py() == b.as_py() or np.array_equal(one_set(opener, a.as_py(), k), one_set(opener, b.as_py(), k)) for a, b in zip(batch.column(5), batch.column(6))]
+        yield pa.RecordBatch.from_arrays(batch.columns[:5], ["doc_id", "id", *SAME]).filter(pa.array(keep, pa.bool_()))
+
+
+def measure_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, their signatures and packed texts) -> (a, b, collisions, distance) where collisions suffice."""
+    opener = zstandard.ZstdDecompressor()
+    sets: dict[bytes, np.ndarray] = {}
+    for batch in batches:
+        met = (coordinates(batch.column(2)) == coordinates(batch.column(3))).sum(axis=1)
+        rows = np.flatnonzero(met >= MATCHES)
+        distance = np.zeros(len(rows))
+        both = np.zeros((len(rows), 3), np.int64)
+        for j, i in enumerate(rows.tolist()):
+            left, right = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+            if left not in sets:
+                if sum(map(len, sets.values())) > CACHED_SHINGLES:
+                    sets.clear()
+                sets[left] = one_set(opener, left, k)
+            x, y = sets[left], one_set(opener, right, k)
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            both[j] = n, len(x), len(y)
+            distance[j] = 1 - n / (len(x) + len(y) - n)
+        take = pa.array(rows)
+        cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(met[rows]), *(pa.array(c) for c in both.T), pa.array(distance)]
+        yield pa.RecordBatch.from_arrays(cols, ["a", "b", "met", "both", "n_a", "n_b", "distance"])
+
+
+def shingle_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, g, n_shingles, packed) -> one row for each shingle."""
+    opener = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for lo in range(0, len(batch), 64):
+            part = batch.slice(lo, 64)
+            values, at = set_rows(opener, part.column(3), k)
+            rows = pa.array(np.repeat(np.arange(len(part)), np.diff(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(part.column(c).take(rows) for c in range(3))], ["hash", "id", "g", "n_shingles"])
+
+
+def cell_links(table: pa.Table, k: int, threshold: int) -> pa.Table:
+    """Links between different groups among a cell's members, by collisions and then full sets."""
+    table = table.combine_chunks().sort_by([("p", "ascending"), ("side", "ascending"), ("id", "ascending")])
+    ids, star, side = (table[c].to_numpy() for c in ("id", "p", "side"))
+    _, group = np.unique(table["g"].to_numpy(), return_inverse=True)
+    sig = coordinates(table["sig"].combine_chunks())
+    values, at = set_rows(zstandard.ZstdDecompressor(), table["packed"].combine_chunks(), k)
+    sizes = np.diff(at)
+    vocabulary, place = np.unique(values, return_inverse=True)
+    present = np.zeros(len(vocabulary), bool)
+    found: list[tuple[int, int]] = []
+    begin = np.flatnonzero(np.r_[True, star[1:] != star[:-1]])
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(ids)]):
+        first_right = lo + int(np.searchsorted(side[lo:hi], 2))
+        lefts = range(lo, first_right) if first_right < hi else range(lo, hi)
+        for i in lefts:
+            other = np.arange(first_right, hi) if first_right < hi else np.arange(i + 1, hi)
+            # Pairs already in one group are skipped, groups that met in this cell included.
+            other = other[group[other] != group[i]]
+            other = other[100 * np.minimum(sizes[other], sizes[i]) >= threshold * np.maximum(sizes[other], sizes[i])]
+            other = other[(sig[other] == sig[i]).sum(axis=1) >= MATCHES]
+            if not len(other):
+                continue
+            present[place[at[i] : at[i + 1]]] = True
+            both = np.array([np.count_nonzero(present[place[at[j] : at[j + 1]]]) for j in other.tolist()], np.int64)
+            present[place[at[i] : at[i + 1]]] = False
+            for j in other[100 * both >= threshold * (sizes[i] + sizes[other] - both)].tolist():
+                if group[j] != group[i]:
+                    found.append((int(ids[i]), int(ids[j])))
+                    group[group == group[j]] = group[i]
+    cols = list(zip(*found)) or [(), ()]
+    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
 
 def agreeing(a: str, b: str) -> F.Column:
-    """Coordinates whose four bits agree."""
+    """Coordinates whose four bits agree: no less than the true collisions."""
 
     def same(x: str) -> F.Column:
         d = F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))
@@ -163,12 +255,109 @@ def agreeing(a: str, b: str) -> F.Column:
     return same("sk1") + same("sk2")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = texts.select(F.col("id").alias("a"), F.col("packed").alias("left"))
-    two = texts.select(F.col("id").alias("b"), F.col("packed").alias("right"))
-    rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return rows.mapInArrow(lambda x: confirm_batches(x, k, threshold), "a bigint, b bigint")
+def fetched(signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets' rows of some documents, each once."""
+    rows = signed.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", *SAME, "sig", "packed")
+    return cut(rows.dropDuplicates(["id", *SAME]))
+
+
+def copies_of(known: DataFrame, k: int) -> DataFrame:
+    """(doc_id, id, sums, size) of documents whose set equals that of ``id``, the least such document."""
+    classes = cut(known.groupBy(*SAME).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id <> last").drop("last"))
+    pairs = cut(known.select("doc_id", *SAME).join(classes, SAME).where("doc_id <> id").select("doc_id", "id", *SAME).distinct())
+    texts = fetched(known, cut(pairs.select(F.col("doc_id").alias("id")).union(classes.select("id")).distinct())).drop("sig")
+    left = texts.select(F.col("id").alias("doc_id"), *SAME, F.col("packed").alias("left"))
+    right = texts.select("id", *SAME, F.col("packed").alias("right"))
+    both = pairs.join(left, ["doc_id", *SAME]).join(right, ["id", *SAME]).select("doc_id", "id", *SAME, "left", "right")
+    out = cut(both.mapInArrow(lambda x: copy_batches(x, k), "doc_id bigint, id bigint, sum1 bigint, sum2 bigint, n_shingles bigint"))
+    return out
+
+
+def posting_lists(unlike: DataFrame) -> DataFrame:
+    """(value, id, sk1, sk2): lists of coordinate values under which different documents are posted."""
+    table = unlike.select("sig").mapInArrow(common_batches, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
+    top = table.orderBy(F.desc("n"), "value").limit(COMMON_VALUES).toPandas().sort_values("value")
+    common = (top["value"].to_numpy(np.int64), top["n"].clip(upper=(1 << 23)).to_numpy(np.int64))
+    posted = unlike.select(F.col("doc_id").alias("id"), "sig", "sk1", "sk2").mapInArrow(lambda x: posting_batches(x, common), "value bigint, id bigint, sk1 bigint, sk2 bigint")
+    # Written first: a join beside an exchange of its own can be split where a value is hot.
+    met = cut(posted.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value"))
+    out = cut(posted.join(met, "value", "left_semi"))
+    drop(met)
+    return out
+
+
+def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the group of each id; an id in no link is its own group."""
+    return rows.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id"))
+
+
+def unsettled(lists: DataFrame) -> DataFrame:
+    """Lists (value, id, g, ...) that hold more than one group."""
+    several = cut(lists.groupBy("value").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("value"))
+    return lists.join(several, "value", "left_semi")
+
+
+def able(lists: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Lists without the documents that no other group can hold enough shingles of.
+
+    A link needs ``threshold`` hundredths of a document's own shingles in one document of another
+    group, so at least as many must stand in other groups at all.
+    """
+    ids = cut(lists.select("id", "g").distinct())
+    rows = cut(texts.join(ids, "id").select("id", "g", "n_shingles", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash bigint, id bigint, g bigint, n_shingles bigint"))
+    foreign = cut(rows.groupBy("hash").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("hash"))
+    shared = rows.join(foreign, "hash", "left_semi").groupBy("id", "n_shingles").agg(F.count("*").alias("n"))
+    fit = cut(shared.where(100 * F.col("n") >= threshold * F.col("n_shingles")).select("id").distinct())
+    drop(rows, foreign, ids)
+    return lists.join(fit, "id", "left_semi")
+
+
+def stars(lists: DataFrame, turn: int) -> DataFrame:
+    """(p, id, m): each list's members and its pivot, with the collisions that their sketches allow."""
+    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    pivots = cut(lists.groupBy("value").agg(F.min(F.struct(order.alias("o"), "id", "g", "sk1", "sk2")).alias("x")).select("value", F.col("x.id").alias("p"), F.col("x.g").alias("pg"), F.col("x.sk1").alias("p_sk1"), F.col("x.sk2").alias("p_sk2")))
+    met = lists.join(pivots, "value").where("id <> p").withColumn("m", agreeing("", "p_"))
+    return cut(met.groupBy("p", "id").agg(F.max("pg").alias("pg"), F.max("g").alias("g"), F.max("m").alias("m")))
+
+
+def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Collisions and distance of the pairs (p, id)."""
+    one = texts.select(F.col("id").alias("b"), F.col("sig").alias("b_sig"), F.col("packed").alias("right"))
+    two = texts.select(F.col("id").alias("a"), F.col("sig").alias("a_sig"), F.col("packed").alias("left"))
+    rows = pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).join(one, "b").join(two, "a").select("a", "b", "a_sig", "b_sig", "left", "right")
+    return cut(rows.mapInArrow(lambda x: measure_batches(x, k), "a bigint, b bigint, met bigint, both bigint, n_a bigint, n_b bigint, distance double"))
+
+
+def across(star: DataFrame, measures: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links between members of one star that stand in different groups, found cell by cell.
+
+    Members are dealt into blocks of BLOCK by their distance to the pivot.  Distances of sets obey
+    the triangle inequality, so only blocks whose distances differ by no more than a link's can
+    hold a link; a member without a measured distance meets every block.  A row is a document in a
+    cell, never a pair.
+    """
+    reach = int(-(-(100 - threshold) * BANDS // 100))
+    far = measures.groupBy(F.col("a").alias("p"), F.col("b").alias("id")).agg(F.min("distance").alias("distance"))
+    members = star.join(far, ["p", "id"], "left").join(texts.groupBy("id").agg(F.max("n_shingles").alias("size")), "id")
+    mixed = star.groupBy("p").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("p")
+    members = cut(members.join(mixed, "p", "left_semi").withColumn("band", F.coalesce(F.floor(F.col("distance") * BANDS).cast("int"), F.lit(-1))))
+    parts = lambda n, w: F.greatest(F.ceil(F.col(n) / F.lit(BLOCK)), F.ceil(F.col(w) / F.lit(BLOCK_SHINGLES)))
+    whole = members.groupBy("p").agg(F.count("*").alias("of"), F.sum("size").alias("weight")).withColumn("parts", parts("of", "weight"))
+    members = members.join(whole.select("p", (F.col("parts") > 1).alias("large")), "p").withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(F.lit(0)))
+    blocks = members.groupBy("p", "band", "large").agg(F.count("*").alias("of"), F.sum("size").alias("weight"))
+    blocks = cut(blocks.withColumn("subs", parts("of", "weight").cast("long")).drop("of", "weight"))
+    placed = members.drop("large").join(blocks, ["p", "band"]).withColumn("sub", F.pmod(F.xxhash64("id", F.lit(5)), F.col("subs"))).select("p", "id", "g", "band", "sub", "large")
+    each = blocks.where("large").select("p", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"))
+    other = each.select("p", F.col("band").alias("band2"), F.col("sub").alias("sub2"))
+    before = (F.col("band") < F.col("band2")) | ((F.col("band") == F.col("band2")) & (F.col("sub") <= F.col("sub2")))
+    near = (F.col("band") < 0) | (F.col("band2") - F.col("band") <= reach)
+    cells = cut(each.join(other, "p").where(before & near).withColumn("cell", F.xxhash64("band", "sub", "band2", "sub2", "p")))
+    left = cells.select("p", "band", "sub", "cell", F.when((F.col("band") == F.col("band2")) & (F.col("sub") == F.col("sub2")), F.lit(0)).otherwise(F.lit(1)).alias("side"))
+    right = cells.where("band <> band2 or sub <> sub2").select("p", F.col("band2").alias("band"), F.col("sub2").alias("sub"), "cell", F.lit(2).alias("side"))
+    hot = placed.where("large").join(left.union(right), ["p", "band", "sub"]).select("p", "id", "g", "cell", "side")
+    small = placed.where("not large").withColumn("cell", F.xxhash64("p")).withColumn("side", F.lit(0)).select("p", "id", "g", "cell", "side")
+    held = hot.union(small).join(texts.select("id", "sig", "packed"), "id")
+    return cut(held.groupBy("cell").applyInArrow(lambda t: cell_links(t, k, threshold), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -176,43 +365,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     schema = "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, sig binary, sk1 bigint, sk2 bigint, packed binary"
     signed = cut(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: signature_batches(x, k), schema))
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    same = ["sum1", "sum2", "n_shingles"]
-    classes = known.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    # A class is met again by its sums; its representative's row has the rest.
-    links = cut(known.select("doc_id", *same).join(classes, same).select("doc_id", "id"))
-    chosen = classes.withColumnRenamed("id", "doc_id").select("doc_id", *same)
-    of_class = known.join(chosen, ["doc_id", *same], "left_semi")
-    table = known.select("sig").mapInArrow(common_batches, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    top = table.orderBy(F.desc("n"), "value").limit(COMMON_VALUES).toPandas().sort_values("value")
-    common = (top["value"].to_numpy(np.int64), top["n"].clip(upper=(1 << 23)).to_numpy(np.int64))
-    posted = of_class.select(F.col("doc_id").alias("id"), "sig", "sk1", "sk2").mapInArrow(lambda x: posting_batches(x, common), "value bigint, id bigint, sk1 bigint, sk2 bigint")
-    # Written first: a join beside an exchange of its own can be split where a value is hot.
-    pivots = cut(posted.groupBy("value").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("value", "pivot"))
-    lists = cut(posted.join(pivots, "value"))
-    pivot_rows = lists.where("id = pivot").select("value", F.col("sk1").alias("p_sk1"), F.col("sk2").alias("p_sk2")).dropDuplicates(["value"])
-    texts = known.select(F.col("doc_id").alias("id"), "packed")
-    near = lists.where("id <> pivot").join(pivot_rows, "value").withColumn("m", agreeing("", "p_")).where(F.col("m") >= MATCHES)
-    best = near.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("m", F.negative("pivot").alias("p"))).alias("best"))
-    first = best.select("b", F.negative("best.p").alias("a"))
-    edges = cut(confirmed(first, texts, k, threshold))
-    groups = components(edges).withColumnRenamed("component", "g")
-    labelled = lists.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id"))
-    labelled = cut(labelled.join(groups.select(F.col("id").alias("pivot"), F.col("g").alias("pg")), "pivot", "left").withColumn("pg", F.coalesce("pg", "pivot")))
-    out = labelled.where("g <> pg").select("value", F.col("id").alias("b"), F.col("g").alias("b_g"), F.col("pg").alias("b_pg"), F.col("sk1").alias("b_sk1"), F.col("sk2").alias("b_sk2"))
-    rest = labelled.select("value", F.col("id").alias("a"), "g", "pg", "sk1", "sk2").join(out, "value").where("g <> b_g and (g = pg or a < b)")
-    second = rest.where(agreeing("", "b_") >= MATCHES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(confirmed(second, texts, k, threshold))
-    first_groups = groups.select(F.col("id").alias("a"), F.col("g").alias("b"))
-    final = components(first_groups.union(more).union(links.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
-    return (
+    copies = copies_of(known, k)
+    lists = posting_lists(known.join(copies, ["doc_id", *SAME], "left_anti"))
+    texts = fetched(known, cut(lists.select("id").distinct()))
+    lists = lists.withColumn("g", F.col("id"))
+    edges, measures, turn = None, None, 0
+    while True:
+        star = stars(lists, turn)
+        tested = measured(star.where(F.col("m") >= MATCHES).where("g <> pg"), texts, k)
+        links = tested.where(100 * F.col("both") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+        edges = links if edges is None else edges.union(links)
+        measures = tested if measures is None else measures.union(tested)
+        groups = cut(components(edges).withColumnRenamed("component", "g"))
+        lists = unsettled(grouped(lists.drop("g"), groups))
+        lists = cut(unsettled(able(cut(lists), texts, k, threshold)))
+        seen = lists.agg(F.count_distinct("id").alias("open")).first()["open"]
+        turn += 1
+        # Another pivot pays while pivots still join a good part of what is open.
+        if not seen or turn >= 2 and links.count() * SETTLING < seen:
+            break
+    first = groups.select(F.col("id").alias("a"), F.col("g").alias("b"))
+    every = first.union(copies.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    if seen:
+        every = every.union(across(stars(lists, turn - 1), measures, texts, k, threshold))
+    final = components(every)
+    out = (
         signed.select("doc_id", "n_shingles")
         .join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    out = cut(out)
+    drop(signed, texts)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates; rows without an id stay."""
-    gone = near_duplicates(docs, k, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """``docs`` with one document of each group of near-duplicates; rows without an id stay.
+
+    Rows with the same id and text are one document, of which one row stays.  Rows with the same id
+    and different texts are documents of their own: a vertex is then named by a hash below zero.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = cut(repeated)
+    if repeated.isEmpty():
+        gone = near_duplicates(docs, k, threshold).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = -1 - F.abs(F.xxhash64("doc_id", "text") % F.lit(1 << 62))
+    marked = docs.join(repeated.withColumn("__again", F.lit(True)), "doc_id", "left")
+    marked = cut(marked.withColumn("__vertex", F.when(F.col("__again"), own).otherwise(F.col("doc_id"))).drop("__again"))
+    single = marked.where("__vertex < 0 and doc_id is not null").dropDuplicates(["__vertex"])
+    marked = marked.where("__vertex >= 0 or __vertex is null").union(single)
+    gone = near_duplicates(marked.select(F.col("__vertex").alias("doc_id"), "text"), k, threshold).where("not kept").select(F.col("doc_id").alias("__vertex"))
+    return marked.join(gone, "__vertex", "left_anti").select(*docs.columns)

@@ -6,28 +6,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where all of Spark runs in one process on one machine and no folder is named, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local default where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    """The folder in ``spark.checkpoint.dir``; without it a default in local mode, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_DEFAULT
+
+
+def _hadoop_path(spark: SparkSession, path: str) -> tuple:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
-    A lost executor costs at most the steps after this table.  The table goes when the
-    driver's JVM ends (``FileSystem.deleteOnExit``).
+    A lost executor costs at most the steps after this table.  The table goes with ``drop``, or
+    when the driver's JVM ends (``FileSystem.deleteOnExit``).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    hpath, files = _hadoop_path(spark, path)
+    files.deleteOnExit(hpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` whose last reader has been written."""
+    for df in tables:
+        hpath, files = _hadoop_path(df.sparkSession, df.scratch_path)
+        files.delete(hpath, True)
 
 
 #: Rows in an Arrow batch, at most: a batch of long texts stands in memory several times over.
