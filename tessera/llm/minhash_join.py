@@ -11,7 +11,8 @@ Chance: documents of similarity 0.8 agree in 25.6 of 32 coordinates on average;
 have a probability of 2e-7, the chance to miss a link that stands just at the threshold.  Shingles
 are told apart by 64-bit hashes.
 
-No list is expanded into all its pairs.  Every member is held against the list's pivot, and what
+Documents that share fewer than MATCHES of all their coordinates with any others are done.  No list
+is expanded into all its pairs.  Every member is held against the list's pivot, and what
 links is one group from then on.  A document of which too few shingles stand in any other group
 is settled.  The rest gets other pivots as long as those join much.  What then is left meets in
 cells of bounded size, planned by the distances to the pivot (the triangle inequality rules the
@@ -286,6 +287,24 @@ def posting_lists(unlike: DataFrame) -> DataFrame:
     return out
 
 
+def coordinate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sig) -> (value, id) for all coordinates."""
+    for batch in batches:
+        values = values_of(batch.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(values)), COORDS)))], ["value", "id"])
+
+
+def screened(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Lists without the documents that share fewer than MATCHES of all their coordinates with any other."""
+    ids = cut(lists.select("id").distinct())
+    posted = cut(known.select(F.col("doc_id").alias("id"), "sig").join(ids, "id", "left_semi").mapInArrow(coordinate_batches, "value bigint, id bigint"))
+    met = cut(posted.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value"))
+    fit = cut(posted.join(met, "value", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= MATCHES).select("id"))
+    drop(posted, met, ids)
+    several = lists.join(fit, "id", "left_semi")
+    return cut(unsettled(cut(several.withColumn("g", F.col("id")))))
+
+
 def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with the group of each id; an id in no link is its own group."""
     return rows.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id"))
@@ -366,9 +385,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     signed = cut(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: signature_batches(x, k), schema))
     known = signed.where("n_shingles > 0 and doc_id is not null")
     copies = copies_of(known, k)
-    lists = posting_lists(known.join(copies, ["doc_id", *SAME], "left_anti"))
+    lists = screened(posting_lists(known.join(copies, ["doc_id", *SAME], "left_anti")), known)
     texts = fetched(known, cut(lists.select("id").distinct()))
-    lists = lists.withColumn("g", F.col("id"))
     edges, measures, turn = None, None, 0
     while True:
         star = stars(lists, turn)
