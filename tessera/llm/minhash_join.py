@@ -200,14 +200,14 @@ def measure_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Re
 
 
 def shingle_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(id, g, n_shingles, packed) -> one row for each shingle."""
+    """(id, g, packed) -> one row for each shingle."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
         for lo in range(0, len(batch), 64):
             part = batch.slice(lo, 64)
-            values, at = set_rows(opener, part.column(3), k)
+            values, at = set_rows(opener, part.column(2), k)
             rows = pa.array(np.repeat(np.arange(len(part)), np.diff(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(part.column(c).take(rows) for c in range(3))], ["hash", "id", "g", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(part.column(c).take(rows) for c in range(2))], ["hash", "id", "g"])
 
 
 def cell_links(table: pa.Table, k: int, threshold: int) -> pa.Table:
@@ -271,6 +271,7 @@ def copies_of(known: DataFrame, k: int) -> DataFrame:
     right = texts.select("id", *SAME, F.col("packed").alias("right"))
     both = pairs.join(left, ["doc_id", *SAME]).join(right, ["id", *SAME]).select("doc_id", "id", *SAME, "left", "right")
     out = cut(both.mapInArrow(lambda x: copy_batches(x, k), "doc_id bigint, id bigint, sum1 bigint, sum2 bigint, n_shingles bigint"))
+    drop(classes, pairs, texts)
     return out
 
 
@@ -323,10 +324,10 @@ def able(lists: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
     group, so at least as many must stand in other groups at all.
     """
     ids = cut(lists.select("id", "g").distinct())
-    rows = cut(texts.join(ids, "id").select("id", "g", "n_shingles", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash bigint, id bigint, g bigint, n_shingles bigint"))
+    rows = cut(texts.join(ids, "id").select("id", "g", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash bigint, id bigint, g bigint"))
     foreign = cut(rows.groupBy("hash").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("hash"))
-    shared = rows.join(foreign, "hash", "left_semi").groupBy("id", "n_shingles").agg(F.count("*").alias("n"))
-    fit = cut(shared.where(100 * F.col("n") >= threshold * F.col("n_shingles")).select("id").distinct())
+    shared = rows.join(foreign, "hash", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    fit = cut(shared.join(texts.groupBy("id").agg(F.min("n_shingles").alias("n_shingles")), "id").where(100 * F.col("n") >= threshold * F.col("n_shingles")).select("id"))
     drop(rows, foreign, ids)
     return lists.join(fit, "id", "left_semi")
 
@@ -396,7 +397,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
         measures = tested if measures is None else measures.union(tested)
         groups = cut(components(edges).withColumnRenamed("component", "g"))
         lists = unsettled(grouped(lists.drop("g"), groups))
-        lists = cut(unsettled(able(cut(lists), texts, k, threshold)))
+        lists = cut(lists if turn else unsettled(able(cut(lists), texts, k, threshold)))
         seen = lists.agg(F.count_distinct("id").alias("open")).first()["open"]
         turn += 1
         # Another pivot pays while pivots still join a good part of what is open.
