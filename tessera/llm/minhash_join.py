@@ -266,7 +266,7 @@ def copies_of(known: DataFrame, k: int) -> DataFrame:
     """(doc_id, id, sums, size) of documents whose set equals that of ``id``, the least such document."""
     classes = cut(known.groupBy(*SAME).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id <> last").drop("last"))
     pairs = cut(known.select("doc_id", *SAME).join(classes, SAME).where("doc_id <> id").select("doc_id", "id", *SAME).distinct())
-    texts = fetched(known, cut(pairs.select(F.col("doc_id").alias("id")).union(classes.select("id")).distinct())).drop("sig")
+    texts = fetched(known, cut(pairs.select(F.col("doc_id").alias("id")).union(classes.select("id")).distinct()))
     left = texts.select(F.col("id").alias("doc_id"), *SAME, F.col("packed").alias("left"))
     right = texts.select("id", *SAME, F.col("packed").alias("right"))
     both = pairs.join(left, ["doc_id", *SAME]).join(right, ["id", *SAME]).select("doc_id", "id", *SAME, "left", "right")
