@@ -112,7 +112,8 @@ def string_features(mention: Column, entity: Column) -> dict[str, Column]:
     guard = lambda c: F.when(fits, c).otherwise(0.0)
     return {
         "es": guard(edit_similarity(mention, entity)),
-        "jaro_winkler": guard(jaro_winkler(mention, entity)),
+        # Python is worked out before the guard, so rows that fail it send nulls.
+        "jaro_winkler": guard(jaro_winkler(F.when(fits, mention), F.when(fits, entity))),
         "start_with": guard(starts_with(mention, entity)),
         "end_with": guard(ends_with(mention, entity)),
         "same": guard(same(mention, entity)),

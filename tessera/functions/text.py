@@ -13,6 +13,8 @@ ENTITY_PREFIX = "en.wikipedia.org/wiki/"
 BRACKET_NUMBER = r"\[([0-9]+)\]"
 PARAGRAPH = r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"
 ARTICLE_LIMIT = 1_000_000
+HEADING = r"={2,}[\p{L}\p{N}_ |:–]+={2,}"
+PRONUNCIATION = r"/[^\n]*[\x{0250}-\x{02FF}][^\n]*/"
 
 
 def tokens(text: Column) -> Column:
@@ -71,10 +73,14 @@ def reflow(text: Column) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Without headings between equals signs, pronunciations between slashes, and triple line ends."""
-    out = F.regexp_replace(text, r"={2,}[^=]*={2,}", "")
-    out = F.regexp_replace(out, r"/[^/\s]+/", "")
-    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+    """Without plain headings and pronunciations; three line ends become one.
+
+    A heading holds words, blanks, bars, dashes and colons only; a pronunciation goes from a line's
+    first slash to its last and counts only with a phonetic letter between them.
+    """
+    out = F.regexp_replace(text, HEADING, "")
+    out = F.regexp_replace(out, PRONUNCIATION, "")
+    return F.replace(out, F.lit("\n\n\n"), F.lit("\n"))
 
 
 def html_paragraphs(html: Column) -> Column:

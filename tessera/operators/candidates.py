@@ -58,6 +58,52 @@ def without_first(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.join(gold.withColumnRenamed("entity", "gold"), "query_id").where((F.col("entity") != F.col("gold")) | (F.col("nth") > 1)).drop("nth", "gold")
 
 
+def whitelisted(candidates: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Candidates in their mention's filter; a mention without a filter drops out."""
+    return candidates.join(allowed.select("query_id", "entity").distinct(), ["query_id", "entity"], "left_semi")
+
+
+def missed_only(candidates: DataFrame, missed: DataFrame) -> DataFrame:
+    """Candidates of mentions whose gold entity was missed before; the first one stands in as gold."""
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+    return candidates.join(missed.select("query_id"), "query_id", "left_semi").withColumn("label", (first == 1).cast("int"))
+
+
+def first_prior(candidates: DataFrame) -> DataFrame:
+    """The prior of each query's first candidate in the dictionary's order."""
+    return candidates.groupBy("query_id").agg(F.max_by("prior", F.struct(F.col("prior"), -F.col("pos"))).alias("first_prior"))
+
+
+def any_of(df: DataFrame, columns: list[str], values: DataFrame) -> DataFrame:
+    """Rows of which one column or another stands in a list (``values``: value), once each."""
+    found = F.lit(False)
+    for i, c in enumerate(columns):
+        df = df.join(values.select(F.col("value").alias(c), F.lit(True).alias(f"_in{i}")).distinct(), c, "left")
+        found = found | F.col(f"_in{i}").isNotNull()
+    return df.where(found).drop(*(f"_in{i}" for i in range(len(columns))))
+
+
+def in_array(df: DataFrame, lists: DataFrame, key: str, array: str) -> DataFrame:
+    """Rows whose key stands in any of the arrays."""
+    return df.join(lists.select(F.explode(array).alias(key)).distinct(), key, "left_semi")
+
+
+def in_category(df: DataFrame, column: str, category: str) -> DataFrame:
+    """Rows whose category text names a category."""
+    return df.where(F.contains(F.lower(column), F.lit(category.lower())))
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with ``place``, an order by hash that the seed fixes; ties by key."""
+    mixed = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return df.withColumn("place", mixed)
+
+
+def others(df: DataFrame, key: str, value: str, own: str) -> DataFrame:
+    """The distinct values of a key's rows without the own one."""
+    return df.where(~F.col(value).eqNullSafe(F.col(own))).select(key, own, value).distinct()
+
+
 def last_prior(candidates: DataFrame) -> DataFrame:
     """Of repeated candidates the prior of the last one counts."""
     return candidates.groupBy("query_id", "entity").agg(F.max_by("prior", "pos").alias("prior"))

@@ -9,12 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.similarity import ngd, njs, pmi
+from tessera.functions.similarity import ngd, njs, phrase_kernel, pmi
+from tessera.operators.ranking import top_k
+
+#: Edges of a source whose pairs are all formed.
+HUB = 64
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """In-degree of each entity (distinct sources)."""
-    return edges.groupBy(F.col("dst").alias("entity")).agg(F.count_distinct("src").alias("degree"))
+    """In-degree of each entity; ``edges`` are distinct."""
+    return edges.groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("degree"))
+
+
+def neighbour_pairs(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, common): neighbours that pairs share.
+
+    A source of up to HUB edges gives its pairs outright; sources with more meet the pairs asked for
+    only, from one end to the other.
+    """
+    fan = edges.groupBy("src").agg(F.count("*").alias("fan"))
+    sized = edges.join(fan, "src")
+    few, many = sized.where(F.col("fan") <= HUB).drop("fan"), sized.where(F.col("fan") > HUB).drop("fan")
+    own = few.select(F.col("dst").alias("a"), "src").join(few.select(F.col("dst").alias("b"), "src"), "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    left, right = many.select(F.col("dst").alias("a"), "src"), many.select(F.col("dst").alias("b"), "src")
+    hubs = distinct.join(left, "a").join(right, ["b", "src"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return own.unionByName(hubs).groupBy("a", "b").agg(F.sum("n").alias("common"))
 
 
 def document_pairs(candidates: DataFrame, others: DataFrame, k: int | None = None) -> DataFrame:
@@ -31,9 +50,7 @@ def document_pairs(candidates: DataFrame, others: DataFrame, k: int | None = Non
 def pair_links(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """common, degree_a, degree_b for each distinct unordered pair (a < b) of ``pairs`` (entity, other)."""
     distinct = pairs.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).distinct()
-    left = edges.select(F.col("dst").alias("a"), "src").distinct()
-    right = edges.select(F.col("dst").alias("b"), "src").distinct()
-    common = distinct.join(left, "a").join(right, ["b", "src"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    common = neighbour_pairs(distinct, edges)
     size = degrees(edges)
     return (
         distinct.join(common, ["a", "b"], "left")
@@ -50,7 +67,7 @@ def similarities(links: DataFrame, universe: int) -> DataFrame:
 
 def linked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Whether either entity links to the other, and whether both do."""
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst")
     out = pairs.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("ab")), ["a", "b"], "left")
     out = out.join(e.select(F.col("src").alias("b"), F.col("dst").alias("a"), F.lit(1).alias("ba")), ["a", "b"], "left")
     return out.withColumn("is_linked", F.col("ab").isNotNull() | F.col("ba").isNotNull()).withColumn("is_mutual", F.col("ab").isNotNull() & F.col("ba").isNotNull()).drop("ab", "ba")
@@ -75,12 +92,15 @@ def two_level(scored: DataFrame, column: str) -> DataFrame:
     return inner.groupBy("doc_id", "query_id", "entity").agg(F.max("hi").alias("max_max"), F.avg("hi").alias("avg_max"), F.max("mid").alias("max_avg"), F.avg("mid").alias("avg_avg"))
 
 
-def top_three(scored: DataFrame, column: str) -> DataFrame:
-    """The three best of the other mentions' best values, 0 where there are fewer."""
-    inner = scored.groupBy("doc_id", "query_id", "entity", "other_query").agg(F.max(column).alias("hi"))
-    best = F.slice(F.sort_array(F.collect_list("hi"), False), 1, 3)
-    rows = inner.groupBy("doc_id", "query_id", "entity").agg(best.alias("best"))
-    return rows.select("doc_id", "query_id", "entity", *(F.coalesce(F.try_element_at("best", F.lit(j)), F.lit(0.0)).alias(f"top{j}") for j in (1, 2, 3)))
+def top_three(scored: DataFrame, *columns: str) -> DataFrame:
+    """For each column the three best of the other mentions' best values, 0 where there are fewer."""
+    keys = ["doc_id", "query_id", "entity"]
+    inner = scored.groupBy(*keys, "other_query").agg(*(F.max(c).alias(c) for c in columns))
+    # The window keeps three rows a group before the shuffle, whatever the group's size.
+    each = inner.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns))).alias("v")).select(*keys, "v.name", "v.x")
+    best = top_k(each, [*keys, "name"], [F.desc("x")], 3)
+    at = lambda c, j: F.coalesce(F.max(F.when((F.col("name") == c) & (F.col("rank") == j), F.col("x"))), F.lit(0.0))
+    return best.groupBy(*keys).agg(*(at(c, j).alias(f"top{j}" if len(columns) == 1 else f"{c}_top{j}") for c in columns for j in (1, 2, 3)))
 
 
 def phrase_similarity(entity: DataFrame, mention: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,5 +113,5 @@ def phrase_similarity(entity: DataFrame, mention: DataFrame, keys: list[str]) ->
     met = e.join(mention.select(*keys, F.col("phrase").alias("m_phrase"), "token", "pos"), [*keys, "token"])
     pair = met.groupBy(*keys, "e_phrase", "m_phrase").agg(F.count_distinct("token").alias("matches"), (F.max("pos") - F.min("pos") + 1).alias("cover"), F.sum("e_weight").alias("matched"))
     pair = pair.join(totals, [*keys, "e_phrase"])
-    weight = F.col("total") * F.col("matches") / F.col("cover") * F.pow(F.col("matched") / F.col("total"), F.lit(2.0))
-    return pair.groupBy(*keys, "e_phrase").agg(F.max(weight).alias("best"), F.count("*").alias("n_phrases")).groupBy(*keys).agg(F.sum("best").alias("similarity"), F.sum("n_phrases").alias("n_matches"))
+    weight = phrase_kernel(F.col("matches"), F.col("cover"), F.col("matched"), F.col("total"))
+    return pair.groupBy(*keys, "e_phrase").agg(F.max(weight).alias("best"), F.count("*").alias("n_phrases")).groupBy(*keys).agg(F.sum("best").alias("similarity"), F.sum("n_phrases").alias("n_matches"), F.max("best").alias("highest"))

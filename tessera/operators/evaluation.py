@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import min_max
+from tessera.operators.ranking import min_max, top_k
 
 
 def outcomes(df: DataFrame) -> DataFrame:
@@ -15,10 +15,11 @@ def outcomes(df: DataFrame) -> DataFrame:
     return rows.withColumn("correct", F.coalesce((F.col("gold") > F.col("other")) | (F.col("gold").isNotNull() & F.col("other").isNull()), F.lit(False)))
 
 
-def precision_recall(df: DataFrame, total: int | None = None) -> DataFrame:
-    """n, n_correct, p, r, f1; recall over ``total`` mentions (all groups if not given); 0 where undefined."""
+def precision_recall(df: DataFrame, total: DataFrame | None = None) -> DataFrame:
+    """n, n_correct, p, r, f1; recall over the mentions in ``total``, a table of one row (all groups if not given); 0 where undefined."""
     sums = outcomes(df).agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
-    p, r = F.try_divide("n_correct", "n"), F.try_divide(F.col("n_correct"), F.lit(total) if total is not None else F.col("n"))
+    sums = sums.crossJoin(total) if total is not None else sums.withColumn("total", F.col("n"))
+    p, r = F.try_divide("n_correct", "n"), F.try_divide("n_correct", "total")
     scored = sums.select("n", "n_correct", F.coalesce(p, F.lit(0.0)).alias("p"), F.coalesce(r, F.lit(0.0)).alias("r"))
     return scored.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
 
@@ -28,10 +29,10 @@ def top_hits(df: DataFrame) -> DataFrame:
 
     A gold score tied for first counts as a top-2 hit, not as right.
     """
-    best = F.slice(F.sort_array(F.collect_list("score"), False), 1, 3)
-    rows = df.groupBy("query_id").agg(best.alias("s"), F.max(F.when(F.col("label") == 1, F.col("score"))).alias("gold"))
-    at = lambda j: F.try_element_at("s", F.lit(j))
-    rows = rows.select("gold", at(1).alias("s1"), at(2).alias("s2"), at(3).alias("s3"))
+    gold = df.where("label = 1").groupBy("query_id").agg(F.max("score").alias("gold"))
+    at = lambda j: F.max(F.when(F.col("rank") == j, F.col("score")))
+    rows = top_k(df.select("query_id", "score"), ["query_id"], [F.desc("score")], 3).groupBy("query_id").agg(at(1).alias("s1"), at(2).alias("s2"), at(3).alias("s3"))
+    rows = rows.join(gold, "query_id", "left").select("gold", "s1", "s2", "s3")
     right = F.coalesce((F.col("gold") == F.col("s1")) & ((F.col("s2") < F.col("s1")) | F.col("s2").isNull()), F.lit(False))
     hit2 = F.coalesce(F.col("gold") >= F.coalesce("s2", "s1"), F.lit(False))
     hit3 = F.coalesce(F.col("gold") >= F.coalesce("s3", "s2", "s1"), F.lit(False))
@@ -51,6 +52,35 @@ def errors_by_document(df: DataFrame) -> DataFrame:
     return docs.join(outcomes(df), "query_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("errors"))
 
 
+def margin_histogram(df: DataFrame) -> DataFrame:
+    """(outcome, margin, n): rounded margins of the first two scores, -1 for queries of one row.
+
+    Right queries count with their margin, wrong ones where the gold row is second.
+    """
+    top = top_k(df.select("query_id", "score"), ["query_id"], [F.desc("score")], 2)
+    at = lambda j: F.max(F.when(F.col("rank") == j, F.col("score")))
+    rows = top.groupBy("query_id").agg(at(1).alias("s1"), at(2).alias("s2")).join(outcomes(df), "query_id")
+    counted = rows.where(F.col("correct") | (F.col("gold") == F.col("s2")) | (F.col("n") == 1))
+    margin = F.when(F.col("n") == 1, -1.0).otherwise(F.rint(F.col("s1") - F.col("s2")))
+    return counted.groupBy(F.when(F.col("correct"), "right").otherwise("wrong").alias("outcome"), margin.alias("margin")).agg(F.count("*").alias("n"))
+
+
+def errors_by_category(df: DataFrame, categories: DataFrame) -> DataFrame:
+    """Each document's errors by category of the gold entity, and the wrong queries in order.
+
+    ``df``: doc_id, query_id, entity, score, label; ``categories``: entity, category.
+    """
+    gold = df.where("label = 1").select("doc_id", "query_id", "entity").join(categories, "entity", "left")
+    rows = gold.join(outcomes(df), "query_id")
+    wrong = F.sort_array(F.collect_list(F.when(~F.col("correct"), F.col("query_id"))))
+    return rows.groupBy("doc_id", "category").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("errors"), wrong.alias("wrong"))
+
+
+def evaluated(df: DataFrame, measure) -> DataFrame:
+    """The outcome of a measure of the caller's choice, a function of the ranked candidates."""
+    return measure(df)
+
+
 def linear_blend(df: DataFrame, first: str, second: str, weight: float) -> DataFrame:
     """Accuracy of a blend of two features, each scaled within its query."""
     scaled = min_max(min_max(df, ["query_id"], first, "_a"), ["query_id"], second, "_b")

@@ -22,7 +22,11 @@ def nearest_related(mentions: DataFrame, surfaces: DataFrame) -> DataFrame:
     must be longer than the mention and begin or end with it, whatever the case.  Distance 0 wins,
     then the nearest before, then the nearest after, then the form seen first.
     """
-    near = mentions.join(surfaces, "doc_id").where((F.length("surface") > F.length("mention")) & starts_or_ends_with(F.col("surface"), F.col("mention")))
+    low, places = F.lower("surface"), F.sequence(F.lit(1), F.greatest(F.length(F.lower("surface")), F.lit(1)))
+    # Documents may hold many mentions of many forms: they meet by a form's beginnings and ends.
+    ends = F.concat(F.transform(places, lambda n: F.left(low, n)), F.transform(places, lambda n: F.right(low, n)))
+    pieces = surfaces.withColumn("piece", F.explode(F.array_distinct(ends)))
+    near = mentions.withColumn("piece", F.lower("mention")).join(pieces, ["doc_id", "piece"]).where((F.length("surface") > F.length("mention")) & starts_or_ends_with(F.col("surface"), F.col("mention")))
     d = F.col("offset") - F.col("at")
     order = F.struct((d != 0).cast("int").alias("a"), (d < 0).cast("int").alias("b"), F.abs(d).alias("c"), F.col("seq").alias("d"))
     best = near.groupBy("query_id").agg(F.min_by("surface", order).alias("surface"))
@@ -44,6 +48,10 @@ def same_spans(coref: DataFrame, ner: DataFrame) -> DataFrame:
     return coref.join(ner, ["doc_id", "sentence", "start", "end"])
 
 
+# Fixed value: words that begin with a capital, in a row.
+SPAN = r"(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"
+
+
 def without_types(spans: DataFrame, column: str = "ner") -> DataFrame:
     # Entity types that are no mentions.
     excluded = ["DATE", "TIME", "PERCENT", "MONEY", "QUANTITY", "ORDINAL", "CARDINAL", "NUMBER", "DURATION"]
@@ -51,10 +59,18 @@ def without_types(spans: DataFrame, column: str = "ner") -> DataFrame:
 
 
 def capitalised_spans(docs: DataFrame) -> DataFrame:
-    """Runs of capitalised words and their first characters' places: a stand-in for a recogniser."""
-    runs = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+)"), F.lit(1))
-    spans = docs.select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("span"))
-    return spans.select("doc_id", "span", (F.instr("text", F.col("span")) - 1).alias("start"))
+    """Every run of capitalised words and the place of its first character: a stand-in for a recogniser.
+
+    Text between runs and the runs themselves come from one pattern, so places are sums of lengths.
+    """
+    runs = F.regexp_extract_all("text", F.lit(SPAN), F.lit(1))
+    between = F.transform(F.split("text", SPAN, -1), F.length)
+    rows = docs.select("doc_id", runs.alias("runs"), between.alias("gaps")).where(F.size("runs") > 0)
+    steps = F.transform(F.arrays_zip("runs", F.slice("gaps", F.lit(1), F.size("runs")).alias("gaps")), lambda x: F.struct(x["runs"].alias("span"), x["gaps"].alias("gap")))
+    rows = rows.select("doc_id", F.posexplode(steps).alias("nth", "s"))
+    before = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(F.col("s.gap") + F.length("s.span")).over(before), F.lit(0))
+    return rows.select("doc_id", F.col("s.span").alias("span"), (passed + F.col("s.gap")).cast("int").alias("start"))
 
 
 def max_surface_offsets(mentions: DataFrame) -> DataFrame:
@@ -62,5 +78,11 @@ def max_surface_offsets(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("doc_id", "surface").agg(F.sort_array(F.collect_list("at")).alias("offsets"))
 
 
-def first_of_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def document_mentions(mentions: DataFrame) -> DataFrame:
+    """Each document's mentions in order of their offsets."""
+    return mentions.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "surface"))), lambda x: x["surface"]).alias("mentions"))
+
+
+def entity_sets(candidates: DataFrame) -> DataFrame:
+    """Each mention's distinct entities, in order."""
+    return candidates.groupBy("mention").agg(F.sort_array(F.collect_set("entity")).alias("entities"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import tokens
+from tessera.sources.workspace import stored
 
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
@@ -20,14 +21,17 @@ def index(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def counts(docs: DataFrame, group: list[str], doc: str) -> DataFrame:
-    """group, doc, token, n: how often a token stands in a document."""
-    return exploded(docs, *group, doc).groupBy(*group, doc, "token").agg(F.count("*").alias("n"))
+    """group, doc, token, n, total: how often a token stands in a document, and the document's tokens.
+
+    Written once: statistics of documents and of tokens both read it.  ``doc`` names one row of ``docs``.
+    """
+    rows = docs.select(*group, doc, tokens(F.col("text")).alias("t")).select(*group, doc, F.size("t").alias("total"), F.explode("t").alias("token"))
+    return stored(rows.groupBy(*group, doc, "token").agg(F.count("*").alias("n"), F.max("total").alias("total")))
 
 
 def term_frequency(token_counts: DataFrame, group: list[str], doc: str) -> DataFrame:
     """tf: a token's share of its document's tokens."""
-    totals = token_counts.groupBy(*group, doc).agg(F.sum("n").alias("total"))
-    return token_counts.join(totals, [*group, doc]).withColumn("tf", F.col("n") / F.col("total")).drop("total")
+    return token_counts.select(*group, doc, "token", "n", (F.col("n") / F.col("total")).alias("tf"))
 
 
 def spread(token_counts: DataFrame, docs: DataFrame, group: list[str], normalized: bool = True) -> DataFrame:
@@ -70,6 +74,66 @@ def idf_entropy_mix(rows: DataFrame, keys: list[str], weights: tuple[float, ...]
     return scaled.groupBy(*keys).agg(*(F.sum((w * F.col("idf_s") + (1 - w) * F.col("entropy")) * F.col("tf")).alias(f"mix_{str(w).replace('.', '_')}") for w in weights))
 
 
+def older_statistics(mention: DataFrame, entity_tf: DataFrame, stats: DataFrame, keys: list[str], entity: str) -> DataFrame:
+    """The earlier twelve statistics: sums, weighted sums and maxima of entropy, idf, tf*idf and tf*entropy."""
+    rows = mention.join(entity_tf, [*keys, "token"]).join(stats, [*keys, "token"])
+    w, tf, idf, h = (F.col(c) for c in ("w", "tf", "idf", "entropy"))
+    found = {"etp": h, "idf": idf, "tf_idf": tf * idf, "tf_entropy": tf * h}
+    out = []
+    for name, x in found.items():
+        out += [F.sum(x).alias(f"{name}_sum"), F.sum(x * w).alias(f"w_{name}_sum"), F.greatest(F.max(x), F.lit(0.0)).alias(f"max_{name}")]
+    return rows.groupBy(*keys, entity).agg(*out)
+
+
+def meaningful(rows: DataFrame, stopwords: DataFrame, entities: DataFrame) -> DataFrame:
+    """Tokens that are neither stopwords nor inside an entity, and each entity once, at its first token.
+
+    ``rows``: doc_id, pos, token; ``stopwords``: token; ``entities``: doc_id, start, end (tokens, the
+    end excluded), entity.
+    """
+    inside = entities.select("doc_id", "entity", "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    marked = rows.join(inside, ["doc_id", "pos"], "left").join(stopwords.select("token", F.lit(True).alias("stop")), "token", "left")
+    kept = marked.where(F.when(F.col("entity").isNull(), F.col("stop").isNull()).otherwise(F.col("pos") == F.col("start")))
+    return kept.select("doc_id", "pos", F.coalesce("entity", "token").alias("token"))
+
+
+def spliced(rows: DataFrame, stopwords: DataFrame, entities: DataFrame) -> DataFrame:
+    """As ``meaningful``, but what follows a document's last entity keeps its stopwords."""
+    last = entities.groupBy("doc_id").agg(F.max("end").alias("tail"))
+    head = meaningful(rows, stopwords, entities).join(last, "doc_id", "left").where("pos < tail").drop("tail")
+    tail = rows.join(last, "doc_id", "left").where("pos >= coalesce(tail, 0)").select("doc_id", "pos", "token")
+    return head.unionByName(tail)
+
+
+def log2_tf_idf(token_counts: DataFrame, docs: DataFrame, group: list[str], doc: str) -> DataFrame:
+    """tf * log2(documents / df)."""
+    size = docs.groupBy(*group).agg(F.count("*").alias("size"))
+    df = token_counts.groupBy(*group, "token").agg(F.count("*").alias("df")).join(F.broadcast(size), group)
+    return token_counts.join(df, [*group, "token"]).select(*group, doc, "token", (F.col("n") / F.col("total") * F.log2(F.col("size") / F.col("df"))).alias("tf_idf"))
+
+
+def token_weights(tokens_: DataFrame, idf: DataFrame, mi: DataFrame, occurrences: DataFrame, collection: int, default_mi: float = 0.001) -> DataFrame:
+    """idf (log2 of the collection where unknown), mi (a default where unknown), log2(collection / (count + 1)).
+
+    ``tokens_``: entity, token; ``idf``: token, idf; ``mi``: entity, token, mi; ``occurrences``: token, count.
+    """
+    out = tokens_.join(idf, "token", "left").join(mi, ["entity", "token"], "left").join(occurrences, "token", "left")
+    size = F.lit(float(collection))
+    return out.select("entity", "token", F.coalesce("idf", F.log2(size)).alias("idf"), F.coalesce("mi", F.lit(default_mi)).alias("mi"), F.log2(size / (F.coalesce("count", F.lit(0)) + 1)).alias("aida"))
+
+
+def proximity(phrases: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """(query_id, distance, phrase): 0 for phrases that hold the mention or stand in it, 1 for the others.
+
+    ``phrases``: query_id, mention, tuple, phrase.  A tuple counts only if it has a phrase at 0.
+    """
+    m, p = F.lower("mention"), F.lower("phrase")
+    rows = phrases.where(p != "null").join(stopwords.select(F.col("token").alias("low"), F.lit(True).alias("stop")), p == F.col("low"), "left")
+    rows = rows.withColumn("distance", F.when(F.col("stop").isNull() & (F.contains(p, m) | F.contains(m, p)), 0).otherwise(1))
+    near = rows.where("distance = 0").select("query_id", "tuple").distinct()
+    return rows.join(near, ["query_id", "tuple"], "left_semi").select("query_id", "distance", "phrase").distinct()
+
+
 def context_windows(docs: DataFrame, keep: list[str], targets: DataFrame, width: int) -> DataFrame:
     """Tokens up to ``width`` places around each occurrence of a target token, one row for each.
 
@@ -83,6 +147,11 @@ def context_windows(docs: DataFrame, keep: list[str], targets: DataFrame, width:
     return near.where((F.abs(F.col("pos") - F.col("centre")) <= width) & (F.col("pos") != F.col("centre"))).select(*keep, "target", "centre", "pos", "token")
 
 
+def matrix_max(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """How many cells of a matrix are filled, and its highest value, by key."""
+    return cells.where("value > 0").groupBy(*keys).agg(F.count("*").alias("n_cells"), F.max("value").alias("highest"))
+
+
 def cooccurrence(mention: DataFrame, entity: DataFrame, keys: list[str]) -> DataFrame:
     """Dense cells (row token, column entity): product of the two counts, 0 where they do not meet.
 

@@ -1,28 +1,79 @@
-"""Ranking models and iteration: rows only, since SQL has no training."""
+"""Ranking models and iteration; where training decides, SQL has no twin."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators.learning import bootstrap, iterate_top_k, pairwise_rows, train_pairwise
+from tessera.functions.similarity import UNIVERSE
+from tessera.operators import evaluation as ev
+from tessera.operators import learning as ln
 from tessera.plans.registry import query
-from tessera.plans.views import candidates
+from tessera.plans.views import CANDIDATES, candidates, edges
 from tessera.sources.readers import parquet
+from tessera.sources.workspace import fresh_path
 
+FEATURES = ["prior", "score"]
+TIMES = "CASE " + " ".join(f"WHEN u < {x!r} THEN {k}" for k, x in enumerate(ln.POISSON)) + f" ELSE {len(ln.POISSON)} END"
 
-@query()
+
+@query(f"""SELECT doc_id, times::BIGINT AS times, CASE WHEN times > 0 THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, {TIMES} AS times
+    FROM (SELECT doc_id, ('0x' || substr(md5(doc_id || '-1'), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders)))""")
 def bootstrap_oob(spark, d):
-    drawn, left = bootstrap(parquet(spark, d, "orders").select(F.col("o_custkey").alias("doc_id")).distinct(), "doc_id", 1)
+    drawn, left = ln.bootstrap(parquet(spark, d, "orders").select(F.col("o_custkey").alias("doc_id")).distinct(), "doc_id", 1)
     return drawn.withColumn("part", F.lit("train")).unionByName(left.withColumn("times", F.lit(0).cast("long")).withColumn("part", F.lit("test")))
 
 
+@query(f"""SELECT query_id, pos, round(CASE WHEN label = 1 THEN sum(pull) OVER w ELSE -pull END, 6) AS gradient
+    FROM (SELECT *, CASE WHEN label = 1 THEN 0 ELSE 1 / (1 + exp(max(CASE WHEN label = 1 THEN score / 1000 END) OVER (PARTITION BY query_id) - score / 1000)) END AS pull FROM {CANDIDATES}) WINDOW w AS (PARTITION BY query_id)""")
+def pairwise_gradients(spark, d):
+    rows = candidates(spark, d).withColumn("s", F.col("score") / 1000)
+    return ln.pairwise_gradients(rows, "s").select("query_id", "pos", F.round("gradient", 6).alias("gradient"))
+
+
 @query()
 def pairwise_ranker(spark, d):
     rows = candidates(spark, d)
-    model = train_pairwise(pairwise_rows(rows, ["prior", "score"]), ["prior", "score"])
+    model = ln.train_pairwise(ln.pairwise_rows(rows, FEATURES), FEATURES)
     return model.score(rows).select("query_id", "pos", F.round("predicted", 6).alias("predicted"))
 
 
+@query()
+def boosted_ranker(spark, d):
+    """Trained, saved, read again, and its score taken as a feature."""
+    rows = candidates(spark, d)
+    path = ln.train_boosted(rows, FEATURES, rounds=3, depth=3).save(spark, fresh_path(spark), "base")
+    return ln.load_ranker(spark, path).score(rows, "boosted").select("query_id", "pos", F.round("boosted", 6).alias("boosted"))
+
+
+@query()
+def ranker_importance(spark, d):
+    model = ln.train_boosted(candidates(spark, d), FEATURES, rounds=3, depth=3)
+    return spark.createDataFrame([(f, round(x, 6)) for f, x in model.importance().items()], "feature string, importance double")
+
+
+@query()
+def ranker_sweep(spark, d):
+    rows = candidates(spark, d)
+    found = ln.sweep(rows, rows, FEATURES, [1, 2], [2, 3], lambda df: ev.precision_recall(df).select("p"))
+    return spark.createDataFrame([(n, depth, float(p)) for n, depth, p in found], "rounds int, depth int, p double")
+
+
+@query()
+def ranker_on_mistakes(spark, d):
+    rows = candidates(spark, d)
+    first = ln.train_boosted(rows, FEATURES, rounds=2, depth=3)
+    more = ln.train_boosted(ln.mistakes(rows, first), FEATURES, rounds=1, depth=3, start=first)
+    return more.score(rows).select("query_id", "pos", F.round("predicted", 6).alias("predicted"))
+
+
+@query()
+def recurrent_linking(spark, d):
+    own = parquet(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("doc_id"))
+    rows = candidates(spark, d).join(own, "query_id").select("doc_id", "query_id", "entity", "pos", "label", *FEATURES)
+    out = ln.recurrent(rows, edges(spark, d), UNIVERSE, FEATURES, iterations=1, rounds=2)
+    return out.select("query_id", "pos", F.round("coherence_max", 6).alias("coherence_max"), F.round("predicted", 6).alias("predicted"))
+
+
 @query()
 def iterate_topk_filter(spark, d):
-    return iterate_top_k(candidates(spark, d), ["prior", "score"], k=3, rounds=2).select("query_id", "entity", "pos", "round")
+    return ln.iterate_top_k(candidates(spark, d), FEATURES, k=3, rounds=2).select("query_id", "entity", "pos", "round")

@@ -18,6 +18,13 @@ def query(sql: str | None = None):
     return register
 
 
+def chosen(name: str):
+    """The query of a name, as a user may add one; an unknown name is an error."""
+    if name not in QUERIES:
+        raise ValueError(f"no query is called {name!r}")
+    return QUERIES[name]
+
+
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import learning, relational, textual  # noqa: F401
+    from tessera.plans import learning, linking, relational, storage, textual  # noqa: F401

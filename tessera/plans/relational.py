@@ -134,7 +134,7 @@ def mask_non_topk(spark, d):
     s AS (SELECT count(*) AS n, count(*) FILTER (g > b OR b IS NULL) AS c FROM o), t AS (SELECT count(*) AS total FROM orders)
     SELECT n, c AS n_correct, round(c / n, 6) AS p, round(c / total, 6) AS r, round(2 * (c / n) * (c / total) / (c / n + c / total), 6) AS f1 FROM s, t""")
 def prf_eval(spark, d):
-    total = parquet(spark, d, "orders").count()
+    total = parquet(spark, d, "orders").agg(F.count("*").alias("total"))
     return ev.precision_recall(candidates(spark, d), total).select("n", "n_correct", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
 
 
@@ -183,25 +183,14 @@ def resolve_redirects(spark, d):
 
 @query("""WITH dict AS (SELECT p_type AS mention, p_partkey AS entity, p_retailprice AS prior FROM part UNION ALL SELECT lower(p_type), p_partkey, p_retailprice FROM part WHERE p_size > 25),
     fb AS (SELECT upper(p_brand) AS mention, p_partkey AS entity, p_retailprice AS prior FROM part),
-    m AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_brand ELSE lower(p_type) END AS mention FROM part WHERE p_partkey < 200),
+    m AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_brand ELSE lower(p_type) END AS mention FROM part),
     k AS (SELECT query_id, 0 AS way, CASE WHEN mention = upper(mention) THEN upper(mention[1]) || lower(mention[2:]) ELSE mention END AS form FROM m UNION ALL SELECT query_id, 1, mention FROM m UNION ALL SELECT query_id, 2, lower(mention) FROM m),
     f AS (SELECT query_id, way, entity, prior FROM k JOIN dict ON form = mention UNION ALL SELECT query_id, 3, entity, prior FROM m JOIN fb ON fb.mention = upper(m.mention)),
     s AS (SELECT query_id, way, count(*) AS n FROM f GROUP BY query_id, way),
     b AS (SELECT query_id, way FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN way < 2 THEN 0 ELSE way END, n DESC, way) AS r FROM s) WHERE r = 1)
     SELECT query_id, way, count(*) AS n, round(sum(prior), 4) AS total FROM f JOIN b USING (query_id, way) GROUP BY query_id, way""")
 def candidate_cascade(spark, d):
-    part = parquet(spark, d, "part")
-    rows = part.select(F.col("p_type").alias("mention"), F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("prior"))
-    dictionary = rows.union(part.where("p_size > 25").select(F.lower("p_type"), "p_partkey", "p_retailprice"))
-    fallback = part.select(F.upper("p_brand").alias("mention"), F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("prior"))
-    form = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise(F.lower("p_type"))
-    mentions = part.where("p_partkey < 200").select(F.col("p_partkey").alias("query_id"), form.alias("mention"))
-    return cd.cascade(mentions, dictionary, fallback).groupBy("query_id", "way").agg(F.count("*").alias("n"), F.round(F.sum("prior"), 4).alias("total"))
-
-
-@query()
-def candidate_cascade_whole(spark, d):
-    """``candidate_cascade`` over all mentions; what a mention finds depends on its form only, so each form is looked up once."""
+    # What a mention finds depends on its form only, so each form is looked up once.
     part = parquet(spark, d, "part")
     rows = part.select(F.col("p_type").alias("mention"), F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("prior"))
     dictionary = rows.union(part.where("p_size > 25").select(F.lower("p_type"), "p_partkey", "p_retailprice"))
@@ -219,9 +208,9 @@ def union_blocks(spark, d):
     return part("A").unionByName(part("R"))
 
 
-@query("SELECT DISTINCT l_partkey AS entity FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT DISTINCT l_orderkey AS entity FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def set_difference(spark, d):
-    part = lambda f: parquet(spark, d, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("entity")).distinct()
+    part = lambda f: parquet(spark, d, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_orderkey").alias("entity")).distinct()
     return part("A").join(part("R"), "entity", "left_anti")
 
 

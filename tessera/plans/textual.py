@@ -18,10 +18,10 @@ def docs(spark, d):
     return parquet(spark, d, "documents").select("doc_id", "text", *GROUP)
 
 
-@query(f"SELECT doc_id, token, count(*) AS n, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last FROM {PLACED} GROUP BY doc_id, token")
+@query(f"SELECT doc_id, token, count(*) AS n, md5(string_agg(pos::VARCHAR, ',' ORDER BY pos)) AS places FROM {PLACED} GROUP BY doc_id, token")
 def token_index(spark, d):
     found = tk.index(docs(spark, d), "doc_id")
-    return found.select("doc_id", "token", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).alias("first"), F.element_at("positions", -1).alias("last"))
+    return found.select("doc_id", "token", F.size("positions").cast("long").alias("n"), F.md5(F.array_join("positions", ",").cast("binary")).alias("places"))
 
 
 COUNTS = f"(SELECT lang, source, doc_id, token, count(*) AS n FROM {TOKENS} GROUP BY ALL)"
@@ -63,14 +63,14 @@ def token_overlap_11(spark, d):
     return out.select(*GROUP, "doc_id", *(F.round(c, 4).alias(c) for c in out.columns[3:]))
 
 
-@query(f"""SELECT lang, source, doc_id, round(sum((0.1 * s + 0.9 * entropy) * tf), 4) AS mix_0_1, round(sum((0.9 * s + 0.1 * entropy) * tf), 4) AS mix_0_9
+@query(f"""SELECT lang, source, doc_id, round(sum((0.1 * s + 0.9 * entropy) * tf), 4) AS mix_0_1, round(sum((0.5 * s + 0.5 * entropy) * tf), 4) AS mix_0_5, round(sum((0.9 * s + 0.1 * entropy) * tf), 4) AS mix_0_9, round(sum((1.5 * s - 0.5 * entropy) * tf), 4) AS mix_1_5, round(sum((1.9 * s - 0.9 * entropy) * tf), 4) AS mix_1_9
     FROM (SELECT *, coalesce((idf - min(idf) OVER w) / nullif(max(idf) OVER w - min(idf) OVER w, 0), 0) AS s FROM {TF} JOIN {SPREAD} USING (lang, source, token) WINDOW w AS (PARTITION BY lang, source, doc_id)) GROUP BY lang, source, doc_id""")
 def idf_entropy_mix(spark, d):
     rows = docs(spark, d)
     n = tk.counts(rows, GROUP, "doc_id")
     joined = tk.term_frequency(n, GROUP, "doc_id").join(tk.spread(n, rows, GROUP), [*GROUP, "token"])
     out = tk.idf_entropy_mix(joined, [*GROUP, "doc_id"])
-    return out.select(*GROUP, "doc_id", F.round("mix_0_1", 4).alias("mix_0_1"), F.round("mix_0_9", 4).alias("mix_0_9"))
+    return out.select(*GROUP, "doc_id", *(F.round(c, 4).alias(c) for c in out.columns[3:]))
 
 
 @query("""WITH m AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, token, count(*) AS a FROM m GROUP BY ALL),
@@ -127,22 +127,13 @@ def ngd_pmi_njs(spark, d):
     return out.select("a", "b", *(F.round(c, 6).alias(c) for c in ("pmi", "ngd", "njs")))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey % 100 AS src, l_suppkey % 100 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e UNION SELECT DISTINCT l_suppkey % 100, 99 FROM lineitem)
-    SELECT a, b, EXISTS (SELECT 1 FROM e WHERE (src = a AND dst = b) OR (src = b AND dst = a)) AS is_linked, EXISTS (SELECT 1 FROM e WHERE src = a AND dst = b) AND EXISTS (SELECT 1 FROM e WHERE src = b AND dst = a) AS is_mutual FROM p""")
+@query("""WITH l AS (SELECT *, l_partkey * 2 AS p, l_suppkey * 2 + 1 AS s FROM lineitem), e AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN s ELSE p END AS src, CASE WHEN l_returnflag = 'R' THEN p ELSE s END AS dst FROM l),
+    q AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e UNION SELECT least(x.p, y.s), greatest(x.p, y.s) FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)
+    SELECT a, b, f.src IS NOT NULL OR g.src IS NOT NULL AS is_linked, f.src IS NOT NULL AND g.src IS NOT NULL AS is_mutual
+    FROM q LEFT JOIN e f ON f.src = a AND f.dst = b LEFT JOIN e g ON g.src = b AND g.dst = a""")
 def mutual_link(spark, d):
-    lines = parquet(spark, d, "lineitem")
-    e = lines.where("l_returnflag = 'R' and l_quantity > 45").select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst")).distinct()
-    pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).union(lines.select(F.col("l_suppkey") % 100, F.lit(99).cast("long"))).distinct()
-    return co.linked(pairs, e)
-
-
-@query()
-def mutual_link_whole(spark, d):
-    """Links of all lines with whole ids: parts have even ones, suppliers odd ones.
-
-    A returned line links its supplier to its part, any other line its part to its supplier.  Besides
-    linked pairs, each part is asked with the supplier of the next line of its order.
-    """
+    # Parts have even ids, suppliers odd ones.  A returned line links its supplier to its part, any other
+    # line its part to its supplier; each part is also asked with the supplier of its order's next line.
     lines = parquet(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("back"), (F.col("l_partkey") * 2).alias("part"), (F.col("l_suppkey") * 2 + 1).alias("supplier"))
     e = lines.select(F.when(F.col("back"), F.col("supplier")).otherwise(F.col("part")).alias("src"), F.when(F.col("back"), F.col("part")).otherwise(F.col("supplier")).alias("dst")).distinct()
     later = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("supplier").alias("other"))
@@ -169,25 +160,28 @@ def coherence_two_level(spark, d):
     return out.select("doc_id", "query_id", "entity", *(F.round(c, 6).alias(c) for c in out.columns[3:]))
 
 
-@query(f"""SELECT doc_id, query_id, entity, round(max(hi) FILTER (r = 1), 6) AS top1, coalesce(round(max(hi) FILTER (r = 2), 6), 0) AS top2, coalesce(round(max(hi) FILTER (r = 3), 6), 0) AS top3
-    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, query_id, entity ORDER BY hi DESC) AS r FROM (SELECT doc_id, query_id, entity, other_query, max(ngd) AS hi FROM {SCORED} GROUP BY ALL)) GROUP BY ALL""")
+TOP3 = ", ".join(f"coalesce(round(max({c}) FILTER (r_{c} = {j}), 6), 0) AS {c}_top{j}" for c in ("ngd", "njs") for j in (1, 2, 3))
+
+
+@query(f"""SELECT doc_id, query_id, entity, {TOP3}
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, query_id, entity ORDER BY ngd DESC) AS r_ngd, row_number() OVER (PARTITION BY doc_id, query_id, entity ORDER BY njs DESC) AS r_njs FROM (SELECT doc_id, query_id, entity, other_query, max(ngd) AS ngd, max(njs) AS njs FROM {SCORED} GROUP BY ALL)) GROUP BY ALL""")
 def coherence_top3(spark, d):
-    out = co.top_three(scored(spark, d), "ngd")
+    out = co.top_three(scored(spark, d), "ngd", "njs")
     return out.select("doc_id", "query_id", "entity", *(F.round(c, 6).alias(c) for c in out.columns[3:]))
 
 
-NAMES = "(SELECT p_partkey, regexp_replace(trim(split_part(lower(p_type), '(', 1)), '[^a-zA-Z0-9_]+', '_', 'g') AS m, trim(regexp_replace(lower(p_type || '_' || p_name), '[_(). ,/'']+', ' ', 'g')) AS e, p_name AS n FROM part)"
+NAMES = "(SELECT p_partkey, regexp_replace(trim(split_part(lower(p_type), '(', 1)), '[^a-zA-Z0-9_]+', '_', 'g') AS m, trim(regexp_replace(lower(p_type || '_' || p_name), '[_(). ,/'']+', ' ', 'g')) AS e, regexp_replace(trim(split_part(lower(p_type || '_' || p_name), '(', 1)), '[^a-zA-Z0-9_]+', '_', 'g') AS f, p_name AS n FROM part)"
 
 
 def names(spark, d):
     mention, entity = tx.normalize_mention(F.col("p_type")), tx.normalize_entity(F.concat_ws("_", "p_type", "p_name"))
-    return parquet(spark, d, "part").select("p_partkey", mention.alias("m"), entity.alias("e"), F.col("p_name").alias("n"))
+    return parquet(spark, d, "part").select("p_partkey", mention.alias("m"), entity.alias("e"), tx.normalize_mention(F.concat_ws("_", "p_type", "p_name")).alias("f"), F.col("p_name").alias("n"))
 
 
-@query(f"""SELECT p_partkey, CASE WHEN length(m) <= length(e) THEN round(1 - levenshtein(m, e) / greatest(length(m), length(e)), 6) ELSE 0 END AS es, CASE WHEN length(m) <= length(e) THEN round(jaro_winkler_similarity(m, e), 6) ELSE 0 END AS jaro_winkler,
-    (length(m) <= length(e) AND starts_with(e, m))::DOUBLE AS start_with, (length(m) <= length(e) AND suffix(e, m))::DOUBLE AS end_with, (m = e)::DOUBLE AS same FROM {NAMES}""")
+@query(f"""SELECT p_partkey, CASE WHEN length(m) <= length(f) THEN round(1 - levenshtein(m, f) / greatest(length(m), length(f)), 6) ELSE 0 END AS es, CASE WHEN length(m) <= length(f) THEN round(jaro_winkler_similarity(m, f), 6) ELSE 0 END AS jaro_winkler,
+    (length(m) <= length(f) AND starts_with(f, m))::DOUBLE AS start_with, (length(m) <= length(f) AND suffix(f, m))::DOUBLE AS end_with, (m = f)::DOUBLE AS same FROM {NAMES}""")
 def string_sim(spark, d):
-    found = sim.string_features(F.col("m"), F.col("e"))
+    found = sim.string_features(F.col("m"), F.col("f"))
     return names(spark, d).select("p_partkey", *(F.round(c, 6).alias(k) for k, c in found.items()))
 
 
@@ -210,9 +204,11 @@ def normalize_mention(spark, d):
     return names(spark, d).select("p_partkey", "m", "e", tx.normalize_form(F.col("n")).alias("form"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type = upper(p_type) THEN upper(p_type[1]) || lower(p_type[2:]) ELSE p_type END AS fixed FROM part")
+@query(r"""SELECT p_partkey, CASE WHEN x = upper(x) THEN array_to_string(list_transform(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+'), lambda w: upper(w[1]) || w[2:]), ' ') ELSE x END AS fixed
+    FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type || '. ' || p_name) ELSE p_name || ' ' || p_type END AS x FROM part)""")
 def case_phrase_fix(spark, d):
-    return parquet(spark, d, "part").select("p_partkey", tx.fix_upper_case(F.col("p_type")).alias("fixed"))
+    x = F.when(F.col("p_partkey") % 2 == 0, F.upper(F.concat("p_type", F.lit(". "), "p_name"))).otherwise(F.concat("p_name", F.lit(" "), "p_type"))
+    return parquet(spark, d, "part").select("p_partkey", tx.fix_upper_case(x).alias("fixed"))
 
 
 @query("SELECT doc_id, md5(text) AS key FROM documents")
@@ -236,20 +232,21 @@ def entity_prefix(spark, d):
     return parquet(spark, d, "pages").select("page_id", long_id.alias("long_id"), tx.strip_prefix(long_id).alias("short_id"))
 
 
-@query("""WITH e AS (SELECT l_orderkey AS doc, l_suppkey AS phrase, l_partkey AS token, l_linenumber AS pos, l_quantity AS w FROM lineitem WHERE l_returnflag = 'A'), m AS (SELECT l_orderkey AS doc, l_suppkey AS phrase, l_partkey AS token, l_linenumber AS pos FROM lineitem WHERE l_returnflag = 'R'),
-    ek AS (SELECT doc % 50 AS doc, phrase, token % 200 AS token, w FROM e), mk AS (SELECT doc % 50 AS doc, phrase, token % 200 AS token, pos FROM m),
-    t AS (SELECT doc, phrase, sum(w) AS total FROM ek GROUP BY ALL), p AS (SELECT ek.doc, ek.phrase AS ep, mk.phrase AS mp, count(DISTINCT ek.token) AS matches, max(pos) - min(pos) + 1 AS cover, sum(w) AS matched FROM ek JOIN mk ON ek.doc = mk.doc AND ek.token = mk.token GROUP BY ALL),
+@query("""WITH l AS (SELECT l_suppkey AS doc, l_orderkey AS phrase, p_size AS token, l_linenumber AS pos, l_quantity AS w, l_returnflag AS f FROM lineitem JOIN part ON p_partkey = l_partkey),
+    e AS (SELECT * FROM l WHERE f = 'A'), m AS (SELECT * FROM l WHERE f = 'R'), t AS (SELECT doc, phrase, sum(w) AS total FROM e GROUP BY ALL),
+    p AS (SELECT e.doc, e.phrase AS ep, m.phrase AS mp, count(DISTINCT e.token) AS matches, max(m.pos) - min(m.pos) + 1 AS cover, sum(e.w) AS matched FROM e JOIN m ON e.doc = m.doc AND e.token = m.token GROUP BY ALL),
     b AS (SELECT p.doc, ep, max(total * matches / cover * power(matched / total, 2)) AS best, count(*) AS n FROM p JOIN t ON t.doc = p.doc AND t.phrase = ep GROUP BY ALL)
-    SELECT doc, round(sum(best), 3) AS similarity, sum(n)::BIGINT AS n_matches FROM b GROUP BY doc""")
+    SELECT doc, round(sum(best), 3) AS similarity, sum(n)::BIGINT AS n_matches, round(max(best), 6) AS highest FROM b GROUP BY doc""")
 def phrase_similarity(spark, d):
-    lines = parquet(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("doc"), F.col("l_suppkey").alias("phrase"), (F.col("l_partkey") % 200).alias("token"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("weight"), "l_returnflag")
+    lines = parquet(spark, d, "lineitem").join(parquet(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("token")), "l_partkey")
+    lines = lines.select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("phrase"), "token", F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("weight"), "l_returnflag")
     out = co.phrase_similarity(lines.where("l_returnflag = 'A'").drop("pos", "l_returnflag").withColumn("pos", F.lit(0)), lines.where("l_returnflag = 'R'").drop("weight", "l_returnflag"), ["doc"])
-    return out.select("doc", F.round("similarity", 3).alias("similarity"), "n_matches")
+    return out.select("doc", F.round("similarity", 3).alias("similarity"), "n_matches", F.round("highest", 6).alias("highest"))
 
 
-@query("SELECT p_partkey, round(CASE WHEN length(p_name) = length(p_type) THEN 1 - hamming(p_name, p_type) / length(p_name) END, 6) AS hamming FROM part WHERE length(p_name) = length(p_type)")
+@query("SELECT p_partkey, round(1 - hamming(rpad(p_name, n, chr(1)), rpad(p_type, n, chr(2))) / n, 6) AS hamming FROM (SELECT *, greatest(length(p_name), length(p_type))::INTEGER AS n FROM part)")
 def hamming_sim(spark, d):
-    part = parquet(spark, d, "part").where(F.length("p_name") == F.length("p_type"))
+    part = parquet(spark, d, "part")
     return part.select("p_partkey", F.round(sim.hamming_similarity(F.col("p_name"), F.col("p_type")), 6).alias("hamming"))
 
 
@@ -276,9 +273,12 @@ def log_numbers(spark, d):
     return parquet(spark, d, "events").select("event_id", F.try_element_at(tx.log_numbers(F.col("props")), F.lit(1)).alias("first_number"))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '={2,}[^=]*={2,}', '', 'g'), '/[^/\s]+/', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM pages")
+@query(r"""SELECT page_id, replace(regexp_replace(regexp_replace(x, '={2,}[\p{L}\p{N}_ |:–]+={2,}', '', 'g'), '/[^\n]*[\x{0250}-\x{02FF}][^\n]*/', '', 'g'), repeat(chr(10), 3), chr(10)) AS text
+    FROM (SELECT page_id, '== ' || split_part(url, '/', 3) || ' ==' || repeat(chr(10), 3) || CASE WHEN page_id % 2 = 0 THEN '/pa' || chr(601) || '/ ' ELSE '/path/ ' END || html AS x FROM pages)""")
 def strip_markup(spark, d):
-    return parquet(spark, d, "pages").select("page_id", tx.strip_markup(F.col("html")).alias("text"))
+    # A heading (with a dot in it on some pages, which stays), then slashes around a phonetic letter or a plain path.
+    head = F.concat(F.lit("== "), F.split_part("url", F.lit("/"), F.lit(3)), F.lit(" ==\n\n\n"), F.when(F.col("page_id") % 2 == 0, "/pa\u0259/ ").otherwise("/path/ "))
+    return parquet(spark, d, "pages").select("page_id", tx.strip_markup(F.concat(head, "html")).alias("text"))
 
 
 @query("SELECT doc_id, md5(string_agg(cell, '|' ORDER BY token)) AS line FROM (SELECT doc_id, token, token || ':' || n AS cell FROM (SELECT doc_id, token, count(*) AS n FROM " + PLACED + " GROUP BY doc_id, token)) GROUP BY doc_id")

@@ -14,6 +14,46 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key stands in a list of ids, each as often as it is in ``df``."""
+    return df.join(ids.select(key), key, "left_semi")
+
+
+def surface_forms(df: DataFrame, kind: str) -> DataFrame:
+    """Surface forms of a corpus part's linked mentions, in their own column."""
+    return mentions(df, kind).select("surfaceform")
+
+
+def looked_up(df: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
+    """``df`` with a value by key, or the default: many point lookups as one join."""
+    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def feature_rows(spark: SparkSession, path: str, exp: str, source: str, kind: str) -> DataFrame:
+    """The rows of one experiment, source and type: one partition of the table."""
+    return spark.read.parquet(path).where((F.col("exp") == exp) & (F.col("source") == source) & (F.col("kind") == kind))
+
+
+def with_raw_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Annotations beside the raw text of their document."""
+    return rows.join(texts, "doc_id", "left")
+
+
+def entity_spans(df: DataFrame, column: str) -> DataFrame:
+    """(doc_id, sentence, start, end, ner, text) of a recogniser's JSON answers."""
+    schema = "struct<sentences:array<struct<index:int,entitymentions:array<struct<tokenBegin:int,tokenEnd:int,ner:string,text:string>>>>>"
+    rows = df.select("doc_id", F.explode(F.from_json(column, schema)["sentences"]).alias("s"))
+    rows = rows.select("doc_id", F.col("s.index").alias("sentence"), F.explode("s.entitymentions").alias("m"))
+    return rows.select("doc_id", "sentence", F.col("m.tokenBegin").alias("start"), F.col("m.tokenEnd").alias("end"), "m.ner", "m.text")
+
+
+def coref_chains(df: DataFrame, column: str) -> DataFrame:
+    """(doc_id, chain, sentence, start, end, text, is_representative) of a coreference service's JSON answers."""
+    schema = "struct<corefs:map<string,array<struct<sentNum:int,startIndex:int,endIndex:int,text:string,isRepresentativeMention:boolean>>>>"
+    rows = df.select("doc_id", F.explode(F.from_json(column, schema)["corefs"]).alias("chain", "mentions")).select("doc_id", F.col("chain").cast("int").alias("chain"), F.explode("mentions").alias("m"))
+    return rows.select("doc_id", "chain", (F.col("m.sentNum") - 1).alias("sentence"), (F.col("m.startIndex") - 1).alias("start"), (F.col("m.endIndex") - 1).alias("end"), "m.text", F.col("m.isRepresentativeMention").alias("is_representative"))
+
+
 def mentions(df: DataFrame, kind: str, low: int | None = None, high: int | None = None, keep_nil: bool = False) -> DataFrame:
     """Annotated mentions of a type, optionally in a range of ids (both ends included)."""
     out = df.where((F.col("type") == kind) & ~F.col("annotation").isin("none") if keep_nil else (F.col("type") == kind) & ~F.col("annotation").isin("none", "NIL"))
