@@ -23,11 +23,11 @@ def bootstrap_oob(spark, d):
     return drawn.withColumn("part", F.lit("train")).unionByName(left.withColumn("times", F.lit(0).cast("long")).withColumn("part", F.lit("test")))
 
 
-@query(f"""SELECT query_id, pos, round(CASE WHEN label = 1 THEN sum(pull) OVER w ELSE -pull END, 6) AS gradient
+@query(f"""SELECT query_id, pos, round(CASE WHEN label = 1 THEN sum(pull) OVER w ELSE -pull END, 6) + 0.0 AS gradient
     FROM (SELECT *, CASE WHEN label = 1 THEN 0 ELSE 1 / (1 + exp(max(CASE WHEN label = 1 THEN score / 1000 END) OVER (PARTITION BY query_id) - score / 1000)) END AS pull FROM {CANDIDATES}) WINDOW w AS (PARTITION BY query_id)""")
 def pairwise_gradients(spark, d):
     rows = candidates(spark, d).withColumn("s", F.col("score") / 1000)
-    return ln.pairwise_gradients(rows, "s").select("query_id", "pos", F.round("gradient", 6).alias("gradient"))
+    return ln.pairwise_gradients(rows, "s").select("query_id", "pos", (F.round("gradient", 6) + 0.0).alias("gradient"))
 
 
 @query()

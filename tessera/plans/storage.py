@@ -169,6 +169,6 @@ def xml_annotations(spark, d):
     part = parquet(spark, d, "part")
     path, texts = fresh_path(spark), parquet(spark, d, "part").select(F.concat(F.lit("d"), "p_brand").alias("doc_id"), F.concat(F.lit("Raw text of "), "p_brand").alias("text")).distinct()
     cell = F.concat(F.lit("<annotation><mention>"), "p_name", F.lit("</mention><wikiName>"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_type")), F.lit("</wikiName><offset>"), F.col("p_partkey").cast("string"), F.lit("</offset><length>"), F.col("p_size").cast("string"), F.lit("</length></annotation>"))
-    docs = part.groupBy("p_brand").agg(F.concat(F.lit('<document docName="d'), F.first("p_brand"), F.lit('">'), F.array_join(F.collect_list(cell), ""), F.lit("</document>")).alias("value"))
-    docs.select("value").write.text(path)
+    docs = part.groupBy("p_brand").agg(F.concat(F.lit('<root><document docName="d'), F.first("p_brand"), F.lit('">'), F.array_join(F.collect_list(cell), ""), F.lit("</document></root>")).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.with_raw_text(readers.annotated_xml(spark, path), texts).select("doc_id", "surfaceform", "annotation", "begoffset", "length", "text")

@@ -91,7 +91,7 @@ def test_nearest(spark, extra, expected):
 
 def test_evaluation(spark):
     df = spark.createDataFrame([("q1", 0, 0.9, 1), ("q1", 1, 0.5, 0), ("q1", 2, 0.1, 0), ("q2", 0, 0.4, 1), ("q2", 1, 0.7, 0), ("q3", 0, 0.6, 1), ("q3", 1, 0.6, 0)], "query_id string, pos int, score double, label int")
-    got = ev.precision_recall(df, 5).first()
+    got = ev.precision_recall(df, spark.createDataFrame([(5,)], "total long")).first()
     assert (got.n_correct, got.p, got.r, got.f1) == pytest.approx((1, 1 / 3, 1 / 5, 0.25))
     assert rows(rk.gold_rank(df, "query_id", "score", "label")) == [("q1", 1), ("q2", 2), ("q3", 1)]
     first = rk.argmax(df.withColumn("entity", F.col("pos")), "query_id", "score", "pos", "entity")
@@ -144,3 +144,29 @@ def test_resumable_stream(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "out"))
     assert rows(done) == [(1, "a"), (2, "b"), (3, "c")]
     assert unprocessed(spark.createDataFrame([(3, "x"), (4, "y")], "k int, v string"), done, ["k"]).count() == 1
+
+
+def test_markup_keeps_plain_text(spark):
+    text = "== Early life | 1 ==\n== Notes (a) ==\nsee http://a.org/b/c/ and /pa\u0259/ here\nor/and/so\n\n\nend"
+    assert one(spark, tx.strip_markup(F.lit(text))) == "\n== Notes (a) ==\nsee http: here\nor/and/so\nend"
+
+
+def test_spans_have_all_places(spark):
+    df = spark.createDataFrame([(1, "Ann met New York and Ann. New York"), (2, "nobody"), (3, None)], "doc_id long, text string")
+    assert rows(mn.capitalised_spans(df), "doc_id", "start") == [(1, "Ann", 0), (1, "New York", 8), (1, "Ann", 21), (1, "New York", 26)]
+
+
+def test_unknown_query():
+    from tessera.plans import registry
+
+    with pytest.raises(ValueError):
+        registry.chosen("no such query")
+
+
+def test_boosted_ranker(spark, tmp_path):
+    df = spark.createDataFrame([(q, int(p == 0), float(p == 0) + q * 0.001, float(p)) for q in range(40) for p in range(4)], "query_id long, label int, x double, y double")
+    model = ln.train_boosted(df, ["x", "y"], rounds=2, depth=2)
+    again = ln.load_ranker(spark, model.save(spark, f"file://{tmp_path}", "m"))
+    assert rows(model.score(df)) == rows(again.score(df)) and abs(sum(model.importance().values()) - 1) < 1e-9
+    right = ev.precision_recall(again.score(df, "score")).first()
+    assert right.n_correct == 40 and ln.mistakes(df, model).count() == 0
