@@ -96,7 +96,7 @@ def test_evaluation(spark):
     assert rows(rk.gold_rank(df, "query_id", "score", "label")) == [("q1", 1), ("q2", 2), ("q3", 1)]
     first = rk.argmax(df.withColumn("entity", F.col("pos")), "query_id", "score", "pos", "entity")
     assert {r.query_id: r.entity for r in first.collect()} == {"q1": 0, "q2": 1, "q3": 0}
-    assert ev.precision_recall(df.where("query_id = 'q2'"), 0).first().f1 == 0.0
+    assert ev.precision_recall(df.where("query_id = 'q2'"), spark.createDataFrame([(0,)], "total long")).first().f1 == 0.0
 
 
 def test_windows_and_matrix(spark):
