@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
 from tessera.llm.components import components
-from tessera.llm.scratch import bounded_batches, cut, drop
+from tessera.llm.scratch import bounded_batches, by_list, cut, drop
 
 COORDS, MATCHES = 32, 13
 PREFIX = COORDS - MATCHES + 1
@@ -258,7 +258,7 @@ def agreeing(a: str, b: str) -> F.Column:
 
 def fetched(signed: DataFrame, ids: DataFrame) -> DataFrame:
     """The sets' rows of some documents, each once."""
-    rows = signed.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", *SAME, "sig", "packed")
+    rows = by_list(signed.withColumnRenamed("doc_id", "id"), ids, ["id"], "left_semi").select("id", *SAME, "sig", "packed")
     return cut(rows.dropDuplicates(["id", *SAME]))
 
 
@@ -283,7 +283,7 @@ def posting_lists(unlike: DataFrame) -> DataFrame:
     posted = unlike.select(F.col("doc_id").alias("id"), "sig", "sk1", "sk2").mapInArrow(lambda x: posting_batches(x, common), "value bigint, id bigint, sk1 bigint, sk2 bigint")
     # Written first: a join beside an exchange of its own can be split where a value is hot.
     met = cut(posted.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value"))
-    out = cut(posted.join(met, "value", "left_semi"))
+    out = cut(by_list(posted, met, ["value"], "left_semi"))
     drop(met)
     return out
 
@@ -298,7 +298,7 @@ def coordinate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def screened(lists: DataFrame, known: DataFrame) -> DataFrame:
     """Lists without the documents that share fewer than MATCHES of all their coordinates with any other."""
     ids = cut(lists.select("id").distinct())
-    posted = cut(known.select(F.col("doc_id").alias("id"), "sig").join(ids, "id", "left_semi").mapInArrow(coordinate_batches, "value bigint, id bigint"))
+    posted = cut(by_list(known.select(F.col("doc_id").alias("id"), "sig"), ids, ["id"], "left_semi").mapInArrow(coordinate_batches, "value bigint, id bigint"))
     met = cut(posted.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value"))
     fit = cut(posted.join(met, "value", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= MATCHES).select("id"))
     drop(posted, met, ids)
@@ -326,7 +326,7 @@ def able(lists: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
     ids = cut(lists.select("id", "g").distinct())
     rows = cut(texts.join(ids, "id").select("id", "g", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash bigint, id bigint, g bigint"))
     foreign = cut(rows.groupBy("hash").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("hash"))
-    shared = rows.join(foreign, "hash", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    shared = by_list(rows, foreign, ["hash"], "left_semi").groupBy("id").agg(F.count("*").alias("n"))
     fit = cut(shared.join(texts.groupBy("id").agg(F.min("n_shingles").alias("n_shingles")), "id").where(100 * F.col("n") >= threshold * F.col("n_shingles")).select("id"))
     drop(rows, foreign, ids)
     return lists.join(fit, "id", "left_semi")
@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     signed = cut(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: signature_batches(x, k), schema))
     known = signed.where("n_shingles > 0 and doc_id is not null")
     copies = copies_of(known, k)
-    lists = screened(posting_lists(known.join(copies, ["doc_id", *SAME], "left_anti")), known)
+    lists = screened(posting_lists(by_list(known, copies.drop("id"), ["doc_id", *SAME], "left_anti")), known)
     texts = fetched(known, cut(lists.select("id").distinct()))
     edges, measures, turn = None, None, 0
     while True:
@@ -428,8 +428,8 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFra
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     repeated = cut(repeated)
     if repeated.isEmpty():
-        gone = near_duplicates(docs, k, threshold).where("not kept").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        gone = cut(near_duplicates(docs, k, threshold).where("not kept").select("doc_id"))
+        return by_list(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
     own = -1 - F.abs(F.xxhash64("doc_id", "text") % F.lit(1 << 62))
     marked = docs.join(repeated.withColumn("__again", F.lit(True)), "doc_id", "left")
     marked = cut(marked.withColumn("__vertex", F.when(F.col("__again"), own).otherwise(F.col("doc_id"))).drop("__again"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where all of Spark runs in one process on one machine and no folder is named, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
@@ -48,6 +49,18 @@ def drop(*tables: DataFrame) -> None:
         files.delete(hpath, True)
 
 
+#: Rows of a few longs that a broadcast holds at most.
+BROADCAST_ROWS = 1 << 21
+
+
+def by_list(wide: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``wide`` joined to a written list of keys, without a shuffle of ``wide`` where the list is small.
+
+    The list is counted first: up to BROADCAST_ROWS rows are broadcast, more meet in a shuffled join.
+    """
+    return wide.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
 #: Rows in an Arrow batch, at most: a batch of long texts stands in memory several times over.
 BATCH_ROWS = 1000
 
