@@ -1,14 +1,14 @@
 """Shards by vector bin packing: bytes, tokens and rows balanced together.
 
-Rows with equal text form a group with a vector (bytes, tokens, rows).  Lanes pack groups side by
-side: largest first, each to the shard where the dot product of its vector with what is left of
-the shard's capacity is highest.  A lane's capacity is its own total over the shards, so no lane
-waits for another; in the end each lane's shards are dealt to the real ones, again by dot product
-with the residual, so that what lanes leave over cancels out.  Lanes hold about LANE_GROUPS groups
-and are at most MAX_LANES, which bounds what the driver sees (MAX_LANES * shards vectors).
+Rows with equal text form a group with a vector (bytes, tokens, rows); a group is placed whole, in the
+shard where the dot product of its vector with what is left of the shard's capacity is highest.
+Groups of more than LARGE_SHARE of a shard, of which there are at most shards / LARGE_SHARE, are
+placed first and in one sequence, largest first.  The others are packed in lanes of about
+LANE_GROUPS groups side by side: each lane takes its own part of what is left of every shard, so no
+lane waits for another and their number grows with the table.
 
-A group is kept together unless its bytes exceed PIECE_SHARE of a shard; then it is cut into pieces
-by a hash of the ids, which rows of any number share evenly.
+Only a group of more than WHOLE_SHARE of a shard is cut, since the law could not hold with it: into
+pieces of PIECE_SHARE of a shard by a hash of the ids.
 
 The law is ``bytes``: sums of sizes come out near equal, rows and tokens as near as that allows.
 
@@ -22,48 +22,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.scratch import cut, shuffle_partitions
+from tessera.llm.scratch import cut, drop, shuffle_partitions
 
 LANE_GROUPS = 512
-MAX_LANES = 2048
-PIECE_SHARE = 1 / 64
+WHOLE_SHARE, PIECE_SHARE, LARGE_SHARE = 1 / 2, 1 / 64, 1 / 512
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: Bytes weigh most, since they are the law.
 WEIGHTS = np.array([8.0, 1.0, 1.0])
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each vector, in lanes of one call: largest first, highest dot product with the residual."""
-    whole = np.maximum(vectors.sum(axis=0), 1)
-    unit = vectors / whole * shards * WEIGHTS
-    left = np.tile(WEIGHTS, (shards, 1)).astype(float)
+def pack(vectors: np.ndarray, left: np.ndarray, unit_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each vector and what is left of each: largest first, highest dot product with the residual.
+
+    ``left`` (shards, dimensions) and the vectors are measured in ``unit_of`` each dimension.
+    """
+    unit, left = vectors / unit_of * WEIGHTS, left * WEIGHTS
     out = np.zeros(len(vectors), np.int32)
     for k in np.argsort(-unit.sum(axis=1), kind="stable").tolist():
         s = int((left @ unit[k]).argmax())
         out[k] = s
         left[s] -= unit[k]
-    return out
-
-
-def deal(sums: np.ndarray, shards: int) -> np.ndarray:
-    """(lanes, shards, dimensions) -> the real shard of each lane's shards, lane by lane."""
-    whole = np.maximum(sums.sum(axis=(0, 1)), 1)
-    unit = sums / whole * shards * WEIGHTS
-    left = np.tile(WEIGHTS, (shards, 1)).astype(float)
-    out = np.zeros(sums.shape[:2], np.int32)
-    for lane in range(len(sums)):
-        free = list(range(shards))
-        for k in np.argsort(-unit[lane].sum(axis=1), kind="stable").tolist():
-            s = free.pop(int((left[free] @ unit[lane, k]).argmax()))
-            out[lane, k] = s
-            left[s] -= unit[lane, k]
-    return out
+    return out, left / WEIGHTS
 
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -75,35 +59,42 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"),
-            F.coalesce(F.substring(F.md5(F.col("text").cast("binary")), 1, 32), F.lit("")).alias("text_key"),
+            F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("text_key"),
         )
     )
-    totals = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
-    if not totals["n"]:
+    totals = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()
+    if not totals["rows"]:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    most = max(1.0, totals["size"] / shards * PIECE_SHARE)
-    lanes = max(1, min(MAX_LANES, totals["n"] // LANE_GROUPS))
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    large = groups.where(F.col("bytes") > most).select("text_key", F.least(F.ceil(F.col("bytes") / F.lit(most)), F.col("rows")).cast("long").alias("pieces"))
-    keyed = rows.join(large, "text_key", "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces"))).otherwise(F.lit(0)).cast("long"))
-    keyed = keyed.withColumn("lane", F.pmod(F.xxhash64("text_key", "piece"), F.lit(lanes)).cast("int"))
-    items = keyed.groupBy("lane", "text_key", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    share = totals["bytes"] / shards
+    lanes = max(1, totals["rows"] // LANE_GROUPS)
+    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
+    groups = rows.groupBy("text_key").agg(*sums)
+    torn = groups.where(F.col("bytes") > share * WHOLE_SHARE).select("text_key", F.least(F.ceil(F.col("bytes") / F.lit(max(1.0, share * PIECE_SHARE))), F.col("rows")).cast("long").alias("pieces"))
+    keyed = rows.join(F.broadcast(torn), "text_key", "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces"))).otherwise(F.lit(0)).cast("long"))
+    items = cut(keyed.groupBy("text_key", "piece").agg(*sums).withColumn("lane", F.pmod(F.xxhash64("text_key", "piece"), F.lit(lanes)).cast("long")))
+    # At most shards / LARGE_SHARE items are larger than that share of a shard.
+    large = items.where(F.col("bytes") > share * LARGE_SHARE).orderBy("text_key", "piece").toPandas()
+    per_shard = np.maximum([totals[d] / shards for d in DIMENSIONS], 1e-9)
+    at, left = pack(large[list(DIMENSIONS)].to_numpy(float), np.ones((shards, len(DIMENSIONS))), per_shard)
+    # What is left of a shard is its part of every lane.
+    parts = np.maximum(left, 0) + 1e-12
+    parts /= parts.mean(axis=0)
 
     def pack_lane(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("text_key", "ascending"), ("piece", "ascending")])
         vectors = np.stack([table[d].to_numpy().astype(float) for d in DIMENSIONS], axis=1)
-        return table.append_column("part", pa.array(pack(vectors, shards), pa.int32())).select(["lane", "text_key", "piece", "bytes", "tokens", "rows", "part"])
-
-    packed = cut(items.groupBy("lane").applyInArrow(pack_lane, "lane int, text_key string, piece long, bytes long, tokens long, rows long, part int"))
-    seen = packed.groupBy("lane", "part").agg(*(F.sum(d).alias(d) for d in DIMENSIONS)).toPandas()
-    sums = np.zeros((lanes, shards, len(DIMENSIONS)))
-    sums[seen["lane"].to_numpy(), seen["part"].to_numpy()] = seen[list(DIMENSIONS)].to_numpy(float)
-    real = deal(sums, shards)
-    parts = pd.DataFrame({"lane": np.repeat(np.arange(lanes), shards), "part": np.tile(np.arange(shards), lanes), "shard": real.ravel()})
-    dealt = F.broadcast(spark.createDataFrame(parts, "lane int, part int, shard int"))
-    placed = packed.join(dealt, ["lane", "part"]).select("text_key", "piece", "shard")
+        # Ties go to another shard in each lane.
+        turn = np.roll(np.arange(shards), int(key[0].as_py()) % shards)
+        found, _ = pack(vectors, parts[turn], np.maximum(vectors.sum(axis=0) / shards, 1e-9))
+        return table.append_column("shard", pa.array(turn[found], pa.int32())).select(["text_key", "piece", "shard"])
+
+    small = items.where(F.col("bytes") <= share * LARGE_SHARE).groupBy("lane").applyInArrow(pack_lane, "text_key string, piece long, shard int")
+    first = spark.createDataFrame([(k, int(p), int(s)) for k, p, s in zip(large["text_key"], large["piece"], at)], "text_key string, piece long, shard int")
+    placed = cut(small.unionByName(first))
     sharded = keyed.select("doc_id", "size", "text_crc32", "text_key", "piece").join(placed, ["text_key", "piece"]).drop("text_key", "piece")
-    return numbered(cut(sharded), shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = cut(sharded)
+    drop(rows, items, placed)
+    return numbered(out, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def numbered(rows: DataFrame, shards: int) -> DataFrame:

@@ -36,6 +36,27 @@ def test_sharding(spark, documents, odd):
     assert max(r.b for r in per) < 1.02 * min(r.b for r in per)
 
 
+def test_sharding_keeps_groups_whole(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LANE_GROUPS", 64)
+    df = spark.createDataFrame([(i, f"text {i % 400} " + "x" * (i % 400 % 37)) for i in range(3000)] + [(9000 + i, "y" * 500) for i in range(8)], "doc_id long, text string")
+    got = sharding.assign(df).join(df, "doc_id")
+    assert got.groupBy("text").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+    per = got.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    assert len(per) == 8 and max(r.b for r in per) < 1.1 * min(r.b for r in per) and max(r.n for r in per) < 1.5 * min(r.n for r in per)
+
+
+def test_packing_against_brute_force():
+    rng = np.random.default_rng(1)
+    v = rng.integers(1, 100, (60, 3)).astype(float)
+    got, left = sharding.pack(v, np.ones((4, 3)), v.sum(axis=0) / 4)
+    room, want = np.ones((4, 3)) * sharding.WEIGHTS, {}
+    unit = v / (v.sum(axis=0) / 4) * sharding.WEIGHTS
+    for k in sorted(range(60), key=lambda k: (-unit[k].sum(), k)):
+        want[k] = max(range(4), key=lambda s: (sum(room[s] * unit[k]), -s))
+        room[want[k]] -= unit[k]
+    assert got.tolist() == [want[k] for k in range(60)] and np.allclose(left * sharding.WEIGHTS, room)
+
+
 def brute_repeats(rows, w):
     seen = collections.Counter(t[i : i + w] for _, t in rows for i in range(len(t) - w + 1))
     out = []
