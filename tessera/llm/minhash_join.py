@@ -200,14 +200,14 @@ def measure_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Re
 
 
 def shingle_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(id, g, packed) -> one row for each shingle."""
+    """(id, g, packed) -> one row for each shingle, told by 32 bits: two that meet by chance only keep a document open."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
         for lo in range(0, len(batch), 64):
             part = batch.slice(lo, 64)
             values, at = set_rows(opener, part.column(2), k)
             rows = pa.array(np.repeat(np.arange(len(part)), np.diff(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(part.column(c).take(rows) for c in range(2))], ["hash", "id", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array((values >> tk.U64(32)).astype(np.uint32).view(np.int32)), *(part.column(c).take(rows) for c in range(2))], ["hash", "id", "g"])
 
 
 def cell_links(table: pa.Table, k: int, threshold: int) -> pa.Table:
@@ -324,7 +324,7 @@ def able(lists: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
     group, so at least as many must stand in other groups at all.
     """
     ids = cut(lists.select("id", "g").distinct())
-    rows = cut(texts.join(ids, "id").select("id", "g", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash bigint, id bigint, g bigint"))
+    rows = cut(texts.join(ids, "id").select("id", "g", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash int, id bigint, g bigint"))
     foreign = cut(rows.groupBy("hash").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("hash"))
     shared = by_list(rows, foreign, ["hash"], "left_semi").groupBy("id").agg(F.count("*").alias("n"))
     fit = cut(shared.join(texts.groupBy("id").agg(F.min("n_shingles").alias("n_shingles")), "id").where(100 * F.col("n") >= threshold * F.col("n_shingles")).select("id"))
