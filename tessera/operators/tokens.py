@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import tokens
-from tessera.sources.workspace import stored
 
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
@@ -23,10 +22,10 @@ def index(docs: DataFrame, *keep: str) -> DataFrame:
 def counts(docs: DataFrame, group: list[str], doc: str) -> DataFrame:
     """group, doc, token, n, total: how often a token stands in a document, and the document's tokens.
 
-    Written once: statistics of documents and of tokens both read it.  ``doc`` names one row of ``docs``.
+    ``doc`` names one row of ``docs``.  A plan that reads the counts three times or more had better store them.
     """
     rows = docs.select(*group, doc, tokens(F.col("text")).alias("t")).select(*group, doc, F.size("t").alias("total"), F.explode("t").alias("token"))
-    return stored(rows.groupBy(*group, doc, "token").agg(F.count("*").alias("n"), F.max("total").alias("total")))
+    return rows.groupBy(*group, doc, "token").agg(F.count("*").alias("n"), F.max("total").alias("total"))
 
 
 def term_frequency(token_counts: DataFrame, group: list[str], doc: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tessera.plans.textual import COUNTS, LINKS, MENTION, SIZES, SPREAD, TF, doc
 from tessera.plans.views import CANDIDATES, EDGES, GROUP, PLACED, candidates, edges, paired
 from tessera.sources import readers
 from tessera.sources.readers import parquet
+from tessera.sources.workspace import stored
 
 #: Parts as mentions: some unlinked, some without annotation, four corpus parts.
 MENTIONS = """(SELECT p_partkey AS id, p_brand AS doc_id, p_name AS surfaceform, CASE WHEN p_partkey % 11 = 0 THEN 'none' WHEN p_partkey % 7 = 0 THEN 'NIL' ELSE p_type END AS annotation,
@@ -196,7 +197,7 @@ def evaluator_of_choice(spark, d):
     FROM {MENTION} JOIN {TF} USING (lang, source, token) JOIN {SPREAD} USING (lang, source, token) GROUP BY lang, source, doc_id""")
 def token_overlap_12(spark, d):
     rows = docs(spark, d)
-    n = tk.counts(rows, GROUP, "doc_id")
+    n = stored(tk.counts(rows, GROUP, "doc_id"))
     first = rows.groupBy(*GROUP).agg(F.min("doc_id").alias("doc_id"))
     mention = n.join(first, [*GROUP, "doc_id"]).groupBy(*GROUP, "token").agg(F.sum("n").alias("w"))
     out = tk.older_statistics(mention, tk.term_frequency(n, GROUP, "doc_id"), tk.spread(n, rows, GROUP), GROUP, "doc_id")

@@ -12,6 +12,7 @@ from tessera.operators import tokens as tk
 from tessera.plans.registry import query
 from tessera.plans.views import EDGES, GROUP, PAIRED, PLACED, TOKENS, edges, paired
 from tessera.sources.readers import parquet
+from tessera.sources.workspace import stored
 
 
 def docs(spark, d):
@@ -56,7 +57,7 @@ MENTION = f"(SELECT lang, source, token, sum(n) AS w FROM {COUNTS} JOIN (SELECT
     FROM {MENTION} JOIN {TF} USING (lang, source, token) JOIN {SPREAD} USING (lang, source, token) GROUP BY lang, source, doc_id""")
 def token_overlap_11(spark, d):
     rows = docs(spark, d)
-    n = tk.counts(rows, GROUP, "doc_id")
+    n = stored(tk.counts(rows, GROUP, "doc_id"))
     first = rows.groupBy(*GROUP).agg(F.min("doc_id").alias("doc_id"))
     mention = n.join(first, [*GROUP, "doc_id"]).groupBy(*GROUP, "token").agg(F.sum("n").alias("w"))
     out = tk.overlap_statistics(mention, tk.term_frequency(n, GROUP, "doc_id"), tk.spread(n, rows, GROUP), GROUP, "doc_id")
