@@ -192,8 +192,8 @@ def evaluator_of_choice(spark, d):
     return ev.evaluated(candidates(spark, d), reciprocal)
 
 
-@query(f"""SELECT lang, source, doc_id, round(sum(entropy), 4) AS etp_sum, round(sum(entropy * w), 2) AS w_etp_sum, round(max(entropy), 4) AS max_etp, round(sum(idf), 4) AS idf_sum, round(sum(idf * w), 2) AS w_idf_sum, round(max(idf), 4) AS max_idf,
-    round(sum(tf * idf), 4) AS tf_idf_sum, round(sum(tf * idf * w), 2) AS w_tf_idf_sum, round(max(tf * idf), 4) AS max_tf_idf, round(sum(tf * entropy), 4) AS tf_entropy_sum, round(sum(tf * entropy * w), 2) AS w_tf_entropy_sum, round(max(tf * entropy), 4) AS max_tf_entropy
+@query(f"""SELECT lang, source, doc_id, round(sum(entropy), 7) AS etp_sum, round(sum(entropy * w), 7) AS w_etp_sum, round(max(entropy), 7) AS max_etp, round(sum(idf), 7) AS idf_sum, round(sum(idf * w), 7) AS w_idf_sum, round(max(idf), 7) AS max_idf,
+    round(sum(tf * idf), 7) AS tf_idf_sum, round(sum(tf * idf * w), 7) AS w_tf_idf_sum, round(max(tf * idf), 7) AS max_tf_idf, round(sum(tf * entropy), 7) AS tf_entropy_sum, round(sum(tf * entropy * w), 7) AS w_tf_entropy_sum, round(max(tf * entropy), 7) AS max_tf_entropy
     FROM {MENTION} JOIN {TF} USING (lang, source, token) JOIN {SPREAD} USING (lang, source, token) GROUP BY lang, source, doc_id""")
 def token_overlap_12(spark, d):
     rows = docs(spark, d)
@@ -201,7 +201,7 @@ def token_overlap_12(spark, d):
     first = rows.groupBy(*GROUP).agg(F.min("doc_id").alias("doc_id"))
     mention = n.join(first, [*GROUP, "doc_id"]).groupBy(*GROUP, "token").agg(F.sum("n").alias("w"))
     out = tk.older_statistics(mention, tk.term_frequency(n, GROUP, "doc_id"), tk.spread(n, rows, GROUP), GROUP, "doc_id")
-    return out.select(*GROUP, "doc_id", *(F.round(c, 2 if c.startswith("w_") else 4).alias(c) for c in out.columns[3:]))
+    return out.select(*GROUP, "doc_id", *(F.round(c, 7).alias(c) for c in out.columns[3:]))
 
 
 @query(f"SELECT lang, source, doc_id, token, round(n / sum(n) OVER (PARTITION BY lang, source, doc_id) * log2(size / count(*) OVER (PARTITION BY lang, source, token)), 6) AS tf_idf FROM {COUNTS} JOIN {SIZES} USING (lang, source)")
