@@ -5,9 +5,10 @@ all rows, so the first HEAD hold most of each product; the rest is bounded by Ca
 A pair is worked out in full only if head plus bound can reach the query's threshold, the k-th best
 score met so far; thresholds start from the longest SEEDS vectors.
 
-Candidates and queries meet in cells (part of candidates x block of queries) of bounded size, so
-each task's memory is fixed; the number of cells grows with rows times queries, as it must for an
-exact search, and a row of a cell is a vector, never a pair.
+Candidates are dealt into parts by descending length, queries into blocks by the candidate length they
+still need, both by range and of about equal size.  They meet in cells (part x block); a part that is
+shorter than all needs of a block is never sent there.  A cell's memory is fixed, its rows are
+vectors, never pairs, and the number of cells grows with rows times queries at most.
 
 Edge cases: vectors that are null, or hold nulls or non-finite values, take no part; shorter
 vectors count as padded with zeros; a vec_id that repeats counts once (its least vector); null ids
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +100,43 @@ def search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarra
     return rows, ids, scores
 
 
+def reach(needs: list[float], lengths: list[float]) -> tuple[list[int], list[int]]:
+    """How many blocks each part meets, and how many parts each block meets: always the first ones.
+
+    ``needs`` ascend (the least length of a candidate that a block can take), ``lengths`` descend
+    (each part's greatest).
+    """
+    blocks = [int(np.searchsorted(needs, x, side="right")) for x in lengths]
+    return blocks, [sum(n > b for n in blocks) for b in range(len(needs))]
+
+
+def planned(rows: DataFrame, asked: DataFrame, n: int, nq: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates in parts by descending length and queries in blocks by ascending need, in the cells that can hold a result.
+
+    A query needs candidates of length least / |q| (Cauchy-Schwarz), so a part meets the first blocks
+    only and a block the first parts only.  Per part and block two numbers reach the driver.
+    """
+    spark = rows.sparkSession
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, v: t + v * v))
+    # Rounding only lowers a need: more cells, never fewer.
+    need = F.when(norm > 0, F.greatest(F.lit(0.0), (F.col("least") - 2e-6) / norm * (1 - 1e-8))).otherwise(F.lit(0.0))
+
+    def ranged(df: DataFrame, count: int, *order: F.Column) -> DataFrame:
+        return cut(df.repartitionByRange(count, *order).withColumn("place", F.spark_partition_id()))
+
+    parts = ranged(rows.select("vec_id", "v", "len2"), max(1, -(-n // PART_ROWS)), F.desc("len2"), F.xxhash64("vec_id"))
+    blocks = ranged(asked.withColumn("need", need), max(1, -(-nq // BLOCK_QUERIES)), F.col("need"), F.xxhash64("vec_id"))
+    longest = parts.groupBy("place").agg(F.sqrt(F.max("len2")).alias("x")).orderBy("place").toPandas()
+    least = blocks.groupBy("place").agg(F.min("need").alias("x")).orderBy("place").toPandas()
+    meets, met = reach((least["x"] * (1 - 1e-9)).tolist(), longest["x"].tolist())
+
+    def dealt(df: DataFrame, places: pd.Series, count: list[int], own: str, other: str) -> DataFrame:
+        table = spark.createDataFrame([(int(x), k, m) for k, (x, m) in enumerate(zip(places, count)) if m], f"place int, {own} bigint, m bigint")
+        return df.join(F.broadcast(table), "place").withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).drop("place", "m")
+
+    return dealt(parts.drop("len2"), longest["place"], meets, "p", "b"), dealt(blocks.drop("need"), least["place"], met, "b", "p")
+
+
 def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of ``vectors`` (vec_id, embedding), itself excepted."""
     x = F.col("embedding")
@@ -137,9 +176,7 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: int = SCALE)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], ["vec_id", "v", "least"])
 
     asked = cut(rows.where("is_query").select("vec_id", "v").repartition(max(1, -(-shape["nq"] // 512)), "vec_id").mapInArrow(thresholds, "vec_id bigint, v array<double>, least double"))
-    parts, blocks = -(-shape["n"] // PART_ROWS), -(-shape["nq"] // BLOCK_QUERIES)
-    left = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    right = asked.select("vec_id", "v", "least", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("b")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    left, right = planned(rows, asked, shape["n"], shape["nq"])
 
     def cell(c: pa.Table, q: pa.Table) -> pa.Table:
         ids = q["vec_id"].to_numpy()
