@@ -32,6 +32,8 @@ SCALE = 256
 PART_ROWS, BLOCK_QUERIES, STEP = 8192, 4096, 1024
 SEEDS = 4096
 HEAD = 16
+#: Above one pair in so many left by the bounds, a step works out all its products in one.
+DENSE = 32
 SAFE = float(1 << 20)
 
 
@@ -50,9 +52,14 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def exact(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether doubles hold every partial sum of the products."""
+    return max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) <= SAFE and q.shape[1] <= 4096
+
+
 def dots(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact products of rows pair by pair, saturated to longs."""
-    if max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) <= SAFE and q.shape[1] <= 4096:
+    if exact(q, c):
         return np.einsum("ij,ij->i", q, c).astype(np.int64)
     out = [sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q.tolist(), c.tolist())]
     return np.array([min(max(v, -(2**63)), 2**63 - 1) for v in out], np.int64)
@@ -75,6 +82,10 @@ def search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarra
     head = min(HEAD, q.shape[1])
     q_rest, c_rest = np.linalg.norm(rq[:, head:], axis=1), np.linalg.norm(rc[:, head:], axis=1)
     q_len, c_len = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    # Head product, Cauchy-Schwarz bound of the rest, and a margin for rounding, as one product.
+    left = np.c_[rq[:, :head], q_rest, 1e-9 * q_len]
+    right = np.c_[rc[:, :head], c_rest, c_len]
+    safe = exact(q, c)
     least = least.astype(np.float64).copy()
     rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for lo in range(0, len(c), STEP):
@@ -83,13 +94,21 @@ def search(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarra
         live = np.flatnonzero(q_len * c_len[lo] * (1 + 1e-9) + 1e-6 >= least)
         if not len(live):
             break
-        bound = rq[live, :head] @ rc[part, :head].T + np.outer(q_rest[live], c_rest[part])
-        slack = 1e-9 * np.outer(q_len[live], c_len[part]) + 1e-6
-        a, b = np.nonzero(bound + slack >= least[live][:, None])
-        a, b = live[a], b + lo
-        other = q_ids[a] != c_ids[b]
-        a, b = a[other], b[other]
-        new = np.concatenate([dots(q[a[x : x + 65536]], c[b[x : x + 65536]]) for x in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
+        near = left[live] @ right[part].T >= least[live][:, None] - 1e-6
+        if safe and np.count_nonzero(near) * DENSE > near.size:
+            # Many pairs left: whole products at once, exact as long as doubles hold every partial sum.
+            full = q[live] @ c[part].T
+            a, b = np.nonzero(near & (full >= least[live][:, None]) & (q_ids[live][:, None] != c_ids[part]))
+            new = full[a, b].astype(np.int64)
+            a, b = live[a], b + lo
+        else:
+            a, b = np.nonzero(near)
+            a, b = live[a], b + lo
+            other = q_ids[a] != c_ids[b]
+            a, b = a[other], b[other]
+            new = np.concatenate([dots(q[a[x : x + 65536]], c[b[x : x + 65536]]) for x in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
+            fit = new >= least[a]
+            a, b, new = a[fit], b[fit], new[fit]
         rows, ids, scores = np.r_[rows, a], np.r_[ids, c_ids[b]], np.r_[scores, new]
         keep = best(rows, ids, scores, k)
         rows, ids, scores = rows[keep], ids[keep], scores[keep]
