@@ -129,6 +129,16 @@ def reach(needs: list[float], lengths: list[float]) -> tuple[list[int], list[int
     return blocks, [sum(n > b for n in blocks) for b in range(len(needs))]
 
 
+def merged(counts: list[int], size: int) -> np.ndarray:
+    """A group for each of several neighbouring ranges, of ``size`` rows at most or of one range."""
+    index, held = [], 0
+    for n in counts:
+        new = not index or held + n > size
+        held = n if new else held + n
+        index.append((index[-1] + 1 if index else 0) if new else index[-1])
+    return np.array(index, np.int64)
+
+
 def planned(rows: DataFrame, asked: DataFrame, n: int, nq: int) -> tuple[DataFrame, DataFrame]:
     """Candidates in parts by descending length and queries in blocks by ascending need, in the cells that can hold a result.
 
@@ -145,15 +155,16 @@ def planned(rows: DataFrame, asked: DataFrame, n: int, nq: int) -> tuple[DataFra
 
     parts = ranged(rows.select("vec_id", "v", "len2"), max(1, -(-n // PART_ROWS)), F.desc("len2"), F.xxhash64("vec_id"))
     blocks = ranged(asked.withColumn("need", need), max(1, -(-nq // BLOCK_QUERIES)), F.col("need"), F.xxhash64("vec_id"))
-    longest = parts.groupBy("place").agg(F.sqrt(F.max("len2")).alias("x")).orderBy("place").toPandas()
-    least = blocks.groupBy("place").agg(F.min("need").alias("x")).orderBy("place").toPandas()
-    meets, met = reach((least["x"] * (1 - 1e-9)).tolist(), longest["x"].tolist())
+    longest = parts.groupBy("place").agg(F.sqrt(F.max("len2")).alias("x"), F.count("*").alias("n")).orderBy("place").toPandas()
+    least = blocks.groupBy("place").agg(F.min("need").alias("x"), F.count("*").alias("n")).orderBy("place").toPandas()
+    part, block = merged(longest["n"].tolist(), PART_ROWS), merged(least["n"].tolist(), BLOCK_QUERIES)
+    meets, met = reach((least["x"] * (1 - 1e-9)).groupby(block).min().tolist(), longest["x"].groupby(part).max().tolist())
 
-    def dealt(df: DataFrame, places: pd.Series, count: list[int], own: str, other: str) -> DataFrame:
-        table = spark.createDataFrame([(int(x), k, m) for k, (x, m) in enumerate(zip(places, count)) if m], f"place int, {own} bigint, m bigint")
+    def dealt(df: DataFrame, places: pd.Series, index: np.ndarray, count: list[int], own: str, other: str) -> DataFrame:
+        table = spark.createDataFrame([(int(x), k, count[k]) for x, k in zip(places, index.tolist()) if count[k]], f"place int, {own} bigint, m bigint")
         return df.join(F.broadcast(table), "place").withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).drop("place", "m")
 
-    return dealt(parts.drop("len2"), longest["place"], meets, "p", "b"), dealt(blocks.drop("need"), least["place"], met, "b", "p")
+    return dealt(parts.drop("len2"), longest["place"], part, meets, "p", "b"), dealt(blocks.drop("need"), least["place"], block, met, "b", "p")
 
 
 def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: int = SCALE) -> DataFrame:

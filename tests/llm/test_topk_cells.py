@@ -9,6 +9,11 @@ def test_reach():
     assert topk.reach([3.0], [2.0]) == ([0], [0])
 
 
+def test_small_ranges_are_merged():
+    assert topk.merged([3, 3, 5, 9, 1, 1], 8).tolist() == [0, 0, 1, 2, 3, 3]
+    assert topk.merged([], 8).tolist() == []
+
+
 def test_short_parts_are_not_sent_to_queries_that_need_more(spark, monkeypatch):
     monkeypatch.setattr(topk, "PART_ROWS", 50)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
