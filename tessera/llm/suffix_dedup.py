@@ -3,22 +3,25 @@
 Every window of WINDOW bytes has an anchor: its 32-byte substring of least hash.  Equal windows
 have equal anchors, so windows that share an anchor's hash meet in one shard, and no others need
 to.  A run of windows with the same anchor place travels as one context of at most twice WINDOW
-bytes; contexts equal byte for byte travel once, with their number.  In a shard the contexts are
-sorted by induced suffix sorting (``suffix_arrays``); a window repeats where the common prefix
-with a neighbour in the array reaches WINDOW.
+bytes; of the contexts with equal hashes (a class) the first and the last travel, with their number.
+In a shard the contexts are sorted by induced suffix sorting (``suffix_arrays``); a window repeats
+where the common prefix with a neighbour in the array reaches WINDOW.  What the array finds in a
+class's first context holds for the class.
 
 An anchor with more than HOT different contexts (many near copies of one passage) is cut up: each
 context into pieces of PIECE windows, keyed by the bytes that all windows of the piece share, and
 equal pieces are merged again; where even those are too many, single windows are counted by hash.
-So no shard gathers an unbounded group.
+The classes of such an anchor are spread over the shards.  So no shard gathers an unbounded group.
 
-What does not repeat is told by hashes of anchors (64 bits) and of contexts within an anchor (64
-more); bytes decide inside shards.
+Hashes only route: of anchors (64 bits), of contexts within an anchor (64 more).  An anchor that
+stands once tells that its windows do not repeat; the arrays decide all others but the pieces and
+windows just named.
 
 Edge cases: null texts are empty; texts shorter than WINDOW keep every byte; a text that overlaps
 itself counts, runs of one letter included; rows that repeat are documents of their own, so they
 cover each other; null ids are kept as they are; texts are taken to be valid UTF-8; very long texts
-are read in sections of SECTION bytes that overlap by a window.
+are read in sections of SECTION bytes that overlap by a window; of rows with equal ids and texts
+that follow each other two travel.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ POSITION_BITS = 22
 ANCHOR_SCHEMA = "id bigint, tk bigint, start bigint, n_win bigint, anchor bigint, context bigint"
 PIECE_COLUMNS = ["id", "tk", "start", "n_win", "n", "anchor", "context", "bytes"]
 PIECE_SCHEMA = "id bigint, tk bigint, start bigint, n_win bigint, n bigint, anchor bigint, context bigint, bytes binary"
+SPAN_SCHEMA = "id bigint, tk bigint, n bigint, lo bigint, hi bigint, anchor bigint, context bigint"
 
 
 def sections(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -101,16 +105,21 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts asked for (id, tk, text, asked)."""
+    row, times = None, 0
     for batch in batches:
         asked = batch.column(3)
         rows: list[list] = [[] for _ in range(8)]
         size = 0
         for i in np.flatnonzero(asked.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            row, times = key, times + 1 if key == row else 1
+            if times > 2:
+                continue
             raw = batch.column(2)[i].as_buffer()
             view = memoryview(raw) if raw is not None else memoryview(b"")
             for x in asked[i].as_py():
                 piece = bytes(view[x["start"] : x["start"] + x["n_win"] + WINDOW - 1])
-                for c, v in zip(rows, (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), x["start"], x["n_win"], x["n"], x["anchor"], x["context"], piece)):
+                for c, v in zip(rows, (*key, x["start"], x["n_win"], x["n"], x["anchor"], x["context"], piece)):
                     c.append(v)
                 size += len(piece)
             if size > 8 << 20:
@@ -150,8 +159,12 @@ def signed(x: int) -> int:
 
 
 def shard_spans(table: pa.Table) -> pa.Table:
-    """Windows of a shard's single contexts that stand elsewhere in the shard, as spans of first bytes."""
-    table = table.combine_chunks()
+    """Windows that stand elsewhere in the shard, as spans of first bytes.
+
+    Spans of a single context (n = 1) count from its text's beginning, those of a class from the context's.
+    """
+    # Equal contexts stand side by side, so that what two places share ends soon and ranks part early.
+    table = table.combine_chunks().sort_by([("anchor", "ascending"), ("context", "ascending")])
     raw = [x.as_py() for x in table["bytes"]]
     sizes = np.array([len(r) for r in raw], np.int64)
     n_win, start = table["n_win"].to_numpy(), table["start"].to_numpy()
@@ -161,7 +174,8 @@ def shard_spans(table: pa.Table) -> pa.Table:
     whole = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint16) + 2
     text[np.arange(len(whole)) + np.repeat(np.arange(len(raw)), sizes)] = whole
     longest = int(sizes.max(initial=0)) + 1
-    sa = suffix_array(text, 2 * longest)
+    # Wholly sorted: the prefixes rely on the order of suffixes that share any length.
+    sa = suffix_array(text, len(text))
     common = permuted_prefixes(text, sa, longest + WINDOW, at)
     repeats = common >= WINDOW
     repeats[sa[:-1]] |= common[sa[1:]] >= WINDOW
@@ -171,10 +185,12 @@ def shard_spans(table: pa.Table) -> pa.Table:
     edge = np.diff(np.r_[0, repeats.astype(np.int8), 0])
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     own = np.searchsorted(at, lo, "right") - 1
-    keep = table["n"].to_numpy()[own] == 1
-    lo, hi, own = lo[keep], hi[keep], own[keep]
-    rows = pa.array(own)
-    return pa.table({"id": table["id"].take(rows), "tk": table["tk"].take(rows), "lo": pa.array(start[own] + lo - at[own]), "hi": pa.array(start[own] + hi - at[own])})
+    anchor, context, n = (table[c].to_numpy() for c in ("anchor", "context", "n"))
+    lead = np.r_[True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])]
+    lo, hi, own = lo[lead[own]], hi[lead[own]], own[lead[own]]
+    shift = np.where(n == 1, start, 0)[own] - at[own]
+    named = table.select(["id", "tk", "n", "anchor", "context"]).take(pa.array(own))
+    return pa.table({"id": named["id"], "tk": named["tk"], "n": named["n"], "lo": pa.array(lo + shift), "hi": pa.array(hi + shift), "anchor": named["anchor"], "context": named["context"]})
 
 
 def covered(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -230,21 +246,24 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     anchors = cut(source.select("id", "tk", F.col("text").cast("binary")).mapInArrow(anchor_batches, ANCHOR_SCHEMA))
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     anchors = cut(anchors.join(shared, "anchor", "left_semi"))
-    classes = cut(anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), *map(single, ("id", "tk", "start", "n_win"))))
-    known = resolved(anchors, classes.where("n > 1").select("anchor", "context"), "anchor", "context")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = cut(classes.join(several, "anchor"))
+    place = F.struct("id", "tk", "start")
+    classes = cut(anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("n_win").alias("n_win"), F.min(place).alias("first"), F.max(place).alias("last")))
+    several = classes.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    places = F.when(F.col("first") == F.col("last"), F.array("first")).otherwise(F.array("first", "last"))
+    asked = cut(classes.join(several, "anchor").withColumn("at", F.explode(places)).select("at.*", "n_win", "n", "anchor", "context", "kinds"))
     sizes = asked.agg(F.sum(F.col("n_win") + WINDOW).alias("bytes"), F.max("kinds").alias("kinds")).first()
-    spans = [known]
+    spans = []
     if sizes["bytes"]:
-        by_doc = asked.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "n_win", "n", "anchor", "context", "kinds")).alias("asked"))
+        by_doc = asked.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "n_win", "n", "anchor", "context")).alias("asked"))
         # The same left join as in the end, so that Spark reads one exchange of the texts twice.
         found = source.join(by_doc, ["id", "tk"], "left").select("id", "tk", F.col("text").cast("binary").alias("text"), "asked", "doc_id").mapInArrow(context_batches, PIECE_SCHEMA)
         shards = int(-(-sizes["bytes"] // SHARD_BYTES))
+        classes_apart = None
         if sizes["kinds"] > HOT:
             found = cut(found)
             hot = several.where(F.col("kinds") > HOT).select("anchor")
             pieces = cut(found.join(hot, "anchor", "left_semi").select(*PIECE_COLUMNS).mapInArrow(lambda b: piece_batches(b, PIECE), PIECE_SCHEMA))
+            classes_apart = found.join(hot, "anchor", "left_semi").where("n > 1").select(*PIECE_COLUMNS)
             found = found.join(hot, "anchor", "left_anti").select(*PIECE_COLUMNS)
             merged = cut(pieces.groupBy("anchor", "context").agg(F.sum("n").alias("total"), *map(single, ("id", "tk", "start", "n_win", "bytes"))).withColumn("n", F.least("total", F.lit(2))).drop("total"))
             spans.append(resolved(pieces.where("n = 1"), merged.where("n > 1").select("anchor", "context"), "anchor", "context"))
@@ -254,10 +273,15 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
             windows = cut(left.where(F.col("kinds") > HOT).drop("kinds").mapInArrow(lambda b: piece_batches(b, 1), PIECE_SCHEMA).drop("bytes"))
             counted = windows.groupBy("anchor", "context").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "context")
             spans.append(resolved(windows.where("n = 1"), counted, "anchor", "context"))
-        shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-        spans.append(found.withColumn("shard", shard).groupBy("shard").applyInArrow(shard_spans, "id bigint, tk bigint, lo bigint, hi bigint"))
-    every = spans[0]
-    for s in spans[1:]:
+        dealt = found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        if classes_apart is not None:
+            dealt = dealt.union(classes_apart.withColumn("shard", F.pmod(F.xxhash64("anchor", "context"), F.lit(shards))))
+        decided = cut(dealt.groupBy("shard").applyInArrow(shard_spans, SPAN_SCHEMA))
+        spans.append(decided.where("n = 1").select("id", "tk", "lo", "hi"))
+        of_classes = decided.where("n > 1").select("anchor", "context", "lo", "hi")
+        spans.append(anchors.join(of_classes, ["anchor", "context"]).select("id", "tk", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))
+    every = anchors.select("id", "tk", F.col("start").alias("lo"), F.col("start").alias("hi")).where(F.lit(False))
+    for s in spans:
         every = every.union(s)
     by_doc = every.groupBy("id", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     more = ", kept_text string" if texts else ""

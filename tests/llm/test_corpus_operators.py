@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,21 @@ def test_suffix_dedup(spark, documents, monkeypatch, hot):
     assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(df).collect()), key=str) == brute_repeats(rows, 400)
 
 
+def test_suffix_arrays_decide_what_hashes_route():
+    """Contexts under one key count as equal only where their bytes are."""
+    same, other = b"xy" * 50 + b"z" * 310, bytes(range(1, 206)) * 2
+    names = ["id", "tk", "start", "n_win", "n", "anchor", "context", "bytes"]
+
+    def spans(*contexts):
+        rows = [(k, k, 7, 11, n, anchor, 5, raw) for k, (n, anchor, raw) in enumerate(contexts)]
+        table = pa.table([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in zip(*rows)], names)
+        return [(r["n"], r["anchor"], r["lo"], r["hi"]) for r in suffix_dedup.shard_spans(table).to_pylist()]
+
+    assert spans((3, 1, same), (3, 1, same)) == [(3, 1, 0, 11)]
+    assert spans((3, 1, same), (3, 1, other)) == []
+    assert spans((1, 1, same), (3, 2, same), (3, 2, same)) == [(1, 1, 7, 18), (3, 2, 0, 11)]
+
+
 def test_suffix_dedup_on_odd_rows(odd):
     rows = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
     got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(odd).collect()), key=str)
