@@ -260,15 +260,16 @@ def line(spans: list[tuple[int, int, int]]) -> str:
 
 def digest_batches(batches: Iterator[pa.RecordBatch], model: Selector) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, hashes, spans = [], [], []
+        counts, hashes, spans, totals = [], [], [], []
         for x in batch.column(1):
             base, every = find(x.as_py() or "", model)
             kinds = [k for _, _, k in base]
             counts.append([kinds.count(k) for k in range(4)])
             hashes.append(hashlib.sha256(line(base).encode()).hexdigest())
             spans.append(line(every))
+            totals.append(len(every))
         cols = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(hashes, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(hashes, pa.string()), pa.array(spans, pa.string()), pa.array(totals, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
 
 def cover(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -289,9 +290,9 @@ def redact_batches(batches: Iterator[pa.RecordBatch], model: Selector, at: int)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans, and all spans, for each row."""
+    """Counts of the base kinds, a digest of the base spans, all spans and their number, for each row."""
     model = selector()
-    return bounded_batches(docs).select("doc_id", F.col("text")).mapInArrow(lambda b: digest_batches(b, model), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return bounded_batches(docs).select("doc_id", F.col("text")).mapInArrow(lambda b: digest_batches(b, model), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
