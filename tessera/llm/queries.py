@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, fixity, license_templates, minhash_join, pii, sharding, suffix_dedup, topk, toxicity
+from tessera.llm import bpe, decontam, divergence, fixity, license_templates, minhash_join, pii, secrets, sharding, spelling, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,20 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(pages, fixity.damaged(pages))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_suffix_dedup, op3_toxicity, op4_topk, op5_license_templates, op6_pii, op7_bpe, op8_minhash_join, op9_decontamination, op10_fixity]
+    found = [op1_sharding, op2_suffix_dedup, op3_toxicity, op4_topk, op5_license_templates, op6_pii, op7_bpe, op8_minhash_join, op9_decontamination, op10_fixity, op11_divergence, op12_spelling, op13_secrets]
     return {f.__name__: f for f in found}
 
 
@@ -109,4 +121,4 @@ TOPK_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": TOPK_SQL, "op10_fixity": FIXITY_SQL}
+    return {"op4_topk": TOPK_SQL, "op10_fixity": FIXITY_SQL, "op11_divergence": divergence.DIVERGENCE_SQL, "op12_spelling": spelling.SPELLING_SQL}
