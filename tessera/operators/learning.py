@@ -1,25 +1,22 @@
-"""Ranking models: boosted trees on pairwise gradients, a linear ranker, bootstrap samples and iteration.
+"""What is done with rankers: a linear one, gradients, bootstrap samples, training on mistakes and iteration.
 
-MLlib has no ranking objective, so trees are boosted here: each round fits one regression tree to the
-gradients of the pairwise logistic loss.  Scores are written after each round, so neither plans nor
-lost executors make a later round start from the source again.
+The boosted ranker itself is in ``boosting``.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import coherence as co
+from tessera.operators.boosting import Booster, Settings, train
 from tessera.operators.ranking import top_k
-from tessera.sources.workspace import stored
+from tessera.sources.workspace import drop, stored
 
 
 @dataclass
@@ -35,48 +32,6 @@ class LinearRanker:
         return df.withColumn("predicted", total)
 
 
-@dataclass
-class BoostedRanker:
-    """Regression trees whose leaves add up, each times ``rate``."""
-
-    features: list[str]
-    rate: float
-    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
-
-    def score(self, df: DataFrame, name: str = "predicted") -> DataFrame:
-        """``df`` with the sum of all trees; the score may serve as a feature under any name."""
-        out = VectorAssembler(inputCols=self.features, outputCol="_v", handleInvalid="keep").transform(df)
-        total = F.lit(0.0)
-        for k, tree in enumerate(self.trees):
-            out = tree.copy({tree.predictionCol: f"_t{k}"}).transform(out)
-            total = total + self.rate * F.col(f"_t{k}")
-        return out.withColumn(name, total).drop("_v", *(f"_t{k}" for k in range(len(self.trees))))
-
-    def importance(self) -> dict[str, float]:
-        """Each feature's share of the gain, averaged over the trees."""
-        sums = [0.0] * len(self.features)
-        for tree in self.trees:
-            for i, x in enumerate(tree.featureImportances.toArray().tolist()):
-                sums[i] += x
-        whole = sum(sums) or 1.0
-        return {f: x / whole for f, x in zip(self.features, sums)}
-
-    def save(self, spark: SparkSession, folder: str, name: str) -> str:
-        """Write the model under ``{rounds}_{depth}_{name}``; gives the path."""
-        depth = max((t.getMaxDepth() for t in self.trees), default=0)
-        path = f"{folder}/{len(self.trees)}_{depth}_{name}"
-        for k, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree={k}")
-        about = json.dumps({"features": self.features, "rate": self.rate, "trees": len(self.trees)})
-        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
-        return path
-
-
-def load_ranker(spark: SparkSession, path: str) -> BoostedRanker:
-    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
-    return BoostedRanker(about["features"], about["rate"], [DecisionTreeRegressionModel.load(f"{path}/tree={k}") for k in range(about["trees"])])
-
-
 def pairwise_gradients(df: DataFrame, score: str) -> DataFrame:
     """``df`` with ``gradient``: what the pairwise logistic loss of gold against the others pulls a score by."""
     w = Window.partitionBy("query_id")
@@ -86,35 +41,7 @@ def pairwise_gradients(df: DataFrame, score: str) -> DataFrame:
     return rows.withColumn("gradient", F.when(F.col("label") == 1, F.sum("_pull").over(w)).otherwise(-F.col("_pull"))).drop("_pull")
 
 
-def train_boosted(df: DataFrame, features: list[str], rounds: int = 10, depth: int = 4, rate: float = 0.3, start: BoostedRanker | None = None) -> BoostedRanker:
-    """Boosted trees over candidates (query_id, label, features); ``start`` is trained on."""
-    model = BoostedRanker(list(features), start.rate if start else rate, list(start.trees) if start else [])
-    now = stored((model.score(df, "_s") if model.trees else df.withColumn("_s", F.lit(0.0))).select("query_id", "label", *features, "_s"))
-    gather = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="keep")
-    for r in range(rounds):
-        rows = gather.transform(pairwise_gradients(now, "_s")).select("query_id", "label", *features, "_s", "_v", "gradient")
-        tree = DecisionTreeRegressor(featuresCol="_v", labelCol="gradient", maxDepth=depth, seed=r).fit(rows)
-        model.trees.append(tree)
-        if r + 1 < rounds:
-            now = stored(tree.transform(rows).withColumn("_s", F.col("_s") + model.rate * F.col("prediction")).select("query_id", "label", *features, "_s"))
-    return model
-
-
-def sweep(train: DataFrame, test: DataFrame, features: list[str], rounds: list[int], depths: list[int], measure) -> list[tuple[int, int, float]]:
-    """(rounds, depth, measure) for each point of the grid; fewer rounds are beginnings of more.
-
-    ``measure`` makes one number of one row from rows with ``score``.
-    """
-    out = []
-    for depth in depths:
-        model = train_boosted(train, features, max(rounds), depth)
-        for n in rounds:
-            part = BoostedRanker(model.features, model.rate, model.trees[:n])
-            out.append((n, depth, measure(part.score(test, "_p").withColumn("score", F.col("_p"))).first()[0]))
-    return out
-
-
-def mistakes(df: DataFrame, model: BoostedRanker) -> DataFrame:
+def mistakes(df: DataFrame, model: Booster) -> DataFrame:
     """Candidates of queries whose gold row does not score highest alone: what training may go on with."""
     rows = model.score(df, "_p")
     w = Window.partitionBy("query_id")
@@ -123,22 +50,22 @@ def mistakes(df: DataFrame, model: BoostedRanker) -> DataFrame:
     return rows.withColumn("_g", gold).withColumn("_o", other).where("_o >= _g").drop("_p", "_g", "_o")
 
 
-def recurrent(df: DataFrame, edges: DataFrame, universe: int, features: list[str], iterations: int = 2, rounds: int = 5, k: int = 1) -> DataFrame:
+def recurrent(df: DataFrame, edges: DataFrame, universe: int, features: list[str], iterations: int = 2, settings: Settings | None = None, k: int = 1) -> DataFrame:
     """Predict, take each mention's k best as its document's entities, work coherence out anew, train again.
 
     ``df``: doc_id, query_id, entity, pos, label, features.  Gives the last predictions as ``predicted``,
-    with ``coherence`` (the best and mean similarity to the predicted entities of the other mentions).
+    with ``coherence_max`` and ``coherence_mean`` (the best and mean similarity to the predicted entities of the other mentions).
     """
-    model = train_boosted(df, features, rounds)
-    now = stored(model.score(df))
+    now = stored(train(df, features, settings).score(df))
     for _ in range(iterations):
         published = top_k(now, ["query_id"], [F.desc("predicted"), F.asc("pos")], k).select("doc_id", "query_id", "entity", "rank")
-        scored = co.scored_pairs(stored(co.document_pairs(now, published, k)), edges, universe)
-        near = co.two_level(scored, "njs").select("doc_id", "query_id", "entity", F.col("max_max").alias("coherence_max"), F.col("avg_max").alias("coherence_mean"))
-        rows = df.join(near, ["doc_id", "query_id", "entity"], "left").fillna(0.0, ["coherence_max", "coherence_mean"])
-        rows = stored(rows)
-        model = train_boosted(rows, [*features, "coherence_max", "coherence_mean"], rounds)
+        pairs = stored(co.document_pairs(now, published, k))
+        near = co.two_level(co.scored_pairs(pairs, edges, universe), "njs").select("doc_id", "query_id", "entity", F.col("max_max").alias("coherence_max"), F.col("avg_max").alias("coherence_mean"))
+        rows = stored(df.join(near, ["doc_id", "query_id", "entity"], "left").fillna(0.0, ["coherence_max", "coherence_mean"]))
+        drop(pairs, now)
+        model = train(rows, [*features, "coherence_max", "coherence_mean"], settings)
         now = stored(model.score(rows))
+        drop(rows)
     return now
 
 
@@ -182,10 +109,13 @@ def _poisson(n: int) -> list[float]:
 POISSON = _poisson(8)
 
 
-def iterate_top_k(df: DataFrame, features: list[str], k: int, rounds: int) -> DataFrame:
+def iterate_top_k(df: DataFrame, features: list[str], k: int, rounds: int, settings: Settings | None = None) -> DataFrame:
     """Train, keep each query's k best, and train again on what is left; ``round`` of the last filter."""
-    now = df
+    now, before = df, None
     for r in range(rounds):
-        model = train_pairwise(pairwise_rows(now, features), features)
-        now = stored(top_k(model.score(now), ["query_id"], [F.desc("predicted"), F.asc("pos")], k).drop("predicted", "rank").withColumn("round", F.lit(r + 1)))
+        scored = train(now, features, settings).score(now)
+        kept = stored(top_k(scored, ["query_id"], [F.desc("predicted"), F.asc("pos")], k).drop("predicted", "rank").withColumn("round", F.lit(r + 1)))
+        if before is not None:
+            drop(before)
+        now = before = kept
     return now

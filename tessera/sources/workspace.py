@@ -20,16 +20,31 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as the JVM has them."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def fresh_path(spark: SparkSession) -> str:
     """A path that nothing stands at; what is written there goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    hpath, files = hadoop_path(spark, path)
+    files.deleteOnExit(hpath)
     return path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df``, written once and read as often as it is used."""
+    """``df``, written once and read as often as it is used; it goes with ``drop`` or when the driver's JVM ends."""
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` whose last reader has been written."""
+    for df in tables:
+        hpath, files = hadoop_path(df.sparkSession, df.stored_at)
+        files.delete(hpath, True)

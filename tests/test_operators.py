@@ -161,12 +161,3 @@ def test_unknown_query():
 
     with pytest.raises(ValueError):
         registry.chosen("no such query")
-
-
-def test_boosted_ranker(spark, tmp_path):
-    df = spark.createDataFrame([(q, int(p == 0), float(p == 0) + q * 0.001, float(p)) for q in range(40) for p in range(4)], "query_id long, label int, x double, y double")
-    model = ln.train_boosted(df, ["x", "y"], rounds=2, depth=2)
-    again = ln.load_ranker(spark, model.save(spark, f"file://{tmp_path}", "m"))
-    assert rows(model.score(df)) == rows(again.score(df)) and abs(sum(model.importance().values()) - 1) < 1e-9
-    right = ev.precision_recall(again.score(df, "score")).first()
-    assert right.n_correct == 40 and ln.mistakes(df, model).count() == 0
