@@ -59,6 +59,48 @@ def found(texts, items):
     return set(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 
+def test_masks_are_complete():
+    """Every way to replace words in 13 to 25 words (and in 12) that leaves seven tenths has a masked hit, so every accepted passage has."""
+    for n in range(decontam.MASKED_WORDS, 26):
+        lost = n - decontam.whole_words(n)
+        assert lost >= max(d for d in range(n) if 5 * (n - d) > 4 * n) and decontam.complete(decontam.MASKS, n, lost), n
+    assert not all(decontam.complete(decontam.MASKS[:2], n, n - decontam.whole_words(n)) for n in range(12, 26)) and not decontam.complete(("111111",), 13, 2)
+
+
+def test_every_accepted_alignment_has_a_masked_seed():
+    rng = random.Random(3)
+    for _ in range(2000):
+        words = [f"w{k}" for k in range(rng.choice((12, 13, 14, 17, 20, 26, 30, 41, 64)))]
+        own = ["x" if rng.random() < rng.choice((0.15, 0.3)) else w for w in words]
+        if rng.random() < 0.4:
+            cut = rng.randrange(len(words) - 12 + 1)
+            own = ["x"] * cut + own[cut : cut + rng.randrange(12, 30)]
+        if accepted(words, own, 0):
+            agree = [k < len(own) and own[k] == w for k, w in enumerate(words)]
+            assert any(all(agree[at + k] for k, c in enumerate(m) if c == "1") for m in decontam.MASKS for at in range(len(words) - len(m) + 1))
+
+
+def test_one_block_and_many_are_alike(spark, monkeypatch):
+    rng = random.Random(21)
+    items = [[f"w{n}x{k}" for k in range(n)] for n in (*range(0, 16), 20, 27, 38)] + [["the"] * 14, [rng.choice("ab") for _ in range(30)]]
+    texts = []
+    for words in items * 3:
+        own = ["x" if rng.random() < 0.2 else w for w in words]
+        texts.append([rng.choice("abcd") for _ in range(rng.randrange(6))] + own + ["the"] * rng.randrange(3))
+    texts += texts[:5]
+    docs = spark.createDataFrame([(d % 50, " ".join(t), d) for d, t in enumerate(texts)] + [(None, " ".join(items[15]), 0), (99, None, 0), (98, "", 0)], "doc_id long, text string, item_id int").repartition(3)
+    bench = spark.createDataFrame([(i % 18, " ".join(w)) for i, w in enumerate(items)] + [(1, None), (None, "a b c"), (3, " ".join(items[3]))], "item_id long, text string")
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    one, kept = key(decontam.overlaps(docs, bench)), key(decontam.keep_clean(docs, bench))
+    assert {(d, i) for d, i, *_ in one} >= {(d % 50, i % 18) for d, i in held(texts, items)} and len(one) > 40
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(decontam, "TOGETHER", 2)
+    assert key(decontam.overlaps(docs, bench)) == one and key(decontam.keep_clean(docs, bench)) == kept
+    assert decontam.overlaps(docs.limit(0), bench).count() == 0 and decontam.keep_clean(docs.limit(0), bench).count() == 0
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 0)
+    assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.keep_clean(docs, bench.limit(0)).count() == docs.count()
+
+
 def test_every_accepted_alignment_has_a_seed(monkeypatch):
     rng = random.Random(13)
     items = [[f"w{n}x{k}" for k in range(n)] for n in (*range(0, 31), 38, 50)]
