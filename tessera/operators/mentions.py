@@ -58,13 +58,13 @@ def without_types(spans: DataFrame, column: str = "ner") -> DataFrame:
     return spans.where(~F.col(column).isin(excluded))
 
 
-def capitalised_spans(docs: DataFrame) -> DataFrame:
-    """Every run of capitalised words and the place of its first character: a stand-in for a recogniser.
+def pattern_spans(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, span, start): every match of ``pattern``, one group around the whole of it, and the place of its first character.
 
-    Text between runs and the runs themselves come from one pattern, so places are sums of lengths.
+    Text between matches and the matches themselves come from one pattern, so places are sums of lengths.
     """
-    runs = F.regexp_extract_all("text", F.lit(SPAN), F.lit(1))
-    between = F.transform(F.split("text", SPAN, -1), F.length)
+    runs = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    between = F.transform(F.split("text", pattern, -1), F.length)
     rows = docs.select("doc_id", runs.alias("runs"), between.alias("gaps")).where(F.size("runs") > 0)
     steps = F.transform(F.arrays_zip("runs", F.slice("gaps", F.lit(1), F.size("runs")).alias("gaps")), lambda x: F.struct(x["runs"].alias("span"), x["gaps"].alias("gap")))
     rows = rows.select("doc_id", F.posexplode(steps).alias("nth", "s"))
@@ -73,6 +73,11 @@ def capitalised_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("s.span").alias("span"), (passed + F.col("s.gap")).cast("int").alias("start"))
 
 
+def capitalised_spans(docs: DataFrame) -> DataFrame:
+    """Every run of capitalised words and the place of its first character: a stand-in for a recogniser."""
+    return pattern_spans(docs, SPAN)
+
+
 def max_surface_offsets(mentions: DataFrame) -> DataFrame:
     """Each document's surface forms with their offsets in order."""
     return mentions.groupBy("doc_id", "surface").agg(F.sort_array(F.collect_list("at")).alias("offsets"))

@@ -10,8 +10,12 @@ from tessera.functions.text import tokens
 
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row for each token: ``keep``, token, position (from 0)."""
-    return docs.select(*keep, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    """One row for each token: ``keep``, token, position (from 0).
+
+    An outer generator and a filter on its own rows: of a plain one Spark infers filters on the array,
+    and would run the pattern for each of them again.
+    """
+    return docs.select(*keep, F.posexplode_outer(tokens(F.col("text"))).alias("pos", "token")).where("token is not null")
 
 
 def index(docs: DataFrame, *keep: str) -> DataFrame:
@@ -22,10 +26,13 @@ def index(docs: DataFrame, *keep: str) -> DataFrame:
 def counts(docs: DataFrame, group: list[str], doc: str) -> DataFrame:
     """group, doc, token, n, total: how often a token stands in a document, and the document's tokens.
 
-    ``doc`` names one row of ``docs``.  A plan that reads the counts three times or more had better store them.
+    ``doc`` names one row of ``docs``.  Texts are dealt by it before they become tokens, so that a file
+    of few row groups is worked on by all cores and tokens are counted where they come up, unshuffled.
+    A plan that reads the counts twice or more had better store them.
     """
-    rows = docs.select(*group, doc, tokens(F.col("text")).alias("t")).select(*group, doc, F.size("t").alias("total"), F.explode("t").alias("token"))
-    return rows.groupBy(*group, doc, "token").agg(F.count("*").alias("n"), F.max("total").alias("total"))
+    dealt = docs.select(*group, doc, "text").repartition(doc)
+    rows = dealt.select(*group, doc, tokens(F.col("text")).alias("t")).select(*group, doc, F.size("t").alias("total"), F.explode_outer("t").alias("token"))
+    return rows.where("token is not null").groupBy(*group, doc, "token").agg(F.count("*").alias("n"), F.max("total").alias("total"))
 
 
 def term_frequency(token_counts: DataFrame, group: list[str], doc: str) -> DataFrame:

@@ -8,6 +8,7 @@ from tessera.functions import similarity as sim
 from tessera.functions import text as tx
 from tessera.operators import candidates as cd
 from tessera.operators import coherence as co
+from tessera.operators import coreference as cr
 from tessera.operators import evaluation as ev
 from tessera.operators import matrix as mx
 from tessera.operators import mentions as mn
@@ -207,7 +208,7 @@ def token_overlap_12(spark, d):
 @query(f"SELECT lang, source, doc_id, token, round(n / sum(n) OVER (PARTITION BY lang, source, doc_id) * log2(size / count(*) OVER (PARTITION BY lang, source, token)), 6) AS tf_idf FROM {COUNTS} JOIN {SIZES} USING (lang, source)")
 def tf_idf_log2(spark, d):
     rows = docs(spark, d)
-    return tk.log2_tf_idf(tk.counts(rows, GROUP, "doc_id"), rows, GROUP, "doc_id").withColumn("tf_idf", F.round("tf_idf", 6))
+    return tk.log2_tf_idf(stored(tk.counts(rows, GROUP, "doc_id")), rows, GROUP, "doc_id").withColumn("tf_idf", F.round("tf_idf", 6))
 
 
 STOPS = "(SELECT unnest(['the', 'and', 'of', 'die', 'und', 'la', 'de', 'el', 'y', 'license']) AS token)"
@@ -337,3 +338,35 @@ def coref_answers(spark, d):
     one = F.struct((F.col("n_regionkey") + 1).alias("sentNum"), F.lit(2).alias("startIndex"), F.lit(4).alias("endIndex"), F.col("n_name").alias("text"), (F.col("n_nationkey") % 2 == 0).alias("isRepresentativeMention"))
     answer = F.to_json(F.struct(F.create_map(F.lit("7"), F.array(one)).alias("corefs")))
     return readers.coref_chains(parquet(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), answer.alias("json")), "json")
+
+
+def _places(name: str, pattern: str) -> str:
+    """SQL of every match of a pattern and its place."""
+    return f"""{name} AS MATERIALIZED (SELECT doc_id, span, (sum(length(gap) + length(span)) OVER (PARTITION BY doc_id ORDER BY nth) - length(span))::INTEGER AS start FROM (
+        SELECT doc_id, unnest(runs) AS span, unnest(gaps[:len(runs)]) AS gap, generate_subscripts(runs, 1) AS nth FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS runs, regexp_split_to_array(text, '{pattern}') AS gaps FROM documents) WHERE len(runs) > 0))"""
+
+
+def _list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+CHAINS = rf"""WITH RECURSIVE {_places('caps', r'\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*')}, {_places('toks', r'[\p{L}\p{N}_]+')},
+    m AS MATERIALIZED (SELECT *, lower(text) AS key, lower(text) IN {_list(cr.PLURAL)} OR (lower(text) NOT IN {_list(cr.SINGULAR)} AND (contains(lower(text), ' and ') OR regexp_matches(lower(text), '[^s]s$'))) AS several FROM (
+        SELECT doc_id, start, min(text) AS text, arg_min(pronoun, text) AS pronoun FROM (
+        SELECT doc_id, start, span AS text, lower(span) IN {_list(cr.SINGULAR + cr.PLURAL)} AS pronoun FROM caps UNION ALL SELECT doc_id, start, span, TRUE FROM toks WHERE span IN {_list(cr.SINGULAR + cr.PLURAL)}) GROUP BY doc_id, start)),
+    b AS MATERIALIZED (SELECT *, CASE WHEN pronoun THEN last_value(CASE WHEN NOT pronoun AND several THEN key END IGNORE NULLS) OVER w END AS before_p, CASE WHEN pronoun THEN last_value(CASE WHEN NOT pronoun AND NOT several THEN key END IGNORE NULLS) OVER w END AS before_s
+        FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    firsts AS MATERIALIZED (SELECT doc_id, key, min(start) AS first FROM m WHERE NOT pronoun GROUP BY doc_id, key),
+    tails AS (SELECT doc_id, start, key AS whole, array_to_string(w[k:], ' ') AS tail FROM (SELECT doc_id, start, key, string_split(key, ' ') AS w, unnest(range(2, len(string_split(key, ' ')) + 1)) AS k FROM m WHERE NOT pronoun)),
+    parents AS MATERIALIZED (SELECT f.doc_id, f.key, first, arg_max(whole, t.start) AS parent FROM firsts f LEFT JOIN tails t ON t.doc_id = f.doc_id AND t.tail = f.key AND t.start < f.first GROUP BY ALL),
+    up AS (SELECT doc_id, key, key AS top FROM parents UNION ALL SELECT up.doc_id, up.key, p.parent FROM up JOIN parents p ON p.doc_id = up.doc_id AND p.key = up.top WHERE p.parent IS NOT NULL),
+    roots AS (SELECT up.doc_id, up.key, p.first AS root FROM up JOIN parents p ON p.doc_id = up.doc_id AND p.key = up.top WHERE p.parent IS NULL)
+    SELECT b.doc_id, b.start, b.text, coalesce(r.root, b.start) AS chain,
+        CASE WHEN pronoun THEN CASE WHEN r.root IS NULL THEN 'none' ELSE 'pronoun' END WHEN b.start > p.first THEN 'exact' WHEN p.parent IS NOT NULL THEN 'suffix' ELSE 'none' END AS sieve
+    FROM b LEFT JOIN roots r ON r.doc_id = b.doc_id AND r.key = CASE WHEN NOT pronoun THEN b.key WHEN several THEN before_p ELSE before_s END LEFT JOIN parents p ON p.doc_id = b.doc_id AND p.key = b.key AND NOT b.pronoun"""
+
+
+@query(CHAINS)
+def coreference_chains(spark, d):
+    """Every mention with its chain and the sieve that put it there."""
+    return cr.chains(cr.mentions(docs(spark, d)))
