@@ -10,8 +10,10 @@ from tessera.operators import candidates as cd
 from tessera.operators import coherence as co
 from tessera.operators import coreference as cr
 from tessera.operators import evaluation as ev
+from tessera.operators import lemmas as lm
 from tessera.operators import matrix as mx
 from tessera.operators import mentions as mn
+from tessera.operators import tagger as tg
 from tessera.operators import tokens as tk
 from tessera.plans.registry import query
 from tessera.plans.textual import COUNTS, LINKS, MENTION, SIZES, SPREAD, TF, docs
@@ -370,3 +372,61 @@ CHAINS = rf"""WITH RECURSIVE {_places('caps', r'\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*')
 def coreference_chains(spark, d):
     """Every mention with its chain and the sieve that put it there."""
     return cr.chains(cr.mentions(docs(spark, d)))
+
+
+LEMMA_RULES = rf"""v AS MATERIALIZED (SELECT token AS word, count(*) AS n FROM {PLACED} WHERE regexp_matches(token, '^\p{{L}}+$') GROUP BY token),
+    c AS (SELECT right(word, {lm.CLASS}) AS class, strip, added, left(word, length(word) - strip) || added AS lemma, n, word FROM v, (SELECT unnest(range(1, {lm.STRIP + 1})) AS strip), (SELECT unnest({lm.ADDED}) AS added) WHERE length(word) >= {lm.LEAST} AND length(word) - strip >= {lm.KEPT}),
+    h AS (SELECT class, strip, added, count(*) AS support FROM c JOIN v ON v.word = c.lemma AND v.n >= c.n WHERE lemma <> c.word GROUP BY ALL),
+    rules AS MATERIALIZED (SELECT class, strip::INTEGER AS strip, added, support, words FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY support DESC, strip, added) AS k FROM h)
+        JOIN (SELECT right(word, {lm.CLASS}) AS class, count(*) AS words FROM v WHERE length(word) >= {lm.LEAST} GROUP BY ALL) USING (class) WHERE k = 1 AND support >= 3 AND support >= 0.25 * words)"""
+LEMMA = f"CASE WHEN r.class IS NOT NULL AND length(token) - strip >= {lm.KEPT} THEN left(token, length(token) - strip) || added ELSE token END"
+LEMMA_JOIN = rf"LEFT JOIN rules r ON r.class = right(token, {lm.CLASS}) AND length(token) >= {lm.LEAST} AND regexp_matches(token, '^\p{{L}}+$')"
+
+
+def _rules(spark, d):
+    return stored(lm.induce(lm.vocabulary(tk.exploded(docs(spark, d), "doc_id"))))
+
+
+@query(f"WITH {LEMMA_RULES} SELECT * FROM rules")
+def lemma_rules(spark, d):
+    """The edit script of each suffix class of the documents' words."""
+    return _rules(spark, d)
+
+
+@query(f"WITH {LEMMA_RULES} SELECT doc_id, count(*) AS n, md5(string_agg(pos || ':' || lemma, '|' ORDER BY pos)) AS line FROM (SELECT doc_id, pos, {LEMMA} AS lemma FROM {PLACED} {LEMMA_JOIN}) GROUP BY doc_id")
+def document_lemmas(spark, d):
+    """Every document's tokens as lemmas."""
+    rows = lm.lemmatised(tk.exploded(docs(spark, d), "doc_id"), _rules(spark, d))
+    return line(rows.select("doc_id", "pos", F.col("lemma").alias("token")))
+
+
+@query(rf"""WITH {LEMMA_RULES}, p AS (SELECT p_partkey, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT p_partkey, regexp_extract_all(lower(p_name || ', ' || p_type || 's'), '[\p{{L}}\p{{N}}_]+') AS t FROM part))
+    SELECT p_partkey, string_agg(lemma, ' ' ORDER BY pos) AS lemmas FROM (SELECT p_partkey, pos, {LEMMA} AS lemma FROM p {LEMMA_JOIN}) GROUP BY p_partkey""")
+def phrase_lemmas_induced(spark, d):
+    """Whole phrases as lemmas, by the scripts of the documents."""
+    part = parquet(spark, d, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit("s")).alias("text"))
+    rows = lm.lemmatised(tk.exploded(part, "p_partkey"), _rules(spark, d))
+    return rows.groupBy("p_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lemma"))), lambda x: x["lemma"]), " ").alias("lemmas"))
+
+
+def _taught(spark, d):
+    """Documents, the spans that teach the tagger, a tagger of four fifths of the documents, and which those are."""
+    rows = docs(spark, d).select("doc_id", "text")
+    taught = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5 > 0
+    spans = stored(mn.capitalised_spans(rows))
+    return rows, spans, tg.train(rows.where(taught), spans, passes=2), taught
+
+
+@query()
+def recognised_spans(spark, d):
+    """Spans that the trained tagger finds in every document."""
+    rows, _, model, _ = _taught(spark, d)
+    return tg.recognise(rows, model)
+
+
+@query()
+def recogniser_quality(spark, d):
+    """Precision and recall of the tagger on the documents that did not teach it."""
+    rows, spans, model, taught = _taught(spark, d)
+    q = tg.quality(tg.recognise(rows.where(~taught), model), spans.where(~taught))
+    return q.select("n_found", "n_spans", "n_right", F.round("p", 4).alias("p"), F.round("r", 4).alias("r"))
