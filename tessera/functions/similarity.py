@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # Fixed value: size of the link graph's universe.
 UNIVERSE = 6_274_625
@@ -15,46 +13,55 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(1.0))
 
 
-def _jaro_parts(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    reach = max(reach, 0)
-    taken = [False] * len(b)
-    left = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                left.append(c)
-                break
-    if not left:
-        return 0.0
-    right = [c for c, t in zip(b, taken) if t]
-    moved = sum(x != y for x, y in zip(left, right)) // 2
-    m = len(left)
-    return (m / len(a) + m / len(b) + (m - moved) / m) / 3
-
-
-def _winkler(a: str, b: str) -> float:
-    score = _jaro_parts(a, b)
-    if score <= 0.7:
-        return score
-    same = 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return score + same * 0.1 * (1 - score)
-
-
-@F.pandas_udf(DoubleType())
-def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _jaro_parts(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+#: Stands in the place of a letter that is taken; a NUL of the strings themselves counts as another letter.
+_TAKEN, _NUL = "\0", "\ue000"
+
+
+def _letter(s: Column, i: Column) -> Column:
+    return F.substr(s, i, F.lit(1))
+
+
+def _assigned(a: Column, b: Column) -> Column:
+    """(left, rest): letters of ``a`` that found a partner, in order, and ``b`` with the partners taken out.
+
+    Each letter of ``a`` in turn takes the first equal letter of ``b`` within reach that is still there.
+    """
+    reach = F.greatest(F.floor(F.greatest(F.length(a), F.length(b)) / 2) - 1, F.lit(0)).cast("int")
+
+    def step(state: Column, i: Column) -> Column:
+        low = F.greatest(i - reach, F.lit(1))
+        near = F.substr(state["rest"], low, F.greatest(i + reach - low + 1, F.lit(0)))
+        at = F.position(_letter(a, i), near)
+        found = F.overlay(state["rest"], F.lit(_TAKEN), low + at - 1, F.lit(1))
+        return F.when(at > 0, F.struct(F.concat(state["left"], _letter(a, i)).alias("left"), found.alias("rest"))).otherwise(state)
+
+    begin = F.struct(F.lit("").alias("left"), b.alias("rest"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(a)), begin, step)
+
+
+def jaro(a: Column | str, b: Column | str) -> Column:
+    """Jaro similarity, as letters that match within reach and their order say; 0 if a string is empty."""
+    a, b = (F.col(s) if isinstance(s, str) else s for s in (a, b))
+    x, y = (F.replace(s, F.lit(_TAKEN), F.lit(_NUL)) for s in (a, b))
+
+    def score(found: Column) -> Column:
+        left, rest = found["left"], found["rest"]
+        right = F.array_join(F.filter(F.transform(F.sequence(F.lit(1), F.length(y)), lambda j: F.when(_letter(rest, j) == _TAKEN, _letter(y, j))), lambda c: c.isNotNull()), "")
+        m = F.length(left)
+        unlike = F.aggregate(F.sequence(F.lit(1), m), F.lit(0), lambda n, k: n + F.when(_letter(left, k) == _letter(right, k), 0).otherwise(1))
+        return F.when(m == 0, 0.0).otherwise((m / F.length(x) + m / F.length(y) + (m - F.floor(unlike / 2)) / m) / 3)
+
+    # One array of one struct, so that the assignment is worked out once though it is read many times.
+    value = F.transform(F.array(_assigned(x, y)), score)[0]
+    return F.when(a.isNotNull() & b.isNotNull(), F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(value))
+
+
+def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     """Jaro similarity, raised by up to four common first letters where it is above 0.7."""
-    return pd.Series([None if x is None or y is None else _winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    a, b = (F.col(s) if isinstance(s, str) else s for s in (a, b))
+    shortest = F.least(F.length(a), F.length(b), F.lit(4))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda k: (k <= shortest) & (F.substr(a, F.lit(1), k) == F.substr(b, F.lit(1), k))))
+    return F.transform(F.array(jaro(a, b)), lambda s: F.when(s > 0.7, s + same * 0.1 * (1 - s)).otherwise(s))[0]
 
 
 def hamming_similarity(a: Column, b: Column) -> Column:
@@ -112,8 +119,7 @@ def string_features(mention: Column, entity: Column) -> dict[str, Column]:
     guard = lambda c: F.when(fits, c).otherwise(0.0)
     return {
         "es": guard(edit_similarity(mention, entity)),
-        # Python is worked out before the guard, so rows that fail it send nulls.
-        "jaro_winkler": guard(jaro_winkler(F.when(fits, mention), F.when(fits, entity))),
+        "jaro_winkler": guard(jaro_winkler(mention, entity)),
         "start_with": guard(starts_with(mention, entity)),
         "end_with": guard(ends_with(mention, entity)),
         "same": guard(same(mention, entity)),
