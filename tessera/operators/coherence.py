@@ -1,7 +1,8 @@
 """Coherence of entities through a link graph, given as distinct edges (src, dst).
 
-Pairs come from documents; each unordered pair is worked out once, by an edge self join on the
-neighbour, and joined back.  No adjacency list is gathered and nothing is crossed.
+Pairs come from documents; each unordered pair is worked out once and joined back.  A pair is met from
+its end of fewer links: the sources of that end are looked up among those of the other, so a pair costs
+as many rows as its rarer end has links.  No adjacency list is gathered and nothing is crossed.
 """
 
 from __future__ import annotations
@@ -12,28 +13,19 @@ from pyspark.sql import functions as F
 from tessera.functions.similarity import ngd, njs, phrase_kernel, pmi
 from tessera.operators.ranking import top_k
 
-#: Edges of a source whose pairs are all formed.
-HUB = 64
-
 
 def degrees(edges: DataFrame) -> DataFrame:
     """In-degree of each entity; ``edges`` are distinct."""
     return edges.groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("degree"))
 
 
-def neighbour_pairs(distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, common): neighbours that pairs share.
-
-    A source of up to HUB edges gives its pairs outright; sources with more meet the pairs asked for
-    only, from one end to the other.
-    """
-    fan = edges.groupBy("src").agg(F.count("*").alias("fan"))
-    sized = edges.join(fan, "src")
-    few, many = sized.where(F.col("fan") <= HUB).drop("fan"), sized.where(F.col("fan") > HUB).drop("fan")
-    own = few.select(F.col("dst").alias("a"), "src").join(few.select(F.col("dst").alias("b"), "src"), "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    left, right = many.select(F.col("dst").alias("a"), "src"), many.select(F.col("dst").alias("b"), "src")
-    hubs = distinct.join(left, "a").join(right, ["b", "src"]).groupBy("a", "b").agg(F.count("*").alias("n"))
-    return own.unionByName(hubs).groupBy("a", "b").agg(F.sum("n").alias("common"))
+def asked_sources(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, degree_a, degree_b, src): each pair with every source of its end of fewer links, null if that has none."""
+    size = degrees(edges)
+    sized = distinct.join(size.select(F.col("entity").alias("a"), F.col("degree").alias("degree_a")), "a", "left").join(size.select(F.col("entity").alias("b"), F.col("degree").alias("degree_b")), "b", "left").fillna(0, ["degree_a", "degree_b"])
+    rare = F.col("degree_a") <= F.col("degree_b")
+    ends = sized.withColumn("rare", F.when(rare, F.col("a")).otherwise(F.col("b"))).withColumn("other", F.when(rare, F.col("b")).otherwise(F.col("a")))
+    return ends.join(edges.select(F.col("dst").alias("rare"), "src"), "rare", "left").drop("rare")
 
 
 def document_pairs(candidates: DataFrame, others: DataFrame, k: int | None = None) -> DataFrame:
@@ -50,14 +42,8 @@ def document_pairs(candidates: DataFrame, others: DataFrame, k: int | None = Non
 def pair_links(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """common, degree_a, degree_b for each distinct unordered pair (a < b) of ``pairs`` (entity, other)."""
     distinct = pairs.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).distinct()
-    common = neighbour_pairs(distinct, edges)
-    size = degrees(edges)
-    return (
-        distinct.join(common, ["a", "b"], "left")
-        .join(size.select(F.col("entity").alias("a"), F.col("degree").alias("degree_a")), "a", "left")
-        .join(size.select(F.col("entity").alias("b"), F.col("degree").alias("degree_b")), "b", "left")
-        .select("a", "b", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("common", "degree_a", "degree_b")))
-    )
+    met = asked_sources(distinct, edges).join(edges.select("src", F.col("dst").alias("other"), F.lit(1).alias("met")), ["src", "other"], "left")
+    return met.groupBy("a", "b").agg(F.count("met").alias("common"), F.max("degree_a").alias("degree_a"), F.max("degree_b").alias("degree_b"))
 
 
 def similarities(links: DataFrame, universe: int) -> DataFrame:

@@ -9,6 +9,8 @@ from tessera.operators import tokens as tk
 from tessera.plans.registry import query
 from tessera.plans.views import CANDIDATES, candidates
 from tessera.sources import readers, writers
+from tessera.sources.commits import CommitLog
+from tessera.sources.commits import append_once as commit_once
 from tessera.sources.readers import parquet
 from tessera.sources.workspace import fresh_path
 
@@ -39,6 +41,17 @@ def append_and_mark(spark, d):
     return spark.read.parquet(rows).groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderkey, o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderkey, o_orderstatus")
+def append_once(spark, d):
+    """Rows and marks in one commit: a first writer takes the finished orders, a second all that are left."""
+    orders = parquet(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    log = CommitLog(spark, fresh_path(spark))
+    kind = f"o_orderkey {orders.schema['o_orderkey'].dataType.simpleString()}, o_orderstatus string"
+    for part in (orders.where("o_orderstatus = 'F'"), orders):
+        commit_once(log, lambda marks, part=part: part.join(marks, "o_orderkey", "left_anti"), "o_orderkey", kind)
+    return log.read("rows", kind).groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey AS key, CASE WHEN p_size > 25 THEN p_name ELSE p_type END AS value FROM part")
 def put_values(spark, d):
     part = parquet(spark, d, "part")

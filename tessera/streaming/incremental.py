@@ -24,3 +24,17 @@ def follow(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str,
         put_if_absent(work(batch), out, keys)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_distinct(stream: DataFrame, out: str, keys: list[str], checkpoint: str, event_time: str | None = None, delay: str = "1 day") -> StreamingQuery:
+    """Append each key's first row; the keys seen so far are in Spark's state store, so a micro-batch reads new rows only.
+
+    With ``event_time`` a key is remembered until the watermark is ``delay`` past it, else for good.
+    Each batch writes a folder of its own, so a batch that is run again writes the same folder.
+    """
+    first = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys) if event_time else stream.dropDuplicates(keys)
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return first.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
