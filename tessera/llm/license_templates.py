@@ -29,16 +29,22 @@ from tessera.llm.scratch import bounded_batches
 # The phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label (which may name a variable) and template.
+#: Who holds the rights, in up to ten words.
+HOLDER = "<<var:holder:1-10>>"
+# Wording of published licenses.
+BSD_OPENING = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_CLOSING = f"this software is provided by {HOLDER} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {HOLDER} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+#: Label (which may name a variable) and template, whole license texts among them.
 TEMPLATES = (
     ("gpl-{version}", "<<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version <<var:version:1-1>> <<optional>>of the license<<end>> <<optional>>or <<optional>>at your option<<end>> any later version<<end>>"),
     ("apache-{version}", "licensed under the apache license version <<var:version:1-1>> <<optional>>0<<end>> <<optional>>the license you may not use this file except in compliance with the license<<end>>"),
     ("cc-by-nc-{version}", "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by nc <<var:version:1-1>> <<optional>>0<<end>>"),
     ("cc-by-{version}", "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by <<var:version:1-1>> 0"),
     ("mit-notice", "<<optional>>this <<var:thing:1-2>> is<<end>> released under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>>the software<<end>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit-text", f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>>the software<<end>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {HOLDER} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-2-text", f"{BSD_OPENING} {BSD_CLOSING}"),
+    ("bsd-3-text", f"{BSD_OPENING} <<optional>>3<<end>> neither the name of {HOLDER} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {BSD_CLOSING}"),
+    ("isc-text", f"permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {HOLDER} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {HOLDER} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
 )
 MARK = re.compile(r"<<(optional|end|var:\w+:\d+-\d+)>>")
 ANCHOR_WORDS = 3
