@@ -17,10 +17,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
 _TAKEN, _NUL = "\0", "\ue000"
 
 
-def _letter(s: Column, i: Column) -> Column:
-    return F.substr(s, i, F.lit(1))
-
-
 def _assigned(a: Column, b: Column) -> Column:
     """(left, rest): letters of ``a`` that found a partner, in order, and ``b`` with the partners taken out.
 
@@ -28,15 +24,15 @@ def _assigned(a: Column, b: Column) -> Column:
     """
     reach = F.greatest(F.floor(F.greatest(F.length(a), F.length(b)) / 2) - 1, F.lit(0)).cast("int")
 
-    def step(state: Column, i: Column) -> Column:
-        low = F.greatest(i - reach, F.lit(1))
-        near = F.substr(state["rest"], low, F.greatest(i + reach - low + 1, F.lit(0)))
-        at = F.position(_letter(a, i), near)
-        found = F.overlay(state["rest"], F.lit(_TAKEN), low + at - 1, F.lit(1))
-        return F.when(at > 0, F.struct(F.concat(state["left"], _letter(a, i)).alias("left"), found.alias("rest"))).otherwise(state)
+    def step(state: Column, x: Column) -> Column:
+        low = F.greatest(x["i"] - reach, F.lit(1))
+        at = F.position(x["c"], F.substr(state["rest"], low, F.greatest(x["i"] + reach - low + 1, F.lit(0))))
+        taken = F.struct(F.concat(state["left"], x["c"]).alias("left"), F.overlay(state["rest"], F.lit(_TAKEN), low + at - 1, F.lit(1)).alias("rest"))
+        # A letter that is nowhere in ``b`` leaves the state before anything is cut.
+        return F.when(F.contains(b, x["c"]), F.when(at > 0, taken).otherwise(state)).otherwise(state)
 
-    begin = F.struct(F.lit("").alias("left"), b.alias("rest"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(a)), begin, step)
+    letters = F.transform(F.split(a, ""), lambda c, i: F.struct((i + 1).alias("i"), c.alias("c")))
+    return F.aggregate(letters, F.struct(F.lit("").alias("left"), b.alias("rest")), step)
 
 
 def jaro(a: Column | str, b: Column | str) -> Column:
@@ -45,10 +41,9 @@ def jaro(a: Column | str, b: Column | str) -> Column:
     x, y = (F.replace(s, F.lit(_TAKEN), F.lit(_NUL)) for s in (a, b))
 
     def score(found: Column) -> Column:
-        left, rest = found["left"], found["rest"]
-        right = F.array_join(F.filter(F.transform(F.sequence(F.lit(1), F.length(y)), lambda j: F.when(_letter(rest, j) == _TAKEN, _letter(y, j))), lambda c: c.isNotNull()), "")
-        m = F.length(left)
-        unlike = F.aggregate(F.sequence(F.lit(1), m), F.lit(0), lambda n, k: n + F.when(_letter(left, k) == _letter(right, k), 0).otherwise(1))
+        right = F.filter(F.zip_with(F.split(found["rest"], ""), F.split(y, ""), lambda r, c: F.when(r == _TAKEN, c)), lambda c: c.isNotNull())
+        m = F.length(found["left"])
+        unlike = F.size(F.filter(F.zip_with(F.split(found["left"], ""), right, lambda p, q: p != q), lambda differ: differ))
         return F.when(m == 0, 0.0).otherwise((m / F.length(x) + m / F.length(y) + (m - F.floor(unlike / 2)) / m) / 3)
 
     # One array of one struct, so that the assignment is worked out once though it is read many times.

@@ -1,8 +1,10 @@
 """Coherence of entities through a link graph, given as distinct edges (src, dst).
 
-Pairs come from documents; each unordered pair is worked out once and joined back.  A pair is met from
-its end of fewer links: the sources of that end are looked up among those of the other, so a pair costs
-as many rows as its rarer end has links.  No adjacency list is gathered and nothing is crossed.
+Pairs come from documents; each unordered pair is worked out once and joined back.  Shared sources are
+found in the cheaper of two ways, by exact counts taken first: the links of asked entities meet at their
+sources, or each pair is met from its end of fewer links, whose sources are looked up among the other's.
+So never more rows are made than pairs are asked times their rarer end has links.  No adjacency list is
+gathered and nothing is crossed.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.similarity import ngd, njs, phrase_kernel, pmi
 from tessera.operators.ranking import top_k
+from tessera.sources.workspace import stored
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -19,15 +22,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("degree"))
 
 
-def asked_sources(distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, degree_a, degree_b, src): each pair with every source of its end of fewer links, null if that has none."""
+def sized_pairs(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, degree_a, degree_b), 0 for entities without links."""
     size = degrees(edges)
-    sized = distinct.join(size.select(F.col("entity").alias("a"), F.col("degree").alias("degree_a")), "a", "left").join(size.select(F.col("entity").alias("b"), F.col("degree").alias("degree_b")), "b", "left").fillna(0, ["degree_a", "degree_b"])
+    one = distinct.join(size.select(F.col("entity").alias("a"), F.col("degree").alias("degree_a")), "a", "left")
+    return one.join(size.select(F.col("entity").alias("b"), F.col("degree").alias("degree_b")), "b", "left").fillna(0, ["degree_a", "degree_b"]).select("a", "b", "degree_a", "degree_b")
+
+
+def rarer_sources(sized: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, degree_a, degree_b, other, src): each pair with every source of its end of fewer links, null if that has none."""
     rare = F.col("degree_a") <= F.col("degree_b")
     ends = sized.withColumn("rare", F.when(rare, F.col("a")).otherwise(F.col("b"))).withColumn("other", F.when(rare, F.col("b")).otherwise(F.col("a")))
     return ends.join(edges.select(F.col("dst").alias("rare"), "src"), "rare", "left").drop("rare")
 
 
+def common_from_rarer(sized: DataFrame, edges: DataFrame) -> DataFrame:
+    met = rarer_sources(sized, edges).join(edges.select("src", F.col("dst").alias("other"), F.lit(1).alias("met")), ["src", "other"], "left")
+    return met.groupBy("a", "b").agg(F.count("met").alias("common"), F.max("degree_a").alias("degree_a"), F.max("degree_b").alias("degree_b"))
+
+
+def common_at_sources(sized: DataFrame, near: DataFrame) -> DataFrame:
+    one, two = near.select(F.col("dst").alias("a"), "src"), near.select(F.col("dst").alias("b"), "src")
+    common = one.join(two, "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    return sized.join(common, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).alias("common"), "degree_a", "degree_b")
+
+
 def document_pairs(candidates: DataFrame, others: DataFrame, k: int | None = None) -> DataFrame:
     """(doc_id, query_id, entity, other_query, other): a candidate beside entities of other mentions.
 
@@ -40,10 +59,18 @@ def document_pairs(candidates: DataFrame, others: DataFrame, k: int | None = Non
 
 
 def pair_links(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """common, degree_a, degree_b for each distinct unordered pair (a < b) of ``pairs`` (entity, other)."""
+    """common, degree_a, degree_b for each distinct unordered pair (a < b) of ``pairs`` (entity, other).
+
+    Pairs with their degrees, and the links of asked entities, are stored: they are counted before they are joined.
+    """
     distinct = pairs.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).distinct()
-    met = asked_sources(distinct, edges).join(edges.select("src", F.col("dst").alias("other"), F.lit(1).alias("met")), ["src", "other"], "left")
-    return met.groupBy("a", "b").agg(F.count("met").alias("common"), F.max("degree_a").alias("degree_a"), F.max("degree_b").alias("degree_b"))
+    sized = stored(sized_pairs(distinct, edges))
+    asked = sized.select(F.col("a").alias("dst")).union(sized.select("b")).distinct()
+    near = stored(edges.select("src", "dst").join(asked, "dst", "left_semi"))
+    fan = F.col("n").cast("double")
+    at_sources = near.groupBy("src").agg(F.count("*").alias("n")).agg(F.sum(fan * (fan - 1) / 2)).first()[0] or 0.0
+    from_rarer = sized.agg(F.sum(F.least("degree_a", "degree_b").cast("double"))).first()[0] or 0.0
+    return common_at_sources(sized, near) if at_sources <= from_rarer else common_from_rarer(sized, near)
 
 
 def similarities(links: DataFrame, universe: int) -> DataFrame:

@@ -153,18 +153,48 @@ def context_windows(docs: DataFrame, keep: list[str], targets: DataFrame, width:
     return near.where((F.abs(F.col("pos") - F.col("centre")) <= width) & (F.col("pos") != F.col("centre"))).select(*keep, "target", "centre", "pos", "token")
 
 
+def filled_cells(mention: DataFrame, entity: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token, entity, value) of the cells where a token and an entity of one key meet: the product of their counts.
+
+    ``mention``: keys, token, n; ``entity``: keys, entity, token, n.  Nothing is made for empty cells.
+    """
+    return mention.withColumnRenamed("n", "_a").join(entity.withColumnRenamed("n", "_b"), [*keys, "token"]).select(*keys, "token", "entity", (F.col("_a") * F.col("_b")).alias("value"))
+
+
 def matrix_max(cells: DataFrame, keys: list[str]) -> DataFrame:
     """How many cells of a matrix are filled, and its highest value, by key."""
     return cells.where("value > 0").groupBy(*keys).agg(F.count("*").alias("n_cells"), F.max("value").alias("highest"))
 
 
+def axes(mention: DataFrame, entity: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, token, r) and (keys, entity, c): the places, from 0, of a matrix's rows and columns."""
+    place = lambda df, column, name: df.select(*keys, column).distinct().withColumn(name, F.dense_rank().over(Window.partitionBy(*keys).orderBy(column)) - 1)
+    return place(mention, "token", "r"), place(entity, "entity", "c")
+
+
+def blocked(cells: DataFrame, rows: DataFrame, cols: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Filled cells as coordinate blocks (keys, block_row, block_col, cells) of ``size`` rows and columns at most; empty blocks are not there."""
+    placed = cells.where("value <> 0").join(rows, [*keys, "token"]).join(cols, [*keys, "entity"])
+    at = lambda c: F.floor(F.col(c) / size).cast("int")
+    inside = F.struct((F.col("r") % size).alias("r"), (F.col("c") % size).alias("c"), "value")
+    return placed.groupBy(*keys, at("r").alias("block_row"), at("c").alias("block_col")).agg(F.sort_array(F.collect_list(inside)).alias("cells"))
+
+
+def dense_lines(cells: DataFrame, rows: DataFrame, cols: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token, line): each row of a matrix as a JSON list, its zeros made only here."""
+    width = cols.groupBy(*keys).agg(F.count("*").alias("width"))
+    held = cells.join(cols, [*keys, "entity"]).groupBy(*keys, "token").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("held"))
+    full = rows.join(width, keys).join(held, [*keys, "token"], "left")
+    values = F.transform(F.sequence(F.lit(0), (F.col("width") - 1).cast("int")), lambda c: F.coalesce(F.try_element_at("held", c), F.lit(0).cast("long")))
+    return full.select(*keys, "token", F.to_json(values).alias("line"))
+
+
 def cooccurrence(mention: DataFrame, entity: DataFrame, keys: list[str]) -> DataFrame:
     """Dense cells (row token, column entity): product of the two counts, 0 where they do not meet.
 
-    ``mention``: keys, token, n; ``entity``: keys, entity, token, n.  Rows and columns of one key only.
+    An export: what is stored or summed up had better be ``filled_cells``.  Rows and columns of one key only.
     """
     rows = mention.select(*keys, "token").distinct()
     cols = entity.select(*keys, "entity").distinct()
-    cells = rows.join(cols, keys)
-    filled = cells.join(mention.withColumnRenamed("n", "a"), [*keys, "token"], "left").join(entity.withColumnRenamed("n", "b"), [*keys, "entity", "token"], "left")
-    return filled.withColumn("value", F.coalesce(F.col("a") * F.col("b"), F.lit(0))).drop("a", "b")
+    filled = filled_cells(mention, entity, keys)
+    return rows.join(cols, keys).join(filled, [*keys, "token", "entity"], "left").withColumn("value", F.coalesce("value", F.lit(0)))

@@ -154,10 +154,39 @@ def json_matrix(spark, d):
 
 @query("SELECT conv_id, count(*) AS n_cells, max(value)::BIGINT AS highest FROM (SELECT a.conv_id, a.n * b.n AS value FROM (SELECT conv_id, token, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM conversations WHERE role = 'user') GROUP BY ALL) a JOIN (SELECT conv_id, turn, token, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM conversations WHERE role = 'assistant') GROUP BY ALL) b USING (conv_id, token)) GROUP BY conv_id")
 def matrix_max(spark, d):
+    return tk.matrix_max(tk.filled_cells(*_sides(spark, d), ["conv_id"]), ["conv_id"])
+
+
+def _sides(spark, d):
+    """Token counts of the users' turns, and of each of the assistant's."""
     n = tk.exploded(parquet(spark, d, "conversations").select("conv_id", F.col("turn").alias("entity"), "role", "text"), "conv_id", "entity", "role")
     mention = n.where("role = 'user'").groupBy("conv_id", "token").agg(F.count("*").alias("n"))
-    entity = n.where("role = 'assistant'").groupBy("conv_id", "entity", "token").agg(F.count("*").alias("n"))
-    return tk.matrix_max(tk.cooccurrence(mention, entity, ["conv_id"]), ["conv_id"])
+    return mention, n.where("role = 'assistant'").groupBy("conv_id", "entity", "token").agg(F.count("*").alias("n"))
+
+
+SIDES = """a AS MATERIALIZED (SELECT conv_id, token, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM conversations WHERE role = 'user') GROUP BY ALL),
+    b AS MATERIALIZED (SELECT conv_id, turn AS entity, token, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM conversations WHERE role = 'assistant') GROUP BY ALL),
+    r AS MATERIALIZED (SELECT conv_id, token, row_number() OVER (PARTITION BY conv_id ORDER BY token) - 1 AS r FROM a), c AS MATERIALIZED (SELECT conv_id, entity, row_number() OVER (PARTITION BY conv_id ORDER BY entity) - 1 AS c FROM (SELECT DISTINCT conv_id, entity FROM b)),
+    cells AS MATERIALIZED (SELECT conv_id, token, entity, a.n * b.n AS value FROM a JOIN b USING (conv_id, token))"""
+
+
+@query(f"WITH {SIDES} SELECT conv_id, (r // 8)::INTEGER AS block_row, (c // 8)::INTEGER AS block_col, string_agg((r % 8) || ':' || (c % 8) || ':' || value, ',' ORDER BY r, c) AS cells FROM cells JOIN r USING (conv_id, token) JOIN c USING (conv_id, entity) GROUP BY conv_id, r // 8, c // 8")
+def matrix_blocks(spark, d):
+    """A matrix of tokens by turns for each conversation, stored as blocks of eight by eight that hold filled cells only."""
+    mention, entity = _sides(spark, d)
+    rows, cols = tk.axes(mention, entity, ["conv_id"])
+    path = fresh_path(spark)
+    writers.append(tk.blocked(tk.filled_cells(mention, entity, ["conv_id"]), rows, cols, ["conv_id"], 8), path)
+    text = F.array_join(F.transform("cells", lambda x: F.concat_ws(":", x["r"].cast("string"), x["c"].cast("string"), x["value"].cast("string"))), ",")
+    return spark.read.parquet(path).select("conv_id", "block_row", "block_col", text.alias("cells"))
+
+
+@query(f"WITH {SIDES} SELECT conv_id, token, '[' || string_agg(coalesce(value, 0)::VARCHAR, ',' ORDER BY c) || ']' AS line FROM r JOIN c USING (conv_id) LEFT JOIN cells USING (conv_id, token, entity) GROUP BY conv_id, token")
+def matrix_lines(spark, d):
+    """The same matrices written out, zeros and all."""
+    mention, entity = _sides(spark, d)
+    rows, cols = tk.axes(mention, entity, ["conv_id"])
+    return tk.dense_lines(tk.filled_cells(mention, entity, ["conv_id"]), rows, cols, ["conv_id"])
 
 
 @query("SELECT l_orderkey AS label, l_partkey::DOUBLE AS f0, l_quantity AS f1 FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 0")

@@ -17,7 +17,24 @@ def test_links_and_their_cost(spark):
     sources = {d: {s for s, x in edges if x == d} for d in range(45)}
     want = {(min(x), max(x)): (len(sources[x[0]] & sources[x[1]]), len(sources[min(x)]), len(sources[max(x)])) for x in pairs}
     assert {(r.a, r.b): (r.common, r.degree_a, r.degree_b) for r in co.pair_links(p, e).collect()} == want
-    distinct = spark.createDataFrame(sorted(want), "a int, b int")
-    assert co.asked_sources(distinct, e).where("src is not null").count() == sum(min(da, db) for _, da, db in want.values())
+    sized = co.sized_pairs(spark.createDataFrame(sorted(want), "a int, b int"), e)
+    # Either way gives the same, and the one that is taken makes no more rows than rarer ends have links.
+    for found in (co.common_from_rarer(sized, e), co.common_at_sources(sized, e)):
+        assert {(r.a, r.b): (r.common, r.degree_a, r.degree_b) for r in found.collect()} == want
+    cost = sum(min(da, db) for _, da, db in want.values())
+    assert co.rarer_sources(sized, e).where("src is not null").count() == cost
     assert co.pair_links(p.limit(0), e).count() == 0
     assert {(r.common, r.degree_a, r.degree_b) for r in co.pair_links(p, e.limit(0)).collect()} == {(0, 0, 0)}
+
+
+def test_the_cheaper_way_is_taken(spark, monkeypatch):
+    taken = []
+    for name in ("common_from_rarer", "common_at_sources"):
+        monkeypatch.setattr(co, name, lambda sized, near, true=getattr(co, name), name=name: (taken.append(name), true(sized, near))[1])
+    hub = spark.createDataFrame([(0, d) for d in range(60)] + [(s, 60) for s in range(1, 30)], "src int, dst int")
+    asked = spark.createDataFrame([(d, d + 1) for d in range(0, 60, 2)], "entity int, other int")
+    assert {(r.common, r.degree_a) for r in co.pair_links(asked, hub).collect()} == {(1, 1)}
+    many = spark.createDataFrame([(s, d) for s in range(40) for d in (0, 1)] + [(99, 2)], "src int, dst int")
+    every = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "entity int, other int")
+    assert {(r.a, r.b): r.common for r in co.pair_links(every, many).collect()} == {(0, 1): 40, (0, 2): 0, (1, 2): 0}
+    assert taken == ["common_from_rarer", "common_at_sources"]
