@@ -11,8 +11,9 @@ shorter than all needs of a block is never sent there.  A cell's memory is fixed
 vectors, never pairs, and the number of cells grows with rows times queries at most.
 
 Edge cases: vectors that are null, or hold nulls or non-finite values, take no part; shorter
-vectors count as padded with zeros; a vec_id that repeats counts once (its least vector); null ids
-take no part; scores beyond a long saturate; ties go to the smaller vec_id.
+vectors count as padded with zeros; rows that share a vec_id are rows of their own, each a candidate
+(and a query, if its id is one) and none the other's own; a row without an id is a candidate, last in
+ties; scores beyond a long saturate; ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -170,10 +171,12 @@ def planned(rows: DataFrame, asked: DataFrame, n: int, nq: int) -> tuple[DataFra
 def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of ``vectors`` (vec_id, embedding), itself excepted."""
     x = F.col("embedding")
-    fine = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    fine = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("double")).alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = cut(rows.withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)).withColumn("is_query", F.coalesce(queries, F.lit(False))))
+    rows = rows.withColumn("is_query", F.coalesce(queries, F.lit(False))).withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v))
+    # Every row gets an identity in the order of ids, so ties go by it; from here on ``vec_id`` is that identity.
+    ordered = rows.withColumn("spread", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("vec_id"), "spread").drop("spread")
+    rows = cut(ordered.withColumn("own_id", F.col("vec_id")).withColumn("vec_id", F.monotonically_increasing_id()))
     shape = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq"), F.max(F.size("v")).alias("width")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not shape["nq"] or not shape["width"]:
@@ -215,4 +218,7 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: int = SCALE)
 
     near = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInArrow(cell, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    of = rows.select("vec_id", "own_id")
+    named = best.join(of.select(F.col("vec_id").alias("query_id"), F.col("own_id").alias("asked")), "query_id").join(of, "vec_id")
+    return named.select(F.col("asked").alias("query_id"), "rank", F.col("own_id").alias("vec_id"), "score")

@@ -128,7 +128,7 @@ def test_topk(spark):
     assert dict(got) == {q: sorted((-int(x[q] @ x[k]), k) for k in x if k != q)[:5] for q in x if q % 50 == 0}
     strange = spark.createDataFrame([(0, [1.0, 0.5]), (50, [1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, []), (None, [1.0]), (5, [1.0, 0.5]), (5, [1.0, 0.5])], "vec_id long, embedding array<float>")
     found = topk.top_k(strange, F.col("vec_id") % 50 == 0).collect()
-    assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(0, 1, 5), (0, 2, 50), (0, 3, 4), (50, 1, 0), (50, 2, 5), (50, 3, 4)}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(0, 1, 5), (0, 2, 5), (0, 3, 50), (0, 4, None), (0, 5, 4), (50, 1, 0), (50, 2, 5), (50, 3, 5), (50, 4, None), (50, 5, 4)}
     assert topk.top_k(strange.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
