@@ -56,6 +56,11 @@ def spread(token_counts: DataFrame, docs: DataFrame, group: list[str], normalize
     return by_token.select(*group, "token", "df", F.log10(F.col("size") / F.col("df")).alias("idf"), entropy.alias("entropy"))
 
 
+def shared_counts(token_counts: DataFrame, mention: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts of tokens that a mention's context has: all that overlap statistics read, and frequencies of."""
+    return token_counts.join(mention.select(*keys, "token"), [*keys, "token"], "left_semi")
+
+
 def overlap_statistics(mention: DataFrame, entity_tf: DataFrame, stats: DataFrame, keys: list[str], entity: str) -> DataFrame:
     """Eleven statistics over tokens that a mention's context shares with a candidate.
 

@@ -203,7 +203,8 @@ def token_overlap_12(spark, d):
     n = stored(tk.counts(rows, GROUP, "doc_id"))
     first = rows.groupBy(*GROUP).agg(F.min("doc_id").alias("doc_id"))
     mention = n.join(first, [*GROUP, "doc_id"]).groupBy(*GROUP, "token").agg(F.sum("n").alias("w"))
-    out = tk.older_statistics(mention, tk.term_frequency(n, GROUP, "doc_id"), tk.spread(n, rows, GROUP), GROUP, "doc_id")
+    shared = tk.shared_counts(n, mention, GROUP)
+    out = tk.older_statistics(mention, tk.term_frequency(shared, GROUP, "doc_id"), tk.spread(shared, rows, GROUP), GROUP, "doc_id")
     return out.select(*GROUP, "doc_id", *(F.round(c, 7).alias(c) for c in out.columns[3:]))
 
 
