@@ -19,8 +19,9 @@ from tessera.plans.registry import query
 from tessera.plans.textual import COUNTS, LINKS, MENTION, SIZES, SPREAD, TF, docs
 from tessera.plans.views import CANDIDATES, EDGES, GROUP, PLACED, candidates, edges, paired
 from tessera.sources import readers
+from tessera.sources.lookup import Lookup, write_indexed
 from tessera.sources.readers import parquet
-from tessera.sources.workspace import stored
+from tessera.sources.workspace import fresh_path, stored
 
 #: Parts as mentions: some unlinked, some without annotation, four corpus parts.
 MENTIONS = """(SELECT p_partkey AS id, p_brand AS doc_id, p_name AS surfaceform, CASE WHEN p_partkey % 11 = 0 THEN 'none' WHEN p_partkey % 7 = 0 THEN 'NIL' ELSE p_type END AS annotation,
@@ -431,3 +432,13 @@ def recogniser_quality(spark, d):
     rows, spans, model, taught = _taught(spark, d)
     q = tg.quality(tg.recognise(rows.where(~taught), model), spans.where(~taught))
     return q.select("n_found", "n_spans", "n_right", F.round("p", 4).alias("p"), F.round("r", 4).alias("r"))
+
+
+@query("SELECT o_custkey AS key, o_orderkey, coalesce(o_orderpriority, 'none') AS priority FROM orders WHERE o_custkey IN (SELECT p_partkey FROM part WHERE p_size = 7) UNION ALL SELECT p_partkey, NULL, 'none' FROM part WHERE p_size = 7 AND p_partkey NOT IN (SELECT o_custkey FROM orders)")
+def indexed_lookup(spark, d):
+    """Keys beside their rows in a table that is written for lookups, unknown ones with a default."""
+    path = fresh_path(spark)
+    write_indexed(parquet(spark, d, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", F.col("o_orderpriority").alias("priority")), path, "key", 16)
+    keys = parquet(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("key"))
+    kind = parquet(spark, d, "orders").schema["o_custkey"].dataType.simpleString()
+    return Lookup(spark, path, "key", kind, 16).joined(keys, {"priority": "none"})
