@@ -61,16 +61,19 @@ def document_pairs(candidates: DataFrame, others: DataFrame, k: int | None = Non
 def pair_links(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """common, degree_a, degree_b for each distinct unordered pair (a < b) of ``pairs`` (entity, other).
 
-    Pairs with their degrees, and the links of asked entities, are stored: they are counted before they are joined.
+    Pairs with their degrees are stored, as they are counted before they are joined; so are the links of asked entities, where all links would cost more.
     """
     distinct = pairs.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).distinct()
     sized = stored(sized_pairs(distinct, edges))
-    asked = sized.select(F.col("a").alias("dst")).union(sized.select("b")).distinct()
-    near = stored(edges.select("src", "dst").join(asked, "dst", "left_semi"))
     fan = F.col("n").cast("double")
-    at_sources = near.groupBy("src").agg(F.count("*").alias("n")).agg(F.sum(fan * (fan - 1) / 2)).first()[0] or 0.0
+    at_sources = lambda links: links.groupBy("src").agg(F.count("*").alias("n")).agg(F.sum(fan * (fan - 1) / 2)).first()[0] or 0.0
     from_rarer = sized.agg(F.sum(F.least("degree_a", "degree_b").cast("double"))).first()[0] or 0.0
-    return common_at_sources(sized, near) if at_sources <= from_rarer else common_from_rarer(sized, near)
+    if at_sources(edges) <= from_rarer:
+        return common_at_sources(sized, edges)
+    # Links of entities that nobody asks for may be what makes sources dear.
+    asked = sized.select(F.col("a").alias("dst")).union(sized.select("b")).distinct()
+    near = stored(edges.select("src", "dst").join(asked, "dst", "left_semi"))
+    return common_at_sources(sized, near) if at_sources(near) <= from_rarer else common_from_rarer(sized, near)
 
 
 def similarities(links: DataFrame, universe: int) -> DataFrame:

@@ -118,13 +118,13 @@ SCORED = f"(SELECT p.*, pmi, ngd, njs FROM {PAIRS} p JOIN {SIMS} s ON s.a = leas
 
 @query(f"SELECT a, b, common::BIGINT AS common, da AS degree_a, db AS degree_b FROM {LINKS}")
 def link_intersection(spark, d):
-    m = stored(paired(spark, d))
+    m = paired(spark, d)
     return co.pair_links(co.document_pairs(m, m), edges(spark, d))
 
 
 @query(f"SELECT a, b, round(pmi, 6) AS pmi, round(ngd, 6) AS ngd, round(njs, 6) AS njs FROM {SIMS}")
 def ngd_pmi_njs(spark, d):
-    m = stored(paired(spark, d))
+    m = paired(spark, d)
     out = co.similarities(co.pair_links(co.document_pairs(m, m), edges(spark, d)), sim.UNIVERSE)
     return out.select("a", "b", *(F.round(c, 6).alias(c) for c in ("pmi", "ngd", "njs")))
 
@@ -144,9 +144,9 @@ def mutual_link(spark, d):
 
 
 def scored(spark, d):
-    """Pairs with their similarities, the pairs and the links stored, as plans read them several times."""
-    m = stored(paired(spark, d))
-    return co.scored_pairs(stored(co.document_pairs(m, m)), stored(edges(spark, d)), sim.UNIVERSE)
+    """Pairs with their similarities; the pairs are stored, as they are read once for links and once for the join."""
+    m = paired(spark, d)
+    return co.scored_pairs(stored(co.document_pairs(m, m)), edges(spark, d), sim.UNIVERSE)
 
 
 @query(f"""SELECT doc_id, query_id, entity, round(max(pmi), 6) AS max_pmi, round(max(ngd), 6) AS max_ngd, round(sum(pmi) / count(*), 9) AS avg_pmi, round(sum(ngd) / count(*), 9) AS avg_ngd
