@@ -46,7 +46,7 @@ def _with(tables: list[str]) -> str:
     return "WITH " + ", ".join(tables)
 
 
-@query(f"SELECT query_id, pos, g, h FROM {bs.derivatives_sql(f'(SELECT *, score / 1000 AS s FROM {CANDIDATES})')}")
+@query(f"SELECT query_id, pos, g::BIGINT AS g, h::BIGINT AS h FROM {bs.derivatives_sql(f'(SELECT *, score / 1000 AS s FROM {CANDIDATES})')}")
 def ranker_derivatives(spark, d):
     """Gradients and Hessians of a round, in whole parts."""
     return bo.derivatives(candidates(spark, d).withColumn("s", F.col("score") / 1000), "s").select("query_id", "pos", "g", "h")
@@ -60,7 +60,7 @@ def ranker_bin_edges(spark, d):
 FIRST = bo.Settings(rounds=1, depth=3)
 
 
-@query(f"{_with(bs.model_sql('m', TAUGHT, FEATURES, FIRST))} SELECT node, feature, bin, missing_low, round(gain, 6) AS gain, h::DOUBLE / {bo.UNIT} AS cover FROM m_t0")
+@query(f"{_with(bs.model_sql('m', TAUGHT, FEATURES, FIRST))} SELECT node, feature, bin::INTEGER AS bin, missing_low, round(gain, 6) AS gain, h::DOUBLE / {bo.UNIT} AS cover FROM m_t0")
 def ranker_first_splits(spark, d):
     """What the first round chooses: each node's feature, bin and gain."""
     return bo.train(candidates(spark, d), FEATURES, FIRST).table(spark).where("feature >= 0").select("node", "feature", "bin", "missing_low", F.round("gain", 6).alias("gain"), "cover")
