@@ -37,13 +37,14 @@ SAMPLE_ROWS = 20_000
 BEGINNINGS = (4, 5, 6)
 #: The prior weighs as much as this share of the toxic class.  This and the next three are chosen by
 #: cross-validation inside the training rows (toxicity_choice): least sum of log losses on 3,000 and
-#: 300 rows among the settings with a drift of 1, which a test of segment scores holds fixed.
-PRIOR_SHARE = 0.1
-SHRINK = 0.75
-DRIFT = 1.0
+#: 300 rows.
+PRIOR_SHARE = 2.0
+SHRINK = 1.5
+DRIFT = 0.5
 TOP = 6.0
 CUTOFF = 0.3
 BINS = 128
+UNIT = 1 << 20
 
 
 @dataclass
@@ -153,12 +154,17 @@ def halves_scored(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -
 
 
 def best_batches(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Best segment scores of clean sample texts, and a histogram of word scores."""
+    """Sums over clean sample texts as (what, amount): a histogram of word scores (0 to BINS - 1), the number
+    of texts, and in units of 1 / UNIT their best segment scores and the logarithms of their lengths.
+
+    Whole numbers, so that neither batches nor the order of tasks change the law.
+    """
     for rows in halves_scored(batches, tables):
-        clean = [own for toxic, own in rows if not toxic]
-        best = [next((x[2] for x in segments(own)), 0.0) for own in clean]
-        bins = [np.histogram(own, BINS, (-1 - DRIFT, TOP))[0].tolist() for own in clean]
-        yield pa.RecordBatch.from_arrays([pa.array(map(len, clean), pa.int64()), pa.array(best, pa.float64()), pa.array(bins, pa.list_(pa.int64()))], ["words", "best", "bins"])
+        sums = np.zeros(BINS + 3, np.int64)
+        for own in (own for toxic, own in rows if not toxic):
+            sums[:BINS] += np.histogram(own, BINS, (-1 - DRIFT, TOP))[0]
+            sums[BINS:] += [1, round(next((x[2] for x in segments(own)), 0.0) * UNIT), round(np.log(max(1, len(own))) * UNIT)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS + 3)), pa.array(sums)], ["what", "amount"])
 
 
 def evidence_batches(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray], model: Model) -> Iterator[pa.RecordBatch]:
@@ -199,11 +205,12 @@ def tables_of(table: pd.DataFrame) -> tuple[Model, list[np.ndarray]]:
     return Model(log_odds(counts[1] + counts[3], counts[0] + counts[2]), 1.0, 0.0, np.array([-500.0, 0, 0, 0])), halves
 
 
-def fit_law(model: Model, seen: pd.DataFrame) -> None:
-    """Lambda and K of the extreme-value law, from ``best_batches``."""
-    model.scale = decay(sum((np.array(b) for b in seen["bins"]), np.zeros(BINS)))
-    tops = [model.scale * s - np.log(max(1, n)) for s, n in zip(seen["best"], seen["words"])]
-    model.log_k = float(np.mean(tops) - np.euler_gamma) if tops else 0.0
+def fit_law(model: Model, sums: pd.DataFrame) -> None:
+    """Lambda and K of the extreme-value law, from the sums of ``best_batches``."""
+    found = np.bincount(sums["what"], sums["amount"], BINS + 3)
+    model.scale = decay(found[:BINS])
+    texts, best, lengths = found[BINS:]
+    model.log_k = float((model.scale * best - lengths) / UNIT / texts - np.euler_gamma) if texts else 0.0
 
 
 def fit_curve(model: Model, seen: pd.DataFrame) -> None:
@@ -231,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: F.Column | None = None) ->
     if not model.table.any():
         return model
     shared = docs.sparkSession.sparkContext.broadcast(halves)
-    fit_law(model, sample.mapInArrow(lambda b: best_batches(b, shared.value), "words bigint, best double, bins array<bigint>").toPandas())
+    sums = sample.mapInArrow(lambda b: best_batches(b, shared.value), "what bigint, amount bigint").groupBy("what").agg(F.sum("amount").alias("amount"))
+    fit_law(model, sums.toPandas())
     law = Model(np.zeros(0, np.float32), model.scale, model.log_k, model.curve)
     fit_curve(model, sample.mapInArrow(lambda b: evidence_batches(b, shared.value, law), "toxic bigint, evidence array<double>").toPandas())
     return model

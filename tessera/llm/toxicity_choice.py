@@ -30,9 +30,9 @@ def training_rows(folder: str) -> pd.DataFrame:
     """(text, toxic, remainder) of labelled documents that are not held out."""
     labels = pq.read_table(f"{folder}/labels.parquet", columns=["doc_id", "toxic"]).to_pandas().dropna()
     labels["crc"] = [zlib.crc32(str(int(x)).encode()) for x in labels.doc_id]
-    labels = labels[labels.crc % 4 != 2].groupby("doc_id", as_index=False).max()
-    docs = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pandas()
-    return docs.merge(labels.sort_values("crc").head(toxicity.SAMPLE_ROWS), on="doc_id")
+    labels = labels[labels.crc % 4 != 2].groupby("doc_id", as_index=False).max().sort_values("crc").head(toxicity.SAMPLE_ROWS)
+    docs = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"], filters=[("doc_id", "in", labels.doc_id.tolist())]).to_pandas()
+    return docs.merge(labels, on="doc_id")
 
 
 def batch_of(rows: pd.DataFrame) -> pa.RecordBatch:

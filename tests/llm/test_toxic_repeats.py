@@ -1,7 +1,9 @@
 """Toxic passages that are repeated in a text."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pytest
 
 from tessera.llm import toxicity
 
@@ -27,7 +29,9 @@ def test_every_repeated_passage_counts():
     assert scores == sorted(scores) and scores[0] < scores[-1]
 
 
-def test_curve_sees_all_segments():
+@pytest.mark.parametrize("drift", [0.5, 1.0, 2.0])
+def test_curve_sees_all_segments(monkeypatch, drift):
+    monkeypatch.setattr(toxicity, "DRIFT", drift)
     text = " ".join(["gron"] * 3 + ["calm"] * 40) + " "
     texts = [text * 80]
     table = np.full(toxicity.SLOTS, -1, np.float32)
@@ -35,4 +39,25 @@ def test_curve_sees_all_segments():
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0], pa.int32()), pa.array([1], pa.int32())], ["text", "half", "toxic"])
     model = toxicity.Model(table, 1.0, 0.0, np.zeros(4))
     row = next(toxicity.evidence_batches(iter([batch]), [table, table], model)).column(1)[0].as_py()
-    assert np.isclose(np.expm1(row[2]), 80 * (15 - np.log(80 * 43)))
+    assert np.isclose(np.expm1(row[2]), 80 * (3 * (6 - drift) - np.log(80 * 43)))
+
+
+def test_law_of_clean_texts_does_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["gron", "calm", "vell", "ost"], int(n))) for n in rng.integers(0, 60, 40)]
+    table = rng.normal(-0.4, 1, toxicity.SLOTS).astype(np.float32)
+    toxic = rng.integers(0, 2, 40)
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.arange(40) % 2, pa.int32()), pa.array(toxic, pa.int32())], ["text", "half", "toxic"])
+    laws = []
+    for size in (40, 7, 1):
+        sums = [b.to_pandas() for b in toxicity.best_batches(iter([rows.slice(k, size) for k in range(0, 40, size)]), [table, table])]
+        model = toxicity.Model(table, 1.0, 0.0, np.zeros(4))
+        toxicity.fit_law(model, pd.concat(sums[::-1]))
+        laws.append((model.scale, model.log_k))
+    assert laws[0] == laws[1] == laws[2]
+    tops = []
+    for own, bad in zip((own for _, own in next(toxicity.halves_scored(iter([rows]), [table, table]))), toxic):
+        if not bad:
+            best = max((sum(own[a:b].tolist()) for a in range(len(own)) for b in range(a + 1, len(own) + 1)), default=0.0)
+            tops.append(laws[0][0] * max(0.0, best) - np.log(max(1, len(own))))
+    assert np.isclose(laws[0][1], np.mean(tops) - np.euler_gamma, atol=1e-5)
