@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.similarity import starts_or_ends_with
-
 
 def doc_entity_max_prior(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Highest prior of an entity over its document's distinct mentions."""
@@ -21,15 +19,34 @@ def nearest_related(mentions: DataFrame, surfaces: DataFrame) -> DataFrame:
     ``mentions``: query_id, doc_id, mention, offset; ``surfaces``: doc_id, surface, at, seq.  Forms
     must be longer than the mention and begin or end with it, whatever the case.  Distance 0 wins,
     then the nearest before, then the nearest after, then the form seen first.
+
+    Documents may hold many mentions of few forms: each (form, place) and each (mention, place) of a
+    document is looked at once, and a mention meets the last form up to its place, never all of them.
     """
-    low, places = F.lower("surface"), F.sequence(F.lit(1), F.greatest(F.length(F.lower("surface")), F.lit(1)))
-    # Documents may hold many mentions of many forms: they meet by a form's beginnings and ends.
+    keys = ["doc_id", "piece", "size"]
+    asked = mentions.select("query_id", "doc_id", F.lower("mention").alias("piece"), F.length("mention").alias("size"), "offset")
+    low, places = F.lower("surface"), F.sequence(F.lit(0), F.length(F.lower("surface")))
+    # Forms meet mentions by their beginnings and ends.
     ends = F.concat(F.transform(places, lambda n: F.left(low, n)), F.transform(places, lambda n: F.right(low, n)))
-    pieces = surfaces.withColumn("piece", F.explode(F.array_distinct(ends)))
-    near = mentions.withColumn("piece", F.lower("mention")).join(pieces, ["doc_id", "piece"]).where((F.length("surface") > F.length("mention")) & starts_or_ends_with(F.col("surface"), F.col("mention")))
-    d = F.col("offset") - F.col("at")
-    order = F.struct((d != 0).cast("int").alias("a"), (d < 0).cast("int").alias("b"), F.abs(d).alias("c"), F.col("seq").alias("d"))
-    best = near.groupBy("query_id").agg(F.min_by("surface", order).alias("surface"))
+    pieces = surfaces.select("doc_id", "surface").distinct().withColumn("piece", F.explode(F.array_distinct(ends)))
+    fits = pieces.join(asked.select(*keys).distinct(), ["doc_id", "piece"]).where(F.length("surface") > F.col("size"))
+    first = surfaces.groupBy("doc_id", "surface", "at").agg(F.min("seq").alias("seq"))
+    forms = fits.join(first, ["doc_id", "surface"]).groupBy(*keys, "at").agg(F.min(F.struct("seq", "surface")).alias("f"))
+    form = F.struct("at", "f.seq", "f.surface")
+    spots = asked.select(*keys, "offset").distinct()
+    line = forms.select(*keys, "at", F.lit(0).alias("is_asked"), form.alias("form")).unionByName(spots.select(*keys, F.col("offset").alias("at"), F.lit(1).alias("is_asked"), F.lit(None).cast(forms.select(form.alias("x")).schema["x"].dataType).alias("form")))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("at", "is_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.last(F.when(F.col("at").isNotNull(), F.col("form")), ignorenulls=True).over(upto)
+    # Where no form stands before, the first of all is the nearest after; forms without a place come last.
+    after = F.min(F.when(F.col("form").isNotNull(), F.struct(F.col("at").isNull().alias("none"), F.col("at").alias("x"), F.col("form").alias("form")))).over(group)["form"]
+    eldest = F.min(F.when(F.col("form").isNotNull(), F.struct(F.col("form.seq").alias("x"), F.col("form").alias("form")))).over(group)["form"]
+    met = line.withColumn("found", F.when(F.col("at").isNull(), eldest).otherwise(F.coalesce(near, after))).where("is_asked = 1 and found is not null")
+    met = met.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("at").alias("_offset"), "found")
+    same_spot = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("offset").eqNullSafe(F.col("_offset"))]
+    d = F.col("offset") - F.col("found.at")
+    order = F.struct(F.coalesce((d != 0).cast("int"), F.lit(2)).alias("a"), (d < 0).cast("int").alias("b"), F.abs(d).alias("c"), F.col("found.seq").alias("d"), F.col("found.surface").alias("e"))
+    best = asked.join(met, same_spot).groupBy("query_id").agg(F.min_by("found.surface", order).alias("surface"))
     return mentions.join(best, "query_id", "left").select("query_id", F.coalesce("surface", "mention").alias("surface"))
 
 
