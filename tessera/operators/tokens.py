@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,16 +23,36 @@ def index(docs: DataFrame, *keep: str) -> DataFrame:
     return exploded(docs, *keep).groupBy(*keep, "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+#: Documents in a task of those that make tokens: texts grow several times over as tokens.
+DOCS_A_PART = 2000
+
+
+def dealt(docs: DataFrame, doc: str) -> DataFrame:
+    """``docs`` by document, in parts of about DOCS_A_PART rows however large the table, so that a task's memory stays."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_A_PART)
+    return docs.repartition(parts, doc)
+
+
+def runs(values: Column) -> Column:
+    """(token, n, total) of each distinct value of a sorted array: how long its run is, and the array; a null token if it is empty."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(values)), lambda i: (i == 1) | (F.get(values, i - 1) != F.get(values, i - 2)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(values) + 1))
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct(F.get(values, x["a"] - 1).alias("token"), (x["b"] - x["a"]).cast("long").alias("n"), F.size(values).cast("long").alias("total")))
+
+
 def counts(docs: DataFrame, group: list[str], doc: str) -> DataFrame:
     """group, doc, token, n, total: how often a token stands in a document, and the document's tokens.
 
-    ``doc`` names one row of ``docs``.  Texts are dealt by it before they become tokens, so that a file
-    of few row groups is worked on by all cores and tokens are counted where they come up, unshuffled.
-    A plan that reads the counts twice or more had better store them.
+    Texts are dealt by document before they become tokens, so that a file
+    of few row groups is worked on by all cores; tokens are sorted and counted in their document's row, with
+    neither a shuffle nor a table of a task's tokens.  A plan that reads the counts twice or more had better store them.
     """
-    dealt = docs.select(*group, doc, "text").repartition(doc)
-    rows = dealt.select(*group, doc, tokens(F.col("text")).alias("t")).select(*group, doc, F.size("t").alias("total"), F.explode_outer("t").alias("token"))
-    return rows.where("token is not null").groupBy(*group, doc, "token").agg(F.count("*").alias("n"), F.max("total").alias("total"))
+    # Rows of one document count together; a line break ends a token.
+    whole = dealt(docs.select(*group, doc, "text"), doc).groupBy(*group, doc).agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    # One array of one array, so that it is made once though it is read many times.
+    found = F.flatten(F.transform(F.array(F.sort_array(tokens(F.col("text")))), runs))
+    rows = whole.select(*group, doc, F.explode_outer(found).alias("r")).where("r.token is not null")
+    return rows.select(*group, doc, "r.token", "r.n", "r.total")
 
 
 def term_frequency(token_counts: DataFrame, group: list[str], doc: str) -> DataFrame:
