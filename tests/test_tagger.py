@@ -87,3 +87,29 @@ def test_long_text(spark):
     model = tg.train(docs, spans, passes=1)
     q = tg.quality(tg.recognise(docs, model), spans).first()
     assert q.n_spans == 6000 and q.r > 0.99
+
+
+def test_texts_read_together_are_as_texts_read_alone(spark, monkeypatch):
+    """Many texts a batch, cut anywhere: spans, tags and lessons are each text's own, whatever spans are given."""
+    rng = random.Random(4)
+    words = ["Ann", "lee", "New York", "x_1", "Été", "3", "B."]
+    texts = ["", " .. ", *("".join(rng.choice(words) + rng.choice([" ", "  ", ". ", "\n", "?"]) for _ in range(rng.randrange(1, 200))) for _ in range(40)), "w " * 200]
+    rows = [(t, sorted((rng.randrange(-3, len(t) + 3), rng.randrange(len(t) + 9)) for _ in range(rng.randrange(6)))) for t in texts]
+    delta, mean, seen = tg.learnt(iter(rows), tg.blank())
+    chance = np.random.default_rng(3)
+    model = tg.Model(chance.integers(-9, 10, (tg.SLOTS, 3)) / 7, chance.integers(-9, 10, (4, 3)) / 7)
+    alone = [tg.spans_of(t, model) for t in texts]
+    for size in (1, 50, 1 << 17):
+        monkeypatch.setattr(tg, "CHUNK", size)
+        again = tg.learnt(iter(rows), tg.blank())
+        assert (again[0] == delta).all() and (again[1] == mean).all() and again[2] == seen
+        out = [[] for _ in texts]
+        for (_, i), a, b in tg.spans_of_rows(((t, i) for i, t in enumerate(texts)), model):
+            out[i].append((a, b))
+        assert out == alone and sum(map(len, out)) > 100
+
+
+def test_a_file_of_one_group_is_read_by_many_tasks(spark):
+    docs, spans = made(spark, 60)
+    found = tg.recognise(docs.coalesce(1), tg.train(docs, spans, passes=1))
+    assert found.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
