@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,11 +20,6 @@ def exploded(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.posexplode_outer(tokens(F.col("text"))).alias("pos", "token")).where("token is not null")
 
 
-def index(docs: DataFrame, *keep: str) -> DataFrame:
-    """Each token's places in each document, in order."""
-    return exploded(docs, *keep).groupBy(*keep, "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 #: Documents in a task of those that make tokens: texts grow several times over as tokens.
 DOCS_A_PART = 2000
 
@@ -33,11 +30,28 @@ def dealt(docs: DataFrame, doc: str) -> DataFrame:
     return docs.repartition(parts, doc)
 
 
+def _bounds(values: Column, key: Callable[[Column], Column]) -> Column:
+    """(a, b) of each run of equal keys in a sorted array: its first place, from 1, and the place behind its last."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(values)), lambda i: (i == 1) | (key(F.get(values, i - 1)) != key(F.get(values, i - 2))))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(values) + 1))
+    return F.arrays_zip(starts.alias("a"), ends.alias("b"))
+
+
 def runs(values: Column) -> Column:
     """(token, n, total) of each distinct value of a sorted array: how long its run is, and the array; a null token if it is empty."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(values)), lambda i: (i == 1) | (F.get(values, i - 1) != F.get(values, i - 2)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(values) + 1))
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct(F.get(values, x["a"] - 1).alias("token"), (x["b"] - x["a"]).cast("long").alias("n"), F.size(values).cast("long").alias("total")))
+    return F.transform(_bounds(values, lambda x: x), lambda x: F.struct(F.get(values, x["a"] - 1).alias("token"), (x["b"] - x["a"]).cast("long").alias("n"), F.size(values).cast("long").alias("total")))
+
+
+def index(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep, token, positions): each token's places in each document, in order.
+
+    Tokens are sorted in their document's row: only texts are shuffled.  Rows of one document count together.
+    """
+    whole = dealt(docs.select(*keep, "text"), keep[0]).groupBy(*keep).agg(F.collect_list("text").alias("texts"))
+    placed = F.flatten(F.transform("texts", lambda t: F.transform(tokens(t), lambda w, i: F.struct(w.alias("token"), i.alias("pos")))))
+    # One array of one array, so that it is made once though it is read many times.
+    found = F.flatten(F.transform(F.array(F.sort_array(placed)), lambda v: F.transform(_bounds(v, lambda x: x["token"]), lambda x: F.struct(F.get(v, x["a"] - 1)["token"].alias("token"), F.transform(F.slice(v, x["a"], x["b"] - x["a"]), lambda y: y["pos"]).alias("positions")))))
+    return whole.select(*keep, F.explode_outer(found).alias("r")).where("r.token is not null").select(*keep, "r.token", "r.positions")
 
 
 def counts(docs: DataFrame, group: list[str], doc: str) -> DataFrame:
@@ -116,24 +130,33 @@ def older_statistics(mention: DataFrame, entity_tf: DataFrame, stats: DataFrame,
     return rows.groupBy(*keys, entity).agg(*out)
 
 
+def _marked(rows: DataFrame, stopwords: DataFrame, entities: DataFrame) -> DataFrame:
+    """``rows`` with entity and start where an entity covers the token, stop where it is a stopword.
+
+    Rows and entities dealt by document meet where they lie; for this the session's
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is set to false.
+    """
+    rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    inside = entities.select("doc_id", "entity", "start", F.explode(F.when(F.col("end") > F.col("start"), F.sequence("start", F.col("end") - 1))).alias("pos"))
+    return rows.join(inside, ["doc_id", "pos"], "left").join(F.broadcast(stopwords.select("token", F.lit(True).alias("stop")).distinct()), "token", "left")
+
+
 def meaningful(rows: DataFrame, stopwords: DataFrame, entities: DataFrame) -> DataFrame:
     """Tokens that are neither stopwords nor inside an entity, and each entity once, at its first token.
 
     ``rows``: doc_id, pos, token; ``stopwords``: token; ``entities``: doc_id, start, end (tokens, the
     end excluded), entity.
     """
-    inside = entities.select("doc_id", "entity", "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    marked = rows.join(inside, ["doc_id", "pos"], "left").join(stopwords.select("token", F.lit(True).alias("stop")), "token", "left")
-    kept = marked.where(F.when(F.col("entity").isNull(), F.col("stop").isNull()).otherwise(F.col("pos") == F.col("start")))
-    return kept.select("doc_id", "pos", F.coalesce("entity", "token").alias("token"))
+    kept = F.when(F.col("entity").isNull(), F.col("stop").isNull()).otherwise(F.col("pos") == F.col("start"))
+    return _marked(rows, stopwords, entities).where(kept).select("doc_id", "pos", F.coalesce("entity", "token").alias("token"))
 
 
 def spliced(rows: DataFrame, stopwords: DataFrame, entities: DataFrame) -> DataFrame:
     """As ``meaningful``, but what follows a document's last entity keeps its stopwords."""
     last = entities.groupBy("doc_id").agg(F.max("end").alias("tail"))
-    head = meaningful(rows, stopwords, entities).join(last, "doc_id", "left").where("pos < tail").drop("tail")
-    tail = rows.join(last, "doc_id", "left").where("pos >= coalesce(tail, 0)").select("doc_id", "pos", "token")
-    return head.unionByName(tail)
+    # No entity reaches beyond the last end, so that each token behind it is there once, in one reading of the rows.
+    kept = F.when(F.col("entity").isNull(), F.col("stop").isNull() | (F.col("pos") >= F.coalesce("tail", F.lit(0)))).otherwise(F.col("pos") == F.col("start"))
+    return _marked(rows, stopwords, entities).join(last, "doc_id", "left").where(kept).select("doc_id", "pos", F.coalesce("entity", "token").alias("token"))
 
 
 def log2_tf_idf(token_counts: DataFrame, docs: DataFrame, group: list[str], doc: str) -> DataFrame:

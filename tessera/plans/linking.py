@@ -224,7 +224,8 @@ ENTITIES = f"""(SELECT doc_id, pos::INTEGER AS s, (pos + 2)::INTEGER AS e, token
 def token_layer(spark, d):
     from pyspark.sql.window import Window
 
-    rows = tk.exploded(docs(spark, d), "doc_id")
+    # Dealt as texts: tokens stay where their document is.
+    rows = tk.exploded(tk.dealt(docs(spark, d).select("doc_id", "text"), "doc_id"), "doc_id")
     after = F.lead("token").over(Window.partitionBy("doc_id").orderBy("pos"))
     found = rows.withColumn("after", after).where("length(token) = 7 and length(after) <> 7 and after is not null")
     stops = spark.createDataFrame([(w,) for w in ("the", "and", "of", "die", "und", "la", "de", "el", "y", "license")], "token string")
