@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import min_max, top_k
 
 
-def outcomes(df: DataFrame) -> DataFrame:
-    """Each query's gold score, best other score and size; correct means gold is the only maximum."""
+def outcomes(df: DataFrame, *more: Column) -> DataFrame:
+    """Each query's gold score, best other score and size; correct means gold is the only maximum.  ``more``: further aggregates."""
     gold, other = F.max(F.when(F.col("label") == 1, F.col("score"))), F.max(F.when(F.col("label") == 0, F.col("score")))
-    rows = df.groupBy("query_id").agg(gold.alias("gold"), other.alias("other"), F.count("*").alias("n"))
+    rows = df.groupBy("query_id").agg(gold.alias("gold"), other.alias("other"), F.count("*").alias("n"), *more)
     return rows.withColumn("correct", F.coalesce((F.col("gold") > F.col("other")) | (F.col("gold").isNotNull() & F.col("other").isNull()), F.lit(False)))
 
 
@@ -48,8 +48,9 @@ def coverage(df: DataFrame) -> DataFrame:
 
 def errors_by_document(df: DataFrame) -> DataFrame:
     """Errors and totals of each document (df has doc_id too)."""
-    docs = df.select("doc_id", "query_id").distinct()
-    return docs.join(outcomes(df), "query_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("errors"))
+    # A query's documents are gathered beside its outcome: its rows are sorted once and nothing is joined.
+    rows = outcomes(df, F.collect_set(F.struct("doc_id")).alias("docs")).where("query_id is not null")
+    return rows.select("correct", F.explode("docs").alias("d")).select("d.doc_id", "correct").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("errors"))
 
 
 def margin_histogram(df: DataFrame) -> DataFrame:
