@@ -7,6 +7,8 @@ bound the collisions from above; the collisions of what is left are counted on w
 and pairs of at least MATCHES are confirmed on the full shingle sets.  Pairs already in one group
 are skipped.
 
+Texts are read twice: once for signatures, and again those that still can link; only these are stored.
+
 Chance: documents of similarity 0.8 agree in 25.6 of 32 coordinates on average; fewer than 13
 have a probability of 2e-7, the chance to miss a link that stands just at the threshold.  Shingles
 are told apart by 64-bit hashes.
@@ -26,6 +28,7 @@ component and is kept; repeated rows come back as often as they came; other colu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ PREFIX = COORDS - MATCHES + 1
 THRESHOLD = 80
 #: Documents with equal sums and size have equal sets, as far as a hash can tell.
 SAME = ["sum1", "sum2", "n_shingles"]
+#: Documents with equal digests (128 bits) have equal texts.
+TEXT = ["text1", "text2"]
 #: Members of a star that one task holds against each other, and their shingles, at most.
 BLOCK, BLOCK_SHINGLES, BANDS = 512, 1 << 21, 20
 #: Shingles of pivots that a worker keeps between rows.
@@ -66,14 +71,17 @@ def sets_of(buf: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.concatenate([np.zeros(0, tk.U64), *sets]), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
 
 
-def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(texts, COORDS) least hashes, 32 bits each."""
-    out = np.empty((len(starts), COORDS), np.uint32)
+def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(texts, COORDS) least hashes, 32 bits each; zeros for an empty set."""
+    some = np.flatnonzero(np.diff(at))
+    out = np.zeros((len(at) - 1, COORDS), np.uint32)
+    if not len(some):
+        return out
     for c in range(COORDS):
         x = (values ^ XOR[c]) * MUL1[c]
         x ^= x >> tk.U64(29)
         x *= MUL2[c]
-        out[:, c] = np.minimum.reduceat((x >> tk.U64(32)).astype(np.uint32), starts)
+        out[some, c] = np.minimum.reduceat((x >> tk.U64(32)).astype(np.uint32), at[some])
     return out
 
 
@@ -85,27 +93,40 @@ def sketches(sig: np.ndarray) -> list[np.ndarray]:
 
 
 def signature_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for lo, hi, buf, bounds in tk.parts(batch.column(1)):
             values, at = sets_of(buf, bounds, k)
             sizes = np.diff(at)
-            some = np.flatnonzero(sizes)
             n = hi - lo
-            sum1, sum2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            sig, sk = np.zeros((n, COORDS), np.uint32), [np.zeros(n, np.int64), np.zeros(n, np.int64)]
-            if len(some):
-                sum1[some] = np.add.reduceat(values, at[some]).view(np.int64)
-                sum2[some] = np.bitwise_xor.reduceat(tk.mix(values), at[some]).view(np.int64)
-                sig[some] = signatures(values, at[some])
-                sk = sketches(sig)
-            packed = [packer.compress(memoryview(buf[a:b])) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            sig = signatures(values, at)
+            digests = b"".join(hashlib.blake2b(memoryview(buf[a:b]), digest_size=16).digest() for a, b in zip(bounds.tolist(), bounds[1:].tolist()))
+            text = np.frombuffer(digests, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), pa.array(sizes, pa.int64()), pa.array(sum1), pa.array(sum2), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(sk[0]), pa.array(sk[1]), pa.array(packed, pa.binary())],
-                ["doc_id", "n_shingles", "sum1", "sum2", "sig", "sk1", "sk2", "packed"],
+                [batch.column(0).slice(lo, n), pa.array(sizes, pa.int64()), *map(pa.array, sums(values, at)), pa.array([x.tobytes() for x in sig], pa.binary()), *map(pa.array, sketches(sig)), *(pa.array(x) for x in text.T)],
+                ["doc_id", "n_shingles", "sum1", "sum2", "sig", "sk1", "sk2", *TEXT],
             )
 
 
+def sums(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of each set's hashes."""
+    some = np.flatnonzero(np.diff(at))
+    sum1, sum2 = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
+    if len(some):
+        sum1[some] = np.add.reduceat(values, at[some]).view(np.int64)
+        sum2[some] = np.bitwise_xor.reduceat(tk.mix(values), at[some]).view(np.int64)
+    return sum1, sum2
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, sums, size, signature, packed text)."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for lo, hi, buf, bounds in tk.parts(batch.column(1)):
+            values, at = sets_of(buf, bounds, k)
+            packed = [packer.compress(memoryview(buf[a:b])) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, sums(values, at)), pa.array(np.diff(at)), pa.array([x.tobytes() for x in signatures(values, at)], pa.binary()), pa.array(packed, pa.binary())], ["id", *SAME, "sig", "packed"])
+
+
 def coordinates(sig: pa.Array) -> np.ndarray:
     """(rows, COORDS) values."""
     return np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, COORDS)
@@ -256,22 +277,42 @@ def agreeing(a: str, b: str) -> F.Column:
     return same("sk1") + same("sk2")
 
 
-def fetched(signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets' rows of some documents, each once."""
-    rows = by_list(signed.withColumnRenamed("doc_id", "id"), ids, ["id"], "left_semi").select("id", *SAME, "sig", "packed")
-    return cut(rows.dropDuplicates(["id", *SAME]))
+def numbered(docs: DataFrame) -> DataFrame:
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def copies_of(known: DataFrame, k: int) -> DataFrame:
-    """(doc_id, id, sums, size) of documents whose set equals that of ``id``, the least such document."""
-    classes = cut(known.groupBy(*SAME).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id <> last").drop("last"))
-    pairs = cut(known.select("doc_id", *SAME).join(classes, SAME).where("doc_id <> id").select("doc_id", "id", *SAME).distinct())
-    texts = fetched(known, cut(pairs.select(F.col("doc_id").alias("id")).union(classes.select("id")).distinct()))
-    left = texts.select(F.col("id").alias("doc_id"), *SAME, F.col("packed").alias("left"))
-    right = texts.select("id", *SAME, F.col("packed").alias("right"))
-    both = pairs.join(left, ["doc_id", *SAME]).join(right, ["id", *SAME]).select("doc_id", "id", *SAME, "left", "right")
-    out = cut(both.mapInArrow(lambda x: copy_batches(x, k), "doc_id bigint, id bigint, sum1 bigint, sum2 bigint, n_shingles bigint"))
-    drop(classes, pairs, texts)
+def fetched(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, sums, size, signature, packed text) of some documents, each set once, read from ``docs`` again: only these texts are stored."""
+    asked = by_list(numbered(docs).withColumnRenamed("doc_id", "id"), ids, ["id"], "left_semi").select("id", "text")
+    rows = cut(asked.mapInArrow(lambda x: text_batches(x, k), "id bigint, sum1 bigint, sum2 bigint, n_shingles bigint, sig binary, packed binary").where("n_shingles > 0"))
+    on = ["id", *SAME]
+    again = cut(rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on))
+    if again.isEmpty():
+        return rows
+    # Rows that repeat are few as a rule, and texts are wide: only such rows are shuffled.
+    out = cut(by_list(rows, again, on, "left_anti").union(by_list(rows, again, on, "left_semi").dropDuplicates(on)))
+    drop(rows, again)
+    return out
+
+
+def copies_of(docs: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """(doc_id, id, sums, size) of documents whose set equals that of ``id``, a lesser such document.
+
+    Equal texts are told by their digests; of each other text with equal sums one is compared in full.
+    """
+    classes = cut(known.groupBy(*SAME).agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("last")).where("root <> last").drop("last"))
+    rows = cut(by_list(known.select("doc_id", *SAME, *TEXT), classes, SAME, "inner"))
+    kinds = cut(rows.groupBy(*SAME, *TEXT).agg(F.min("doc_id").alias("id"), F.min("root").alias("root")))
+    pairs = by_list(rows.drop("root"), kinds.drop("root"), [*SAME, *TEXT], "inner").where("doc_id <> id").select("doc_id", "id", *SAME)
+    other = cut(kinds.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("id"), *SAME).distinct())
+    if not other.isEmpty():
+        texts = fetched(docs, cut(other.select(F.col("doc_id").alias("id")).union(other.select("id")).distinct()), k)
+        left = texts.select(F.col("id").alias("doc_id"), *SAME, F.col("packed").alias("left"))
+        right = texts.select("id", *SAME, F.col("packed").alias("right"))
+        both = other.join(left, ["doc_id", *SAME]).join(right, ["id", *SAME]).select("doc_id", "id", *SAME, "left", "right")
+        pairs = pairs.union(both.mapInArrow(lambda x: copy_batches(x, k), "doc_id bigint, id bigint, sum1 bigint, sum2 bigint, n_shingles bigint"))
+    out = cut(pairs.distinct())
+    drop(classes, rows, kinds)
     return out
 
 
@@ -300,7 +341,7 @@ def screened(lists: DataFrame, known: DataFrame) -> DataFrame:
     ids = cut(lists.select("id").distinct())
     posted = cut(by_list(known.select(F.col("doc_id").alias("id"), "sig"), ids, ["id"], "left_semi").mapInArrow(coordinate_batches, "value bigint, id bigint"))
     met = cut(posted.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value"))
-    fit = cut(posted.join(met, "value", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= MATCHES).select("id"))
+    fit = cut(by_list(posted, met, ["value"], "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= MATCHES).select("id"))
     drop(posted, met, ids)
     several = lists.join(fit, "id", "left_semi")
     return cut(unsettled(cut(several.withColumn("g", F.col("id")))))
@@ -324,11 +365,19 @@ def able(lists: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
     group, so at least as many must stand in other groups at all.
     """
     ids = cut(lists.select("id", "g").distinct())
-    rows = cut(texts.join(ids, "id").select("id", "g", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash int, id bigint, g bigint"))
-    foreign = cut(rows.groupBy("hash").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("hash"))
-    shared = by_list(rows, foreign, ["hash"], "left_semi").groupBy("id").agg(F.count("*").alias("n"))
-    fit = cut(shared.join(texts.groupBy("id").agg(F.min("n_shingles").alias("n_shingles")), "id").where(100 * F.col("n") >= threshold * F.col("n_shingles")).select("id"))
-    drop(rows, foreign, ids)
+    rows = cut(by_list(texts.select("id", "packed"), ids, ["id"], "inner").select("id", "g", "packed").mapInArrow(lambda x: shingle_batches(x, k), "hash int, id bigint, g bigint"))
+    # Shingles of one group only, counted for their documents: the others need no second pass over all shingles.
+    whose = rows.groupBy("hash").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("lo = hi")
+    told = lambda x, n, h: F.struct(x.cast("bigint").alias("id"), n.cast("bigint").alias("n"), h.cast("int").alias("hash"))
+    none, one = F.lit(None), F.lit(1)
+    by = F.when(F.col("first") == F.col("last"), F.array(told(F.col("first"), F.col("n"), none))).when(F.col("n") == 2, F.array(told(F.col("first"), one, none), told(F.col("last"), one, none)))
+    own = cut(whose.select(F.explode(F.coalesce(by, F.array(told(none, one, F.col("hash"))))).alias("x")).select("x.*").groupBy("id", "hash").agg(F.sum("n").alias("n")))
+    several = cut(own.where("id is null").select("hash"))
+    more = by_list(rows, several, ["hash"], "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    own = own.where("id is not null").select("id", "n").union(more).groupBy("id").agg(F.sum("n").alias("own"))
+    sizes = texts.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n_shingles").alias("all"), F.min("n_shingles").alias("n_shingles"))
+    fit = cut(sizes.join(own, "id", "left").where(100 * (F.col("all") - F.coalesce("own", F.lit(0))) >= threshold * F.col("n_shingles")).select("id"))
+    drop(rows, ids)
     return lists.join(fit, "id", "left_semi")
 
 
@@ -342,12 +391,18 @@ def stars(lists: DataFrame, turn: int) -> DataFrame:
 
 def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Collisions and distance of the pairs (p, id)."""
-    one = texts.select(F.col("id").alias("b"), F.col("sig").alias("b_sig"), F.col("packed").alias("right"))
-    two = texts.select(F.col("id").alias("a"), F.col("sig").alias("a_sig"), F.col("packed").alias("left"))
-    rows = pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).join(one, "b").join(two, "a").select("a", "b", "a_sig", "b_sig", "left", "right")
+    pairs = cut(pairs.select(F.col("p").alias("a"), F.col("id").alias("b")))
+    one = only(texts, pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("sig").alias("b_sig"), F.col("packed").alias("right"))
+    two = only(texts, pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("sig").alias("a_sig"), F.col("packed").alias("left"))
+    rows = pairs.join(one, "b").join(two, "a").select("a", "b", "a_sig", "b_sig", "left", "right")
     return cut(rows.mapInArrow(lambda x: measure_batches(x, k), "a bigint, b bigint, met bigint, both bigint, n_a bigint, n_b bigint, distance double"))
 
 
+def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids``, so that a join shuffles no others."""
+    return by_list(texts, cut(ids.distinct()), ["id"], "left_semi")
+
+
 def across(star: DataFrame, measures: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """Links between members of one star that stand in different groups, found cell by cell.
 
@@ -376,18 +431,18 @@ def across(star: DataFrame, measures: DataFrame, texts: DataFrame, k: int, thres
     right = cells.where("band <> band2 or sub <> sub2").select("p", F.col("band2").alias("band"), F.col("sub2").alias("sub"), "cell", F.lit(2).alias("side"))
     hot = placed.where("large").join(left.union(right), ["p", "band", "sub"]).select("p", "id", "g", "cell", "side")
     small = placed.where("not large").withColumn("cell", F.xxhash64("p")).withColumn("side", F.lit(0)).select("p", "id", "g", "cell", "side")
-    held = hot.union(small).join(texts.select("id", "sig", "packed"), "id")
+    held = hot.union(small).join(only(texts, members.select("id")).select("id", "sig", "packed"), "id")
     return cut(held.groupBy("cell").applyInArrow(lambda t: cell_links(t, k, threshold), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text)."""
-    schema = "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, sig binary, sk1 bigint, sk2 bigint, packed binary"
-    signed = cut(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: signature_batches(x, k), schema))
+    schema = "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, sig binary, sk1 bigint, sk2 bigint, text1 bigint, text2 bigint"
+    signed = cut(numbered(docs).mapInArrow(lambda x: signature_batches(x, k), schema))
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    copies = copies_of(known, k)
+    copies = copies_of(docs, known, k)
     lists = screened(posting_lists(by_list(known, copies.drop("id"), ["doc_id", *SAME], "left_anti")), known)
-    texts = fetched(known, cut(lists.select("id").distinct()))
+    texts = fetched(docs, cut(lists.select("id").distinct()), k)
     edges, measures, turn = None, None, 0
     while True:
         star = stars(lists, turn)
