@@ -49,6 +49,19 @@ def test_suffix_arrays():
         assert permuted_prefixes(x, sa, 100, np.zeros(0, int)).tolist() == want.tolist()
 
 
+def test_ranks_are_final_once_they_are_alone(monkeypatch):
+    """Of a text whose substrings differ but for one copied stretch, only the copies are sorted more than twice."""
+    rng = np.random.default_rng(2)
+    stretch = rng.integers(1, 200, 600)
+    x = np.r_[rng.integers(1, 200, 20000), 201, stretch, 202, rng.integers(1, 200, 20000), 203, stretch, 204, 0].astype(np.uint8)
+    rows, true = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *b, **c: (rows.append(len(a)) if a.dtype == np.int64 else None, true(a, *b, **c))[1])
+    sa = suffix_array(x, len(x))
+    raw = x.tobytes()
+    assert sa.tolist() == sorted(range(len(x)), key=lambda i: raw[i:])
+    assert len(rows) > 2 and all(n < 1000 for n in rows[1:-1])
+
+
 def test_bpe_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
