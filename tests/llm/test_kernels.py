@@ -1,6 +1,7 @@
 """Kernels against plain Python."""
 
 import base64
+import collections
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import bpe, decontam, license_templates, pii, topk, toxicity
+from tessera.llm import bpe, decontam, license_templates, pii, suffix_dedup, topk, toxicity
 from tessera.llm import textkit as tk
 from tessera.llm.suffix_arrays import permuted_prefixes, suffix_array
 
@@ -62,6 +63,37 @@ def test_ranks_are_final_once_they_are_alone(monkeypatch):
     assert len(rows) > 2 and all(n < 1000 for n in rows[1:-1])
 
 
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_long_prefixes_are_found_alike(kind):
+    """Prefixes of at least so many letters are exact, shorter ones stay short; letters need not fit a byte."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        part, top = rng.integers(1, 3, int(rng.integers(1, 60))), 200 if kind is np.uint8 else 1000
+        x = np.r_[part, top, rng.integers(1, 3, 20), part, top + 1, part[:40], 0].astype(kind)
+        sa = suffix_array(x, len(x))
+        assert sa.tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+        want = permuted_prefixes(x, sa, 100, np.zeros(0, int))
+        got = permuted_prefixes(x, sa, 100, np.zeros(0, int), 12)
+        assert np.where(want < 12, 0, want).tolist() == np.where(got < 12, 0, got).tolist()
+
+
+def test_contexts_that_share_an_anchor_only_are_not_sorted():
+    """Of texts with one passage in common a window repeats only where it reaches far enough."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        seam = bytes(rng.integers(97, 123, int(rng.integers(380, 500))).astype(np.uint8))
+        texts = [bytes(rng.integers(65, 91, int(rng.integers(0, 500))).astype(np.uint8)) + bytes([33 + k]) + seam + bytes([33 + k]) + bytes(rng.integers(48, 58, 500).astype(np.uint8)) for k in range(3)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(range(3)), pa.array(texts, pa.binary())], ["id", "tk", "text"])
+        rows = [r | {"n": 1, "context": r["id"], "bytes": texts[r["id"]][r["start"] : r["start"] + r["n_win"] + 399]} for b in suffix_dedup.anchor_batches(iter([batch])) for r in b.to_pylist()]
+        times = collections.Counter(r["anchor"] for r in rows)
+        table = pa.table({c: [r[c] for r in rows if times[r["anchor"]] > 1] for c in suffix_dedup.PIECE_COLUMNS}, pa.schema([(c, pa.binary() if c == "bytes" else pa.int64()) for c in suffix_dedup.PIECE_COLUMNS]))
+        found = sorted((r["id"], r["lo"], r["hi"]) for r in suffix_dedup.shard_spans(table).to_pylist())
+        assert {k: sum(hi - lo for i, lo, hi in found if i == k) for k in range(3)} == dict.fromkeys(range(3), max(0, len(seam) - 399))
+    far = [bytes(rng.integers(a, a + 20, 300).astype(np.uint8)) + seam[:32] + bytes(rng.integers(a, a + 20, 300).astype(np.uint8)) for a in (40, 70, 100)]
+    anchor = suffix_dedup.grams_of(tk.prefix_sums(np.frombuffer(seam[:32], np.uint8))).view(np.int64)
+    assert suffix_dedup.may_repeat([*far, far[0]], np.repeat(anchor, 4)).tolist() == [True, False, False, True]
+
+
 def test_bpe_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
