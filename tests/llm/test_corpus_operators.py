@@ -79,6 +79,20 @@ def test_suffix_dedup(spark, documents, monkeypatch, hot):
     assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(df).collect()), key=str) == brute_repeats(rows, 400)
 
 
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """A passage of 51 words that two texts share goes whole if it has 400 bytes; the law leaves shorter ones."""
+    rng = np.random.default_rng(5)
+    words = lambda n, size: " ".join("".join(chr(c) for c in rng.integers(97, 123, size)) for _ in range(n))
+    rows, want = [], {}
+    for k, size in enumerate([5, 6, 7, 8, 9, 12] * 2):
+        passage = words(51, size)
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, f"{words(40, 6)} {d}<{passage}>{d % 2} {words(40, 6)}"))
+            want[d] = len(passage) + 2 if len(passage) + 2 >= 400 else 0
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 0 < sum(x > 0 for x in want.values()) < len(want)
+
+
 def test_suffix_arrays_decide_what_hashes_route():
     """Contexts under one key count as equal only where their bytes are."""
     same, other = b"xy" * 50 + b"z" * 310, bytes(range(1, 206)) * 2
